@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, grading, lm, pii, quality
 from .common import documents
 
 
@@ -15,6 +15,32 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the surrogates in the registered query; a deployment brings its own.
+PII_KEY = b"quire public example key"
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality_rules(docs, quality.fit_quality(docs, labels(spark, sf_dir)))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(documents(spark, sf_dir), PII_KEY)
+
+
+def op6_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return grading.grade(docs, grading.fit_grades(docs, labels(spark, sf_dir)))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -24,7 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op7_bpe_encode_decode, op9_token_counts)
+    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op9_token_counts)
     return {f.__name__: f for f in own}
 
 
