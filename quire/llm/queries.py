@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grading, lm, pii, quality
+from . import bpe, grading, lm, ngram_join, pii, quality
 from .common import documents
 
 
@@ -49,8 +49,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir), 3, 90)
+
+
 def queries() -> dict:
-    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op9_token_counts)
+    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op9_token_counts, op10_ngram_jaccard_join)
     return {f.__name__: f for f in own}
 
 
