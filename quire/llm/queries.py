@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grading, lm, ngram_join, pii, quality
+from . import bpe, grading, lm, ngram_join, pii, quality, substring
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
 
@@ -54,7 +58,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op9_token_counts, op10_ngram_jaccard_join)
+    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op8_substring_dedup, op9_token_counts, op10_ngram_jaccard_join)
     return {f.__name__: f for f in own}
 
 
