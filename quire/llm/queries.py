@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, grading, lm, ngram_join, pii, quality, substring
+from . import bpe, decontaminate, grading, licences, lm, ngram_join, pii, quality, substring
 from .common import documents
 
 
@@ -28,10 +28,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit_quality(docs, labels(spark, sf_dir)))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(documents(spark, sf_dir))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(documents(spark, sf_dir), PII_KEY)
 
@@ -58,9 +66,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_quality_rules, op3_lm_scoring, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op8_substring_dedup, op9_token_counts, op10_ngram_jaccard_join)
+    own = (op1_quality_rules, op2_licence_scan, op3_lm_scoring, op4_decontamination, op5_pii_surrogates, op6_quality_grades, op7_bpe_encode_decode, op8_substring_dedup, op9_token_counts, op10_ngram_jaccard_join)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licence_scan": licences.oracle(), "op4_decontamination": decontaminate.oracle()}
