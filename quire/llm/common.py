@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +61,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def through(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> DataFrame:
+    """Rows with all their columns through a function on chunks; the schema stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, text=text):
+            yield change(part)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose id is not among ``ids``; these are broadcast if few, and else joined by a shuffle."""
+    few = ids.count() <= 1_000_000
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, text_chunks
+from .common import id_text, text_chunks, through
 
 TYPES = ("email", "ip", "card", "phone", "secret", "name")
 
@@ -226,3 +226,14 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", *(f"n_{k}" for k in TYPES), "n_distinct", "n_collisions"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in TYPES) + ", n_distinct long, n_collisions long")
+
+
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
+    """The rows with all their columns, the text replaced."""
+
+    def change(part: pa.RecordBatch) -> pa.RecordBatch:
+        i = part.schema.get_field_index("text")
+        new = pa.array([None if t is None else replace(t, key)[0] for t in part.column(i).to_pylist()], part.schema.field(i).type)
+        return part.set_column(i, part.schema.field(i), new)
+
+    return through(docs, change)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_chunks
+from .common import id_text, text_chunks, through
 
 #: Bounds of the training sample: labelled documents of each class, and first lines of each.
 TRAIN_DOCS, TRAIN_LINES = 300, 60
@@ -237,27 +237,36 @@ def labelled_chains(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray
     return [(m := np.array(r.mask, dtype=np.int64), ((m & dup) == 0) * chosen[r.doc_id]) for r in found]
 
 
+def verdicts(texts: list[str], model: Model, min_content: float = MIN_CONTENT) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base_failed, words in content lines, their share, and kept."""
+    step, seen = model.step.tolist(), observe(texts)
+    score = (bits(seen.mask) @ model.weight).tolist()
+    at = seen.line_at.tolist()
+    label = np.fromiter((y for a, z in zip(at, at[1:]) for y in viterbi(score[a:z], step)), dtype=np.int64, count=len(score))
+    total = np.concatenate(([0], np.cumsum(label * seen.words)))
+    content = total[seen.line_at[1:]] - total[seen.line_at[:-1]]
+    n, rep = seen.base["n_words"], seen.base["n_repeat_words"]
+    failed = (n < 10) | (100 * rep > 20 * n)
+    share = content / np.maximum(n, 1)
+    return seen.base, failed, content, share, ~failed & (share >= min_content)
+
+
 def quality_rules(docs: DataFrame, model: Model, min_content: float = MIN_CONTENT) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, content_words, content_share and kept."""
-    weight, step = model.weight, model.step.tolist()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
-            seen = observe([t or "" for t in part.column("text").to_pylist()])
-            score = (bits(seen.mask) @ weight).tolist()
-            at = seen.line_at.tolist()
-            label = np.fromiter((y for a, z in zip(at, at[1:]) for y in viterbi(score[a:z], step)), dtype=np.int64, count=len(score))
-            total = np.concatenate(([0], np.cumsum(label * seen.words)))
-            content = total[seen.line_at[1:]] - total[seen.line_at[:-1]]
-            n, rep = seen.base["n_words"], seen.base["n_repeat_words"]
-            failed = (n < 10) | (100 * rep > 20 * n)
-            share = content / np.maximum(n, 1)
-            cols = [part.column("doc_id"), *(pa.array(seen.base[k]) for k in names), pa.array(failed), pa.array(content), pa.array(share), pa.array(~failed & (share >= min_content))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *names, "base_failed", "content_words", "content_share", "kept"])
+            base, *rest = verdicts([t or "" for t in part.column("text").to_pylist()], model, min_content)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(base[k]) for k in names), *map(pa.array, rest)], names=["doc_id", *names, "base_failed", "content_words", "content_share", "kept"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_words long, content_share double, kept boolean")
 
 
+def keep_good(docs: DataFrame, model: Model, min_content: float = MIN_CONTENT) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    return through(docs, lambda part: part.filter(pa.array(verdicts([t or "" for t in part.column("text").to_pylist()], model, min_content)[-1])))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(labelled_chains(docs, labels))
