@@ -72,12 +72,15 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     if len(short):
         extra = np.array([xxhash.xxh3_64_intdigest(b"\n".join(split[i])) for i in short], dtype=np.uint64)
         key, owner = np.concatenate((key, extra)), np.concatenate((owner, short))
-    order = np.lexsort((key, owner))
-    key, owner = key[order], owner[order]
+    if len(short):
+        order = np.argsort(owner, kind="stable")
+        key, owner = key[order], owner[order]
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, z in zip(at.tolist(), at[1:].tolist()):
+        key[a:z].sort()
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
-    return key, np.searchsorted(owner, np.arange(len(texts) + 1))
+    return key[new], np.concatenate(([0], np.cumsum(new)))[at]
 
 
 def ordered(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -97,8 +100,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def spare(p: int) -> int:
+    """Shingles kept beyond a prefix, to fill it up when hot ones leave it."""
+    return max(8, p // 2)
+
+
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, the set's 128-bit key, bucket counts (255: so many or more) and the prefix by hash."""
+    """Per row: doc_id, n, the set's 128-bit key, bucket counts (255: so many or more) and the prefix by hash with spare shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
@@ -109,12 +117,41 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             grid = np.bincount(owner * BUCKETS + (keys >> np.uint64(58)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(-1, BUCKETS)
             sketch = np.minimum(grid, 255).astype(np.uint8)
-            prefix = [keys[a : a + prefix_size(z - a, percent)].view(np.int64) if z > a else [] for a, z in zip(at.tolist(), at[1:].tolist())]
+            prefix = [keys[a : min(z, a + (p := prefix_size(z - a, percent)) + spare(p))].view(np.int64) if z > a else [] for a, z in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total(one)), pa.array(total(two)), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "sketch", "prefix"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, prefix array<long>")
 
 
+def _prefixes(own: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    """(doc_id, n, items): prefixes in the global order; items is null where the spare shingles don't suffice."""
+    share = own.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, size = share.value, prefix_size
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            lists = batch.column("prefix")
+            flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            late = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat if len(hot) else np.zeros(len(flat), bool)
+            rows = []
+            for i, (a, z) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                p = size(int(n[i]), percent)
+                if not late[a : a + p].any():
+                    rows.append(flat[a : a + p].view(np.int64))
+                    continue
+                calm = flat[a:z][~late[a:z]]
+                if len(calm) >= p:
+                    rows.append(calm[:p].view(np.int64))
+                elif z - a == n[i]:  # the whole set is here
+                    rows.append(ordered(flat[a:z], hot)[:p].view(np.int64))
+                else:
+                    rows.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n", "items"])
+
+    return own.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id long, n long, items array<long>")
+
+
 def _pick(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     own = id_text(docs)
     return own.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -138,14 +175,6 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, hot: np.ndarray, percent:
     return _pick(docs, ids, ids.count()).mapInArrow(run, "doc_id long, k1 long, items array<long>")
 
 
-def _bound(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlap of set i with others."""
-    low = np.minimum(sketch[others], sketch[i])
-    bound = low.sum(axis=1, dtype=np.int64)
-    full = (low == 255).any(axis=1)
-    return np.where(full, np.minimum(n[others], n[i]), bound)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Runs of equal keys in sorted batches, as columns; a run may cross batches."""
     held: list[pa.RecordBatch] = []
@@ -200,30 +229,74 @@ def _by_shingle(rows: DataFrame) -> DataFrame:
     return rows.repartition("t").sortWithinPartitions("t", "n", "rep")
 
 
+def _bounds(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of sets i and j."""
+    low = np.minimum(sketch[i], sketch[j])
+    return np.where((low == 255).any(axis=1), np.minimum(n[i], n[j]), low.sum(axis=1, dtype=np.int64))
+
+
+def _group_pairs(n: np.ndarray, sketch: np.ndarray, label: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Of one group by size: members to compare with a member. With labels: all pairs across them that pass the bound."""
+    rest = np.arange(len(n))
+    while len(rest) > 1:
+        i, later = int(rest[0]), rest[1:]
+        can = later[: np.searchsorted(percent * n[later], 100 * n[i], side="right")]  # sizes ascend
+        if label is not None:
+            can = can[label[can] != label[i]]
+        if len(can):
+            can = can[_bounds(sketch, n, np.full(len(can), i), can) >= least_overlap(n[i], n[can], percent)]
+        if len(can):
+            yield can, i
+        rest = later if label is not None or not len(can) else later[~np.isin(later, can)]
+
+
 def _propose(live: DataFrame, percent: int, labels: bool) -> DataFrame:
     """Pairs (x, pivot) to compare: with group pivots, or with ``labels`` all pairs across labels that pass the bound."""
 
+    def solve(part: pa.RecordBatch, pairs: set[tuple[int, int]]) -> None:
+        t, rep, n = (part.column(c).to_numpy() for c in ("t", "rep", "n"))
+        label = part.column("label").to_numpy() if labels else None
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = t[1:] != t[:-1]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(t)))
+        if label is not None:  # groups of one label have nothing left
+            lo, hi = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            at, size = at[lo != hi], size[lo != hi]
+        two = at[size == 2]
+        if len(two):
+            can = percent * n[two + 1] <= 100 * n[two]
+            two = two[can]
+            two = two[_bounds(sketch, n, two, two + 1) >= least_overlap(n[two], n[two + 1], percent)]
+            pairs.update(zip(np.maximum(rep[two], rep[two + 1]).tolist(), np.minimum(rep[two], rep[two + 1]).tolist()) if labels else zip(rep[two + 1].tolist(), rep[two].tolist()))
+        for a, m in zip(at[size > 2].tolist(), size[size > 2].tolist()):
+            own = slice(a, a + m)
+            for can, i in _group_pairs(n[own], sketch[own], None if label is None else label[own], percent):
+                y = int(rep[a + i])
+                pairs.update((max(x, y), min(x, y)) if labels else (x, y) for x in rep[own][can].tolist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[int, int]] = set()
-        for g in _groups(batches, "t"):
-            if len(g["rep"]) > 1:
-                rep, n = g["rep"].to_numpy(), g["n"].to_numpy()
-                label = g["label"].to_numpy() if labels else None
-                if label is not None and (label == label[0]).all():
-                    continue
-                sketch = np.frombuffer(b"".join(g["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-                rest = np.arange(len(rep))
-                while len(rest) > 1:
-                    i, later = rest[0], rest[1:]
-                    can = later[percent * n[later] <= 100 * n[i]]
-                    if label is not None:
-                        can = can[label[can] != label[i]]
-                    can = can[_bound(sketch, n, i, can) >= least_overlap(n[i], n[can], percent)] if len(can) else can
-                    pairs.update((int(max(rep[i], x)), int(min(rep[i], x))) if labels else (int(x), int(rep[i])) for x in rep[can].tolist())
-                    rest = later if label is not None else later[~np.isin(later, can)]
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch.column("t").to_numpy()
+            last = int(np.searchsorted(t, t[-1]))  # where the last group begins; it may go on
+            if last or (held and held[-1].column("t")[0].as_py() != t[0]):
+                ready = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+                for part in ready.to_batches():
+                    solve(part, pairs)
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
             if len(pairs) > 50_000:
                 yield _pairs(pairs)
                 pairs = set()
+        if held:
+            for part in pa.Table.from_batches(held).combine_chunks().to_batches():
+                solve(part, pairs)
         if pairs:
             yield _pairs(pairs)
 
@@ -275,8 +348,8 @@ class Trie:
                     stack.append((child, d, ov, at))
 
 
-def link_group(pivot: int, sets: dict[int, list[int]], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the group's similarity graph: the pivot's first, then among the others."""
+def link_group(pivot: int, sets: dict[int, list[int]], percent: int, among: bool = True) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the group's similarity graph: the pivot's first, then those ``among`` the others."""
     trie, top = Trie(), {x: x for x in sets}
 
     def find(x: int) -> int:
@@ -287,7 +360,7 @@ def link_group(pivot: int, sets: dict[int, list[int]], percent: int) -> list[tup
 
     for name in sorted(sets):
         trie.add(name, sets[name])
-    links, order = [], [pivot, *(x for x in sorted(sets) if x != pivot)]
+    links, order = [], [pivot, *(x for x in sorted(sets) if x != pivot and among)]
     whole = False
     for name in order:
         if name not in sets or whole:
@@ -301,7 +374,7 @@ def link_group(pivot: int, sets: dict[int, list[int]], percent: int) -> list[tup
     return links
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, among: bool) -> DataFrame:
     """Links among the pairs (x, y) and within the bounded groups of one y."""
     number = pairs.groupBy("y").agg(F.ceil(F.count("x") / GROUP_SETS).alias("parts"))
     dealt = pairs.join(number, "y").select("y", F.pmod(F.xxhash64("x"), "parts").alias("part"), F.col("x").alias("rep"))
@@ -316,7 +389,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, hot: np.ndarray) ->
             for y, x, s in zip(g["y"].to_pylist(), g["rep"].to_pylist(), g["items"].to_pylist()):
                 by.setdefault(y, {})[x] = s
             for y, some in by.items():
-                links.update(link_group(y, some, percent))
+                links.update(link_group(y, some, percent, among))
             if len(links) > 50_000:
                 yield _pairs(links)
                 links = set()
@@ -336,33 +409,36 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     reps = member.where("doc_id = rep").select("doc_id", "k1", "k2").distinct()
     n_reps = reps.count()
     own = rows.join(reps, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    prefix = own.select(F.explode("prefix").alias("t"), F.col("doc_id").alias("rep"), "n")
+    own = cut(own, "classes")
+    by_hash = _prefixes(own, np.empty(0, np.uint64), percent).select(F.explode("items").alias("t"))
     limit = max(HOT_LEAST, int(HOT_SHARE * n_reps))
-    often = prefix.groupBy("t").agg(F.count("rep").alias("df")).where(F.col("df") > limit).select("t").toArrow()["t"].to_numpy()
+    often = by_hash.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > limit).select("t").toArrow()["t"].to_numpy()
     hot = np.sort(often.view(np.uint64))
-    if len(hot):  # only sets with a hot shingle in their prefix get another one
-        names = spark.createDataFrame([(int(x),) for x in often], "t long")
-        touched = cut(prefix.join(F.broadcast(names), "t", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "touched")
-        again = _sets(docs, touched, width, hot, percent, False).join(own.select("doc_id", "k1", "n"), ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"])
-        calm = own.join(touched, "doc_id", "left_anti")
-        prefix = calm.select("prefix", "doc_id", "n").unionAll(again.select("items", "doc_id", "n")).select(F.explode("prefix").alias("t"), F.col("doc_id").alias("rep"), "n")
+    filled = _prefixes(own, hot, percent)
+    if len(hot):  # few sets have so many hot shingles that the text must be read again
+        filled = cut(filled, "prefixes")
+        touched = cut(filled.where("items is null").select("doc_id").distinct(), "touched")
+        if not touched.isEmpty():
+            again = _sets(docs, touched, width, hot, percent, False).join(own.select("doc_id", "k1", "n"), ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"])
+            filled = filled.where("items is not null").unionByName(again.select("doc_id", "n", "items"))
+    prefix = filled.select(F.explode("items").alias("t"), F.col("doc_id").alias("rep"), "n")
     live = _by_shingle(prefix).mapInArrow(lambda b: _live(b, percent), "t long, rep long, n long")
     live = cut(live.join(own.select(F.col("doc_id").alias("rep"), "n", "sketch"), ["rep", "n"]).select("t", "rep", "n", "sketch"), "live")
     pairs = cut(_propose(live, percent, False), "pairs")
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = _resolve(docs, pairs, width, percent, hot)
+    links = _resolve(docs, pairs, width, percent, True)
     labels = components(links.unionAll(same))
     known = live.join(labels, live.rep == labels.node, "left").select("t", "rep", "n", "sketch", F.coalesce("label", "rep").alias("label"))
     tested = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     rest = cut(_propose(known, percent, True).join(tested, ["x", "y"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = _resolve(docs, rest, width, percent, hot)
+        more = _resolve(docs, rest, width, percent, False)
         # Components so far stand for themselves: one link from each node to its label.
         labels = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return rows.join(labels, rows.doc_id == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def _resolve(docs: DataFrame, pairs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
+def _resolve(docs: DataFrame, pairs: DataFrame, width: int, percent: int, among: bool) -> DataFrame:
     ids = cut(pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct(), "ids")
-    sets = cut(_sets(docs, ids, width, hot, percent, True).dropDuplicates(["doc_id"]), "items")
-    return cut(_verify(pairs, sets, percent, hot).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    sets = cut(_sets(docs, ids, width, np.empty(0, np.uint64), percent, True).dropDuplicates(["doc_id"]), "items")
+    return cut(_verify(pairs, sets, percent, among).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
