@@ -309,46 +309,57 @@ def _pairs(pairs) -> pa.RecordBatch:
 
 
 class Trie:
-    """Ordered sets by shared beginnings. A node: [children by item, least and greatest set size below, sets that end here]."""
+    """Ordered sets by shared beginnings; runs without a branch are one node.
+
+    A node: [its items, children by first item, least and greatest set size at or
+    below, sets that end here].
+    """
 
     def __init__(self):
-        self.root: list = [{}, 1 << 60, 0, []]
-
-    def add(self, name: int, items: list[int]) -> None:
-        node, n = self.root, len(items)
-        for x in items:
-            if n < node[1]:
-                node[1] = n
-            if n > node[2]:
-                node[2] = n
-            child = node[0].get(x)
+        self.root: list = [np.empty(0, np.uint64), {}, 1 << 60, 0, []]
+
+    def add(self, name: int, items: np.ndarray) -> None:
+        node, pos, n = self.root, 0, len(items)
+        while True:
+            chain = node[0]
+            m = min(len(chain), n - pos)
+            differ = np.flatnonzero(chain[:m] != items[pos : pos + m])
+            k = int(differ[0]) if len(differ) else m
+            if k < len(chain):  # the run branches here
+                node[0], node[1], node[4] = chain[:k], {int(chain[k]): [chain[k:], node[1], node[2], node[3], node[4]]}, []
+            node[2], node[3] = min(node[2], n), max(node[3], n)
+            pos += k
+            if pos == n:
+                node[4].append(name)
+                return
+            child = node[1].get(int(items[pos]))
             if child is None:
-                child = node[0][x] = [{}, n, n, []]
+                node[1][int(items[pos])] = [items[pos:], {}, n, n, [name]]
+                return
             node = child
-        node[1], node[2] = min(node[1], n), max(node[2], n)
-        node[3].append(name)
 
-    def probe(self, items: list[int], percent: int) -> Iterator[int]:
+    def probe(self, items: np.ndarray, percent: int) -> Iterator[int]:
         """Names of stored sets of at least the similarity with ``items``."""
-        place = {x: i for i, x in enumerate(items)}
         m = len(items)
-        stack = [(self.root, 0, 0, 0)]  # node, depth, overlap, items passed
+        stack = [(self.root, 0, 0)]  # node, items above it, overlap above it
         while stack:
-            node, depth, shared, passed = stack.pop()
-            if node[3] and 100 * shared >= percent * (m + depth - shared):
-                yield from node[3]
-            for x, child in node[0].items():
-                i = place.get(x)
-                ov, at = (shared, passed) if i is None else (shared + 1, i + 1)
-                d = depth + 1
+            node, depth, shared = stack.pop()
+            chain, passed = node[0], 0
+            if len(chain):
+                at = np.searchsorted(items, chain)
+                shared += int(np.count_nonzero(items[np.minimum(at, m - 1)] == chain))
+                depth += len(chain)
+                passed = int(np.searchsorted(items, chain[-1], side="right"))
+            if node[4] and 100 * shared >= percent * (m + depth - shared):
+                yield from node[4]
+            for child in node[1].values():
                 # The best that is left: the rest of the probe, or of the longest set below.
-                best = ov + min(m - at, child[2] - d)
-                least = max(child[1], d)
-                if (100 + percent) * best >= percent * (m + least):
-                    stack.append((child, d, ov, at))
+                best = shared + min(m - passed, child[3] - depth)
+                if (100 + percent) * best >= percent * (m + child[2]):
+                    stack.append((child, depth, shared))
 
 
-def link_group(pivot: int, sets: dict[int, list[int]], percent: int, among: bool = True) -> list[tuple[int, int]]:
+def link_group(pivot: int, sets: dict[int, np.ndarray], percent: int, among: bool = True) -> list[tuple[int, int]]:
     """Links of a spanning forest of the group's similarity graph: the pivot's first, then those ``among`` the others."""
     trie, top = Trie(), {x: x for x in sets}
 
@@ -385,9 +396,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, among: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: set[tuple[int, int]] = set()
         for g in _groups(batches, "g"):
-            by: dict[int, dict[int, list[int]]] = {}
-            for y, x, s in zip(g["y"].to_pylist(), g["rep"].to_pylist(), g["items"].to_pylist()):
-                by.setdefault(y, {})[x] = s
+            by: dict[int, dict[int, np.ndarray]] = {}
+            flat, at = g["items"].flatten().to_numpy().view(np.uint64), 0
+            for y, x, m in zip(g["y"].to_pylist(), g["rep"].to_pylist(), g["items"].value_lengths().to_pylist()):
+                by.setdefault(y, {})[x] = flat[at : at + m]
+                at += m
             for y, some in by.items():
                 links.update(link_group(y, some, percent, among))
             if len(links) > 50_000:

@@ -264,11 +264,12 @@ def test_op10_trie():
     r = random.Random(3)
     sets = {i: sorted(r.sample(range(40), r.randint(5, 30))) for i in range(60)}
     sets |= {100 + i: sorted(set(sets[i]) ^ {r.randrange(40)}) for i in range(30)}
+    sets = {k: np.array(s, dtype=np.uint64) for k, s in sets.items()}
     trie = ngram_join.Trie()
     for k, s in sets.items():
         trie.add(k, s)
     for s in sets.values():
-        want = {k for k, o in sets.items() if 100 * len(set(s) & set(o)) >= 80 * len(set(s) | set(o))}
+        want = {k for k, o in sets.items() if 100 * len({*s} & {*o}) >= 80 * len({*s} | {*o})}
         assert set(trie.probe(s, 80)) == want
 
 
