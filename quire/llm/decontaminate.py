@@ -80,13 +80,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.size(words(F.col(item_text))).alias("n"), text_shingles(F.col(item_text)).alias("sh")).where("item_id is not null")
     items = cut(items.where("size(sh) > 0"), "items")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    own = own.select("doc_id", text_shingles(F.col("text")).alias("sh"))
+    shingled = own.select("doc_id", text_shingles(F.col("text")).alias("sh"))
     keys = items.select(F.explode("sh").alias("h"), "n").distinct()
-    hits = own.select("doc_id", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h")).join(small(keys), "h")
+    hits = shingled.select("doc_id", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h")).join(small(keys), "h")
     # Windows of n words that hold the shingle; a text with fewer words has one window, itself.
     low, high = F.greatest(F.lit(0), F.col("pos") - F.col("n") + WIDTH), F.least("pos", F.greatest(F.lit(0), F.col("m") - F.col("n") + WIDTH - 1))
     spots = cut(hits.select("doc_id", "n", F.explode(F.sequence(F.least(low, high), high)).alias("s")).distinct(), "spots")
-    part = with_spots(own, spots, F.struct("n", "s")).select("doc_id", "sh", F.explode("spots").alias("x")).select("doc_id", F.col("x.s").alias("start"), F.slice("sh", F.col("x.s") + 1, F.col("x.n") - WIDTH + 1).alias("sh"))
+    part = with_spots(own, spots, F.struct("n", "s")).select("doc_id", text_shingles(F.col("text")).alias("sh"), "spots").select("doc_id", "sh", F.explode("spots").alias("x")).select("doc_id", F.col("x.s").alias("start"), F.slice("sh", F.col("x.s") + 1, F.col("x.n") - WIDTH + 1).alias("sh"))
     part = part.withColumn("g1", F.xxhash64("sh")).withColumn("g2", F.hash("sh"))
     part = cut(part, "windows")
     # Equal windows get one fingerprint and one look-up.

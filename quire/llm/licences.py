@@ -70,14 +70,14 @@ def licence_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
     spark = docs.sparkSession
     known = cut(template_table(spark, TEMPLATES if templates is None else templates), "templates")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    own = own.select("doc_id", text_shingles(F.col("text")).alias("sh"))
+    shingled = own.select("doc_id", text_shingles(F.col("text")).alias("sh"))
     keys = known.select(F.explode("sh").alias("h"), "w").distinct()
-    hits = own.select("doc_id", F.posexplode("sh").alias("pos", "h")).join(small(keys), "h").select("doc_id", "pos", "w")
+    hits = shingled.select("doc_id", F.posexplode("sh").alias("pos", "h")).join(small(keys), "h").select("doc_id", "pos", "w")
     # A shingle at a word is in the window that begins at the multiple of w before it, and in the one before that if it still ends there.
     last = F.expr("pos div w").cast("int")
     first = F.greatest(F.lit(0), F.when(F.col("pos") % F.col("w") <= F.col("w") - WIDTH, last - 1).otherwise(last))
     spots = hits.select("doc_id", "w", F.explode(F.sequence(first, last)).alias("k")).distinct()
-    part = with_spots(own, cut(spots, "spots"), F.struct("w", "k")).select("doc_id", "sh", F.explode("spots").alias("s")).select("doc_id", F.col("s.w").alias("w"), F.array_distinct(F.slice("sh", F.col("s.k") * F.col("s.w") + 1, 2 * F.col("s.w") - WIDTH + 1)).alias("win"), F.col("s.k").alias("k"))
+    part = with_spots(own, cut(spots, "spots"), F.struct("w", "k")).select("doc_id", text_shingles(F.col("text")).alias("sh"), "spots").select("doc_id", "sh", F.explode("spots").alias("s")).select("doc_id", F.col("s.w").alias("w"), F.array_distinct(F.slice("sh", F.col("s.k") * F.col("s.w") + 1, 2 * F.col("s.w") - WIDTH + 1)).alias("win"), F.col("s.k").alias("k"))
     part = cut(part.select("doc_id", "w", "k", "win", F.xxhash64("w", F.array_sort("win")).alias("g")), "windows")
     # Equal windows are looked up once.
     kinds = part.dropDuplicates(["g"]).select("g", "w", "win")
