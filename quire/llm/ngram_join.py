@@ -36,7 +36,7 @@ from .components import components
 BUCKETS = 64
 #: A shingle is hot if so many prefixes have it, and a ten-thousandth of all classes: at most 10,000 per prefix shingle of an average set.
 HOT_LEAST, HOT_SHARE = 256, 1e-4
-#: Sets that a verifying task holds for one pivot; more are dealt to more tasks.
+#: Sets of a block; a verifying step holds those of two blocks.
 GROUP_SETS = 400
 #: Ids that may be broadcast to pick documents; beyond, a shuffle join does.
 BROADCAST_IDS = 2_000_000
@@ -359,8 +359,8 @@ class Trie:
                     stack.append((child, depth, shared))
 
 
-def link_group(pivot: int, sets: dict[int, np.ndarray], percent: int, among: bool = True) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the group's similarity graph: the pivot's first, then those ``among`` the others."""
+def link_group(probes: list[int], sets: dict[int, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of what the probes are similar to in the group."""
     trie, top = Trie(), {x: x for x in sets}
 
     def find(x: int) -> int:
@@ -371,38 +371,42 @@ def link_group(pivot: int, sets: dict[int, np.ndarray], percent: int, among: boo
 
     for name in sorted(sets):
         trie.add(name, sets[name])
-    links, order = [], [pivot, *(x for x in sorted(sets) if x != pivot and among)]
-    whole = False
-    for name in order:
-        if name not in sets or whole:
-            continue
+    links: list[tuple[int, int]] = []
+    for name in probes:
+        if len(links) == len(sets) - 1:
+            break
         for other in trie.probe(sets[name], percent):
             a, b = find(name), find(other)
             if a != b:
                 top[a] = b
                 links.append((name, other))
-        whole = len(links) == len(sets) - 1
     return links
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, among: bool) -> DataFrame:
-    """Links among the pairs (x, y) and within the bounded groups of one y."""
-    number = pairs.groupBy("y").agg(F.ceil(F.count("x") / GROUP_SETS).alias("parts"))
-    dealt = pairs.join(number, "y").select("y", F.pmod(F.xxhash64("x"), "parts").alias("part"), F.col("x").alias("rep"))
-    heads = number.select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("y").alias("rep"))
-    rows = dealt.unionAll(heads).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
-    rows = rows.withColumn("g", F.xxhash64("y", "part"))
+def _verify(pairs: DataFrame, sets: DataFrame, n_ids: int, percent: int, among: bool) -> DataFrame:
+    """Links among the pairs (x, y).
+
+    Ids are dealt to blocks of about GROUP_SETS; a task gets the sets of the pairs
+    between two blocks, each once, so a dense group costs the square of its blocks
+    and not of its sets. With ``among`` all sets of a task are probes, else only
+    each y, the pivots first.
+    """
+    blocks = max(1, -(-n_ids // GROUP_SETS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    keyed = pairs.select("x", "y", F.xxhash64(block("x"), block("y")).alias("g"))
+    rows = keyed.select("g", F.col("x").alias("rep"), F.lit(False).alias("asks")).unionAll(keyed.select("g", "y", F.lit(True)))
+    rows = rows.groupBy("g", "rep").agg(F.max("asks").alias("asks")).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: set[tuple[int, int]] = set()
         for g in _groups(batches, "g"):
-            by: dict[int, dict[int, np.ndarray]] = {}
-            flat, at = g["items"].flatten().to_numpy().view(np.uint64), 0
-            for y, x, m in zip(g["y"].to_pylist(), g["rep"].to_pylist(), g["items"].value_lengths().to_pylist()):
-                by.setdefault(y, {})[x] = flat[at : at + m]
+            flat, at, own = g["items"].flatten().to_numpy().view(np.uint64), 0, {}
+            reps, asks = g["rep"].to_pylist(), g["asks"].to_pylist()
+            for x, m in zip(reps, g["items"].value_lengths().to_pylist()):
+                own[x] = flat[at : at + m]
                 at += m
-            for y, some in by.items():
-                links.update(link_group(y, some, percent, among))
+            first = sorted(x for x, a in zip(reps, asks) if a)
+            links.update(link_group(first + sorted(x for x, a in zip(reps, asks) if not a) if among else first, own, percent))
             if len(links) > 50_000:
                 yield _pairs(links)
                 links = set()
@@ -454,4 +458,4 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
 def _resolve(docs: DataFrame, pairs: DataFrame, width: int, percent: int, among: bool) -> DataFrame:
     ids = cut(pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct(), "ids")
     sets = cut(_sets(docs, ids, width, np.empty(0, np.uint64), percent, True).dropDuplicates(["doc_id"]), "items")
-    return cut(_verify(pairs, sets, percent, among).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    return cut(_verify(pairs, sets, ids.count(), percent, among).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
