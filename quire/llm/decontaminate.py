@@ -1,17 +1,13 @@
-"""Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact verification.
-
-An item of L words is looked for in every window of L words that shares a
-five-word shingle with an item of that length; a window that shares none cannot
-be similar. Windows and items get 128-bit SimHash fingerprints over their
-shingles, each weighted by its frequency. Fingerprints are cut into BLOCKS blocks
-of 16 bits. If two differ in RADIUS bits or fewer, some block differs in
-RADIUS / BLOCKS or fewer, so an item filed under every value that near to each of
-its blocks meets all windows within the radius, without exception. The full
-distance is then checked, and candidates are verified: the shingles' weighted
-overlap, sum of lesser frequencies over the greater of the two totals, must be
-SIMILARITY or more. At that similarity the expected distance is 26 of 128 bits
-and a window is within the radius of 31 with a probability of 0.85; at 0.9 it is
-above 0.99, and copies have distance 0.
+"""Benchmark decontamination: windows found by rare item shingles, exact verification.
+
+An item of L words is looked for in windows of L words (a shorter text is one
+window). The similarity is the shingles' weighted overlap, sum of lesser
+frequencies over the greater of the two totals, and must be SIMILARITY or more. A
+window has no more shingles than the item, so it may lack a share of
+1 - SIMILARITY of the item's at most: whatever lacks all of a set of item shingles
+that weighs more is not similar. Each item is filed under such a set, its probes,
+those that the fewest items have. Every window that holds a probe of an item of
+its length is verified, so nothing similar is missed.
 
 All steps are DataFrame functions. Defined results: null or empty text is clean;
 items with fewer than five words have no shingle and match nothing; repeated rows
@@ -20,53 +16,21 @@ get equal answers; a null doc_id is clean.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .shingles import WIDTH, small, text_shingles, with_spots, words
 
-SIMILARITY, RADIUS, BLOCKS = 0.8, 31, 8
-FLIPS = RADIUS // BLOCKS
-#: Votes are summed in lanes: LANES longs, each with the bits lane, lane + LANES and lane + 2 * LANES.
-LANES = 22
-
-
-def _votes(sh: Column, lane: int) -> Column:
-    """Sums over the shingles of three bits, 22 places apart; they stay apart for fewer than 524,288 shingles."""
-    ones = F.lit(1 | 1 << LANES | 1 << 2 * LANES)
-    return F.aggregate(sh, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, lane).bitwiseAND(ones))
-
-
-def _bits(votes: Column, total: Column) -> Column:
-    """The bits whose votes are more than half of the total."""
-
-    def lane_bits(v: Column, lane: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(2)),
-            F.lit(0).cast("long"),
-            lambda acc, part: F.when(
-                2 * F.call_function("shiftrightunsigned", v, LANES * part).bitwiseAND(F.lit((1 << LANES) - 1)) > total,
-                acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), lane + LANES * part)),
-            ).otherwise(acc),
-        )
-
-    return F.aggregate(F.transform(votes, lane_bits), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-
-
-def fingerprinted(df: DataFrame) -> DataFrame:
-    """Adds the fingerprint's halves f1 and f2 to rows with sh; equal votes give 0."""
-    df = df.withColumn("sh2", F.transform("sh", lambda x: F.xxhash64(x, F.lit(1))))
-    for v, sh in (("v1", "sh"), ("v2", "sh2")):
-        df = df.withColumn(v, F.array(*(_votes(F.col(sh), lane) for lane in range(LANES))))
-    for f, v in (("f1", "v1"), ("f2", "v2")):
-        df = df.withColumn(f, _bits(F.col(v), F.size("sh")))
-    return df.drop("sh2", "v1", "v2")
+SIMILARITY = 0.8
 
 
-def blocks() -> Column:
-    """The blocks of f1 and f2, each with its number above its 16 bits."""
-    return F.array(*(F.shiftrightunsigned(f, 16 * j).bitwiseAND(F.lit(0xFFFF)) + F.lit((4 * i + j) << 16) for i, f in enumerate(("f1", "f2")) for j in range(4)))
+def probes(items: DataFrame) -> DataFrame:
+    """Rows (item_id, n, h): per item, shingles in order of rarity until those left weigh less than a similar window must have."""
+    kinds = items.select("item_id", "n", F.size("sh").alias("m"), F.explode("sh").alias("h")).groupBy("item_id", "n", "m", "h").agg(F.count("h").alias("w"))
+    kinds = kinds.join(kinds.groupBy("h").agg(F.count("h").alias("spread")), "h")
+    before = F.sum("w").over(Window.partitionBy("item_id", "n", "m").orderBy("spread", "h").rowsBetween(Window.unboundedPreceding, -1))
+    return kinds.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.floor(F.col("m") * (1 - SIMILARITY) + 1e-6)).select("item_id", "n", "h").distinct()
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -81,26 +45,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     items = cut(items.where("size(sh) > 0"), "items")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     shingled = own.select("doc_id", text_shingles(F.col("text")).alias("sh"))
-    keys = items.select(F.explode("sh").alias("h"), "n").distinct()
+    probe = cut(probes(items), "probes")
+    keys = probe.select("h", "n").distinct()
     hits = shingled.select("doc_id", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h")).join(small(keys), "h")
     # Windows of n words that hold the shingle; a text with fewer words has one window, itself.
     low, high = F.greatest(F.lit(0), F.col("pos") - F.col("n") + WIDTH), F.least("pos", F.greatest(F.lit(0), F.col("m") - F.col("n") + WIDTH - 1))
     spots = cut(hits.select("doc_id", "n", F.explode(F.sequence(F.least(low, high), high)).alias("s")).distinct(), "spots")
-    part = with_spots(own, spots, F.struct("n", "s")).select("doc_id", text_shingles(F.col("text")).alias("sh"), "spots").select("doc_id", "sh", F.explode("spots").alias("x")).select("doc_id", F.col("x.s").alias("start"), F.slice("sh", F.col("x.s") + 1, F.col("x.n") - WIDTH + 1).alias("sh"))
+    part = with_spots(own, spots, F.struct("n", "s")).select("doc_id", text_shingles(F.col("text")).alias("sh"), "spots").select("doc_id", "sh", F.explode("spots").alias("x")).select("doc_id", F.col("x.s").alias("start"), F.col("x.n").alias("n"), F.slice("sh", F.col("x.s") + 1, F.col("x.n") - WIDTH + 1).alias("sh"))
     part = part.withColumn("g1", F.xxhash64("sh")).withColumn("g2", F.hash("sh"))
     part = cut(part, "windows")
-    # Equal windows get one fingerprint and one look-up.
-    kinds = cut(fingerprinted(part.dropDuplicates(["g1", "g2"]).select("g1", "g2", "sh")), "kinds")
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << 16) - 1)), lambda x: F.bit_count(x) <= FLIPS)
-    filed = fingerprinted(items).select("item_id", F.col("f1").alias("i1"), F.col("f2").alias("i2"), F.explode(blocks()).alias("block"))
-    filed = filed.withColumn("mask", F.explode(masks)).select("item_id", "i1", "i2", F.col("block").bitwiseXOR(F.col("mask").cast("long")).alias("block"))
-    asked = kinds.select("g1", "g2", "f1", "f2", F.explode(blocks()).alias("block"))
-    far = F.bit_count(F.col("f1").bitwiseXOR(F.col("i1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("i2")))
-    near = asked.join(filed, "block").where(far <= RADIUS).select("g1", "g2", "item_id").distinct()
-    alike = near.join(kinds.select("g1", "g2", "sh"), ["g1", "g2"]).join(small(items.select("item_id", F.col("sh").alias("ish"))), "item_id")
-    alike = alike.withColumn("similarity", overlap(F.col("ish"), F.col("sh"))).where(F.col("similarity") >= SIMILARITY).select("g1", "g2", "item_id", "similarity")
+    # Equal windows are looked up and verified once.
+    kinds = cut(part.dropDuplicates(["g1", "g2", "n"]).select("g1", "g2", "n", "sh"), "kinds")
+    near = kinds.select("g1", "g2", "n", F.explode("sh").alias("h")).join(small(probe), ["h", "n"]).select("g1", "g2", "n", "item_id").distinct()
+    alike = near.join(kinds, ["g1", "g2", "n"]).join(small(items.select("item_id", "n", F.col("sh").alias("ish"))), ["item_id", "n"])
+    alike = alike.withColumn("similarity", overlap(F.col("ish"), F.col("sh"))).where(F.col("similarity") >= SIMILARITY).select("g1", "g2", "n", "item_id", "similarity")
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"))).alias("best")
-    return part.select("doc_id", "start", "g1", "g2").join(alike, ["g1", "g2"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
+    return part.select("doc_id", "start", "n", "g1", "g2").join(alike, ["g1", "g2", "n"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +71,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def oracle() -> str:
-    """DuckDB: the overlap of all windows with all items they share a shingle with, without fingerprints."""
+    """DuckDB: the overlap of all windows with all items they share a shingle with, without probes."""
     split = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     return f"""
     WITH i1 AS (SELECT item_id, {split} AS w FROM benchmark),

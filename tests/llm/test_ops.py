@@ -126,6 +126,22 @@ def test_op4_sql(docs, bench, none):
     assert decontaminate.decontaminate(none, bench).collect() == [] and decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_op4_near_copies(spark):
+    """Edited copies of items at 0.80 to 0.86 are all found, as by the SQL; those at 0.75 are not."""
+    items, docs = [], []
+    for i, (n, at) in enumerate([(30, 15), (29, 12), (25, 2), (36, 18), (24, 4)] * 40):
+        w = [f"w{i}x{k % (n - 3)}" for k in range(n)]
+        items.append((i, " ".join(w)))
+        w[at] = "changed"
+        docs.append((i, " ".join([f"a{i}", "b", "c", *w, "d", f"e{i}"])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    cols = ["doc_id", "n_items", "similarity", "contaminated"]
+    r9 = lambda rows: [(x[0], x[1], round(x[2], 9), x[3]) for x in rows]
+    got = r9(decontaminate.decontaminate(d, b).select(*cols).collect())
+    same(got, r9(duck(d, b).sql(decontaminate.oracle()).select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall()))
+    assert sum(0.8 <= x[2] <= 0.86 for x in got) == sum(x[3] for x in got) == 160
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 256])
 def test_op5_permutation(size):
     p = pii.Permutation(b"k", "t")
