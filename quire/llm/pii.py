@@ -174,9 +174,10 @@ def patterns():
 
 @lru_cache(maxsize=1)
 def _hints():
-    import re
+    """Finds something in every line that the patterns match: all but names need one of the signs, names a listed word before a space or dot."""
+    import regex
 
-    return re.compile(r"[@=:\d]"), {*_given(), *TITLES.split(), *(t + "." for t in TITLES.split())}
+    return regex.compile(rf"[@=:\d]|(?:{'|'.join(sorted({*_given(), *TITLES.split()}))})[ .]")
 
 
 def replace(text: str, key: bytes) -> tuple[str, dict[str, int], int, int]:
@@ -185,14 +186,13 @@ def replace(text: str, key: bytes) -> tuple[str, dict[str, int], int, int]:
     No entity spans a line break, so only lines with a hint of one are searched.
     """
     counts: dict[str, int] = {}
-    hint, names = _hints()
-    named = not names.isdisjoint(text.split())
-    if not named and not hint.search(text):
+    hint = _hints()
+    if not hint.search(text):
         return text, counts, 0, 0
     known: dict[tuple[str, str], str] = {}
     lines, find = text.split("\n"), patterns().finditer
     for i, line in enumerate(lines):
-        if not hint.search(line) and not (named and not names.isdisjoint(line.split())):
+        if not hint.search(line):
             continue
         out, at = [], 0
         for m in find(line):

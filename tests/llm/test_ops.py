@@ -167,6 +167,15 @@ def test_op5_types(docs, none, fixture_rows):
     assert pii.surrogates(none, b"k").collect() == [] and pii.replaced(docs, b"k").columns == docs.columns
 
 
+@pytest.mark.parametrize("text", ["(Mary Jones) said so", "\"Anna Schmidt\"", "(Mr. Smith)", "Jean-Pierre Dupont", "so\u2014Мария Иванова", "x/Dr Brown", "«Señora Lopez»", "then…Mme. Petit"])
+def test_op5_names_after_punctuation(text):
+    """A name is replaced wherever the pattern finds one, alone on a line or beside a line with a hint."""
+    want = pii.patterns().search(text)["name"]
+    new, counts, _, _ = pii.replace(text, b"k")
+    assert counts == {"name": 1} and want not in new
+    assert pii.replace(f"a: 1\n{text}\nnone", b"k")[0] == f"a: 1\n{new}\nnone"
+
+
 def test_op7_tiktoken(docs, none, fixture_rows):
     import tiktoken
     import public_tokenizers
