@@ -1,20 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Tokens are lower-cased words and one end a text. Words of at least MIN_SYMBOL of
-all training tokens are symbols of their own; the rest share one symbol, within
-which the add-half word frequencies decide. Contexts are suffixes of the symbols
-read so far. A context is a candidate if it makes up at least MIN_CONTEXT of the
-training tokens, and it is retained if it passes a divergence test: the
-left-one-out log-likelihood gain of its next-symbol distribution over that of
-its own suffix, N(s) times an unbiased estimate of their divergence, must exceed
-MIN_GAIN. Distributions are smoothed by absolute discounting towards the next
-shorter retained suffix, down to the word frequencies. A token is scored in the
-state of its longest retained suffix.
-
-All counts are over all training texts. What goes to every executor is bounded
-by the frequencies: at most 1/MIN_KNOWN words, 1/MIN_CONTEXT contexts of a
-length and 1/MIN_ENTRY next-symbol entries of a length. Rarer words are looked
-up by a join on a 64-bit hash.
+Tokens are lower-cased words and one end a text; every word is a symbol of its
+own. Contexts are suffixes of the words read so far, to MAX_DEPTH words. A context
+is retained if it passes a divergence test: the left-one-out log-likelihood gain of
+its next-word distribution over that of its own suffix, N(s) times an unbiased
+estimate of their divergence, must exceed MIN_GAIN. No frequency or share decides:
+a context whose next words are all different has no gain, and next words seen
+once add the same to the gain whatever the suffix says, so that only pairs of a
+context and a next word seen twice (MIN_PAIR) are written and joined. Distributions
+are smoothed by absolute discounting of these pairs towards the next shorter
+retained suffix, down to the word frequencies. A token is scored in the state of
+its longest retained suffix.
+
+All counts are over all training texts. The tree is a table a depth, by 64-bit
+hashes of context and word. Pairs are dealt by their context to as many buckets as
+the corpus needs, counted there, and later looked up there by all texts. Contexts
+made of hot words only (HOT of all tokens or more, at most 1 / HOT words) are dealt
+by context and next word, and their totals are summed over the buckets. The log
+probability of a token is a sum over depths, so each depth is looked up by itself:
+a retained context adds log(back), and a pair in it log(p / (back * p of suffix)).
 
 Null text counts as empty: one token, the end. A null id is hashed as empty
 text. Rows are scored one by one, so repeated rows get equal scores. Without any
@@ -23,19 +27,24 @@ training text N is 0 and all tokens are unknown.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, text_chunks
+from .common import cut, id_text, partitions, text_chunks
 
-MIN_KNOWN, MIN_SYMBOL, MIN_CONTEXT, MIN_ENTRY = 2.5e-7, 2e-4, 2e-4, 1e-6
-MAX_DEPTH, DISCOUNT, MIN_GAIN = 2, 0.5, 10.0
+MIN_KNOWN, MIN_SYMBOL, HOT = 2.5e-7, 2e-4, 1e-3
+MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
+#: Tokens a bucket on average.
+BUCKET = 1_500_000
+#: 64-bit words of the sieve: 32 MB for any corpus.
+SIEVE = 1 << 22
 RARE, END = 0, 1
 END_WORD = b" end"  # no word has a space
 
@@ -154,60 +163,165 @@ def known_words(counts: DataFrame) -> Words:
     return Words(h, c, sym, n, total, scale, root)
 
 
-def count_next(docs: DataFrame, words: Words, depth: int, wanted: np.ndarray | None) -> DataFrame:
-    """Training counts of (context, next symbol) for contexts of one length, of ``wanted`` ones only if given."""
-    share = docs.sparkSession.sparkContext.broadcast((words, wanted))
+def suffixes(t: Tokens, hot: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth to ``depth``, of every token: hash of the word, of the context of so many words before it and of that one's suffix, if it exists, if all its words are hot."""
+    x = np.append(t.hashes, word_hash(END_WORD))[t.index]
+    is_hot = find(hot, x)[1]
+    first = np.r_[True, t.doc[1:] != t.doc[:-1]]
+    pos = np.arange(len(x))
+    begin = np.maximum.accumulate(np.where(first, pos, 0))
+    ctx, up, all_hot = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64), np.ones(len(x), bool)
+    for d in range(1, depth + 1):
+        inside = pos - d >= begin
+        at = np.maximum(pos - d, 0)
+        up = ctx
+        ctx = (ctx + np.where(inside, x[at], d).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        ctx = (ctx ^ ctx >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        ctx ^= ctx >> np.uint64(29)
+        all_hot = all_hot & np.where(inside, is_hot[at], True)
+        yield x, ctx.view(np.int64), up.view(np.int64), pos - d >= begin - 1, all_hot
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, wanted = share.value
+
+def bucket(ctx: np.ndarray, x: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    return np.mod(np.where(hot, ctx ^ x, ctx), n)
+
+
+def dealt(b: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket: the columns of its rows, as bytes one after another."""
+    order = np.argsort(b, kind="stable")
+    kinds, start = np.unique(b[order], return_index=True)
+    cols = tuple(c[order] for c in cols)
+    ends = np.append(start[1:], len(b))
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(start, ends)], pa.binary())], names=["b", "rows"])
+
+
+def gathered(rows: pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    parts = [np.frombuffer(r, np.int64).reshape(n, -1) for r in rows.to_pylist()]
+    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.int64)] * n
+
+
+def count_next(own: DataFrame, hot: np.ndarray, depth: int, n: int) -> DataFrame:
+    """Pairs (ctx, up, x) seen MIN_PAIR times, with the context's total, kinds and ones; of hot contexts a row without x has what a bucket adds to these."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             part = part.filter(pa.array(~held_out(part.column("doc_id").to_pylist())))
+            *_, (x, ctx, up, ok, is_hot) = suffixes(tokens(part.column("text").to_pylist()), hot, depth)
+            x, ctx, up, is_hot = x[ok], ctx[ok], up[ok], is_hot[ok]
+            order = np.lexsort((x, ctx))
+            x, ctx, up, is_hot = x[order], ctx[order], up[order], is_hot[order]
+            at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (ctx[1:] != ctx[:-1])]) if len(x) else np.zeros(0, np.int64)
+            count = np.diff(np.append(at, len(x)))
+            x, ctx, up, is_hot = x[at], ctx[at], up[at], is_hot[at]
+            yield dealt(bucket(ctx, x, is_hot, n), ctx, x, up, count * 2 + is_hot)
+
+    def count(table: pa.Table) -> pa.Table:
+        ctx, x, up, c = gathered(table["rows"], 4)
+        order = np.lexsort((x, ctx))
+        ctx, x, up, c = ctx[order], x[order], up[order], c[order]
+        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (ctx[1:] != ctx[:-1])])
+        k = np.add.reduceat(c >> 1, at)
+        ctx, x, up, is_hot = ctx[at], x[at], up[at], (c[at] & 1).astype(bool)
+        at = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
+        size = np.diff(np.append(at, len(ctx)))
+        total, ones = np.add.reduceat(k, at), np.add.reduceat((k == 1).astype(np.int64), at)
+        rep = np.repeat(np.arange(len(at)), size)
+        some, sums = k >= MIN_PAIR, is_hot[at]
+        whole = ~is_hot[some]
+        cols = {"ctx": (ctx[some], ctx[at][sums]), "up": (up[some], up[at][sums]), "x": (x[some], None), "n": (k[some], None), "hot": (is_hot[some], np.ones(sums.sum(), bool))}
+        cols |= {name: (pa.array(v[rep[some]], mask=~whole), v[sums]) for name, v in (("total", total), ("kinds", size), ("ones", ones))}
+        return pa.table({name: pa.chunked_array([pa.array(u), pa.nulls(int(sums.sum()), pa.int64()) if v is None else pa.array(v)]) for name, (u, v) in cols.items()})
+
+    sent = own.select("doc_id", "text").mapInArrow(send, "b long, rows binary")
+    return sent.groupBy("b").applyInArrow(count, "ctx long, up long, x long, n long, hot boolean, total long, kinds long, ones long")
+
+
+def level(found: DataFrame, parent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (ctx, x, p, lp) for the next depth, and the tree's rows (ctx, x, hot, v): v is log(back) without x."""
+    sums = found.where("hot and x is null").groupBy("ctx").agg(*(F.sum(c).alias(f"all_{c}") for c in ("total", "kinds", "ones")))
+    pairs = found.where("x is not null").join(sums, "ctx", "left").select("ctx", "up", "x", "n", "hot", *(F.coalesce(c, f"all_{c}").alias(c) for c in ("total", "kinds", "ones")))
+    pairs = cut(pairs.join(parent.select(F.col("ctx").alias("up"), "x", "p", "lp"), ["up", "x"]), "pst-pairs")
+    left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")
+    gain = F.sum(F.col("n") * F.log(left / ((F.col("total") - 1) * F.col("p"))))
+    single = F.when(F.col("ones") > 0, F.col("ones") * F.log(DISCOUNT * F.col("kinds") / (F.col("total") - 1))).otherwise(0.0)
+    tests = pairs.groupBy("ctx", "hot", "total", "kinds", "ones").agg(gain.alias("gain"), F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    kept = cut(tests.where(F.col("gain") + single >= MIN_GAIN).select("ctx", "hot", (1 - F.col("mass") / F.col("total")).alias("back")), "pst-kept")
+    lp = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
+    rows = pairs.join(kept.select("ctx", "back"), "ctx", "left").select("ctx", "x", "hot", "back", (F.col("n") / F.col("total")).alias("p"), lp.alias("lp"), (lp - F.col("lp")).alias("more"))
+    rows = cut(rows, "pst-level")
+    tree = rows.where("back is not null").select("ctx", "x", "hot", (F.col("more") - F.log("back")).alias("v"))
+    return rows.select("ctx", "x", "p", "lp"), tree.unionByName(kept.select("ctx", F.lit(None).cast("long").alias("x"), "hot", F.log("back").alias("v")))
+
+
+def sieve(tree: DataFrame) -> np.ndarray:
+    """Bits of the retained contexts' hashes, SIEVE words at most. It only spares look-ups: what passes it is looked up exactly."""
+    word, bit = F.shiftrightunsigned("ctx", 6).bitwiseAND(F.lit(SIEVE - 1)), F.expr("shiftleft(1L, cast(ctx & 63 as int))")
+    found = tree.where("x is null").groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most SIEVE rows
+    out = np.zeros(SIEVE, np.uint64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def looked_up(own: DataFrame, tree: DataFrame, hot: np.ndarray, depth: int, n: int) -> DataFrame:
+    """Rows (uid, more): what the depths add to the texts' log probabilities, by bucket."""
+    share = own.sparkSession.sparkContext.broadcast(sieve(tree))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = share.value
+        for part in text_chunks(batches):
             t = tokens(part.column("text").to_pylist())
-            sym, _ = words.look(t)
-            key, ok = contexts(sym, t.doc, depth, words.n_symbols)
-            if wanted is not None:
-                ok &= find(wanted, key)[1]
-            pair, n = np.unique(key[ok] * words.n_symbols + sym[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    return id_text(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            uid = part.column("uid").to_numpy()[t.doc]
+            for x, ctx, _, ok, is_hot in suffixes(t, hot, depth):
+                u = ctx.view(np.uint64)
+                ok &= (bits[(u >> np.uint64(6)) % np.uint64(SIEVE)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
+                x, ctx, is_hot, some = x[ok], ctx[ok], is_hot[ok], uid[ok]
+                yield dealt(bucket(ctx, x, is_hot, n), ctx, x, some)
+
+    def look(sent: pa.Table, tree: pa.Table) -> pa.Table:
+        ctx, x, uid = gathered(sent["rows"], 3)
+        null = tree["x"].is_null().to_numpy()
+        tc, tx, tv = tree["ctx"].to_numpy(), tree["x"].fill_null(0).to_numpy(), tree["v"].to_numpy()
+        by = np.argsort(tc[null])
+        at, hit = find(tc[null][by], ctx)
+        ctx, x, uid = ctx[hit], x[hit], uid[hit]
+        more = tv[null][by][at[hit]]
+        pair = lambda c, w: c + w * np.int64(-7046029254386353131)
+        keys = pair(tc[~null], tx[~null])
+        by = np.argsort(keys)
+        at, there = find(keys[by], pair(ctx, x))
+        more[there] += tv[~null][by][at[there]]
+        kinds, index = np.unique(uid, return_inverse=True)
+        return pa.table({"uid": kinds, "more": np.bincount(index, weights=more, minlength=len(kinds)).astype(np.float64)})
+
+    sent = own.select("uid", "doc_id", "text").mapInArrow(send, "b long, rows binary")
+    spread = F.when(~F.col("hot"), F.array(F.pmod("ctx", F.lit(n)))).when(F.col("x").isNotNull(), F.array(F.pmod(F.col("ctx").bitwiseXOR(F.col("x")), F.lit(n)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    filed = tree.select(F.explode(spread).alias("b"), "ctx", "x", "v")
+    return sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(look, "uid long, more double")
+
+
+def grow(own: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """Rows (uid, more) of all depths, until one retains no context."""
+    spark = own.sparkSession
+    hot = words.hashes[words.counts >= max(1.0, HOT * words.total)]  # at most 1 / HOT
+    n = max(partitions(spark), -(-words.total // BUCKET))
+    p = (F.col("c") + 0.5) / words.scale
+    parent = counts.where(F.col("c") >= MIN_PAIR).select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("x"), p.alias("p"), F.log(p).alias("lp"))
+    tree, depths = None, 0
+    for depth in range(1, MAX_DEPTH + 1):
+        parent, more = level(cut(count_next(own, hot, depth, n), f"pst-{depth}"), parent)
+        tidy(spark)
+        if more.isEmpty():
+            break
+        tree, depths = more if tree is None else tree.unionByName(more), depth
+    if tree is None:
+        return spark.createDataFrame([], "uid long, more double")
+    return cut(looked_up(own, tree, hot, depths, n).groupBy("uid").agg(F.sum("more").alias("more")), "more")
 
 
-def grow(docs: DataFrame, words: Words) -> list[Level]:
-    """Levels of the tree: candidates by frequency, then the divergence test."""
-    spark, n, levels = docs.sparkSession, words.n_symbols, []
-    parent: DataFrame | None = None
-    wanted: np.ndarray | None = None
-    for depth in range(1, MAX_DEPTH + 1):
-        table = cut(count_next(docs, words, depth, wanted), f"pst-{depth}").select(F.expr(f"pair div {n}").alias("ctx"), (F.col("pair") % n).alias("sym"), "n")
-        total = table.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("n").alias("kinds")).where(F.col("total") >= max(2.0, MIN_CONTEXT * words.total))
-        if parent is None:
-            root = spark.createDataFrame([(i, float(p)) for i, p in enumerate(words.root) if p > 0], "sym long, p double")
-            rows = table.join(F.broadcast(root), "sym")
-        else:
-            up = parent.select(F.col("ctx").alias("up"), "sym", (F.col("n") / F.col("total")).alias("p"))
-            rows = table.withColumn("up", F.col("ctx") % n ** (depth - 1)).join(up, ["up", "sym"])
-        rows = rows.select("ctx", "sym", "n", "p").join(F.broadcast(total), "ctx")  # at most 1 / MIN_CONTEXT contexts
-        left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")
-        gain = F.sum(F.col("n") * F.log(left / ((F.col("total") - 1) * F.col("p"))))
-        kept = rows.groupBy("ctx", "total").agg(gain.alias("gain")).where(F.col("gain") >= MIN_GAIN).orderBy("ctx").toArrow()
-        entries = (
-            rows.where((F.col("n") >= 2) & (F.col("n") >= MIN_ENTRY * words.total)).select("ctx", "sym", "n").orderBy("ctx", "sym").toArrow()
-        )  # at most 1 / MIN_ENTRY rows
-        ctx, tot = kept["ctx"].to_numpy(), kept["total"].to_numpy().astype(np.float64)
-        ec, es, en = (entries[k].to_numpy() for k in ("ctx", "sym", "n"))
-        at, hit = find(ctx, ec)
-        at, es, ec, mass = at[hit], es[hit], ec[hit], en[hit] - DISCOUNT
-        back = 1 - np.bincount(at, weights=mass, minlength=len(ctx)) / np.maximum(tot, 1)
-        levels.append(Level(ctx, tot, back, ec * n + es, mass / tot[at]))
-        if depth < MAX_DEPTH:
-            # Longer candidates: frequent contexts extended by a symbol that is not an end.
-            more = table.where((F.col("sym") != END) & (F.col("n") >= MIN_CONTEXT * words.total)).select((F.col("ctx") * n + F.col("sym")).alias("k")).orderBy("k").toArrow()
-            wanted = more["k"].to_numpy()
-            parent = table.join(F.broadcast(total), "ctx")
-            if not len(wanted):
-                break
-    return levels
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that nothing refers to after a collection; the next ones then have their place."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def next_ratio(sym: np.ndarray, doc: np.ndarray, words: Words, levels: list[Level]) -> np.ndarray:
@@ -227,32 +341,31 @@ def next_ratio(sym: np.ndarray, doc: np.ndarray, words: Words, levels: list[Leve
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    counts = cut(count_words(docs), "words")
+    own = cut(id_text(docs).withColumn("uid", F.monotonically_increasing_id()), "texts")
+    counts = cut(count_words(own), "words")
     words = known_words(counts)
-    levels = grow(docs, words)
-    share = spark.sparkContext.broadcast((words, levels))
-    schema = "uid long, h long, n long, d struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, more: double>"
-    row = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("more", pa.float64())])
+    more = grow(own, counts, words).groupBy("uid").agg((F.sum("more") / float(np.log(10))).alias("more"))
+    share = own.sparkSession.sparkContext.broadcast(words)
+    schema = "uid long, h long, n long, d struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double>"
+    row = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, levels = share.value
+        words = share.value
         for part in text_chunks(batches):
             uid, ids = part.column("uid").to_numpy(), part.column("doc_id")
             t = tokens(part.column("text").to_pylist())
-            sym, cnt = words.look(t)
+            _, cnt = words.look(t)
             here = cnt >= 0
             base = np.where(here, np.log10((np.maximum(cnt, 0) + 0.5) / words.scale), 0.0)
-            more = next_ratio(sym, t.doc, words, levels)
             by = lambda w: np.bincount(t.doc, weights=w, minlength=len(uid))
-            d = pa.StructArray.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(t.counts), pa.array(by(here & (cnt > 0)).astype(np.int64)), pa.array(by(base)), pa.array(by(more))], fields=list(row))
+            d = pa.StructArray.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(t.counts), pa.array(by(here & (cnt > 0)).astype(np.int64)), pa.array(by(base))], fields=list(row))
             # A text's row goes with a key of its own, so that these rows spread like the words.
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid * -7046029254386353131), pa.nulls(len(uid), pa.int64()), d], names=["uid", "h", "n", "d"])
             pair, n = np.unique(t.doc[~here] * max(1, len(t.hashes)) + t.index[~here], return_counts=True)
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(uid[pair // len(t.hashes)]), pa.array(t.hashes[pair % len(t.hashes)]), pa.array(n.astype(np.int64)), pa.nulls(len(pair), row)], names=["uid", "h", "n", "d"])
 
-    rows = id_text(docs).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    rows = own.select("uid", "doc_id", "text").mapInArrow(run, schema)
     rare = counts.where(F.col("c") < MIN_KNOWN * words.total).hint("shuffle_hash")
     found = rows.join(rare, "h", "left").withColumn("c", F.when(F.col("n").isNotNull(), F.coalesce("c", F.lit(0))))
     out = found.groupBy("uid").agg(
@@ -261,4 +374,5 @@ def score(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / words.scale)), F.lit(0.0)).alias("base"),
     )
     base = F.col("d.base") + F.col("base")
-    return out.select("d.doc_id", "d.held_out", "d.n_tokens", (F.col("d.n_known") + F.col("known")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("d.more")).alias("score"))
+    out = out.join(more, "uid", "left")
+    return out.select("d.doc_id", "d.held_out", "d.n_tokens", (F.col("d.n_known") + F.col("known")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("more", F.lit(0.0))).alias("score"))

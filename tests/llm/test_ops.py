@@ -108,6 +108,61 @@ def test_op3_base_and_gain(spark, docs, none, fixture_rows):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def plain_scores(rows, depth):
+    """The tree in dictionaries."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    count = lambda: collections.defaultdict(collections.Counter)
+    c, tree = collections.Counter(), [count() for _ in range(depth + 1)]
+
+    def steps(t):
+        w = [*tok(t), None]
+        for i, x in enumerate(w):
+            yield x, [tuple((["^"] + w[:i])[-d:]) for d in range(1, min(depth, i + 1) + 1)]
+
+    for i, t in rows:
+        if not held(i):
+            for x, ctx in steps(t):
+                c[x] += 1
+                for s in ctx:
+                    tree[len(s)][s][x] += 1
+    z = sum(c.values()) + 0.5 * (len(c) + 1)
+    kept = set()
+    for d in range(1, depth + 1):
+        for s, nx in tree[d].items():
+            n, k, up = sum(nx.values()), len(nx), tree[d - 1].get(s[1:])
+            p = lambda x: (c[x] + 0.5) / z if d == 1 else up[x] / sum(up.values())  # noqa: E731,B023
+            if n > 1 and sum(m * math.log((max(m - 1.5, 0) + 0.5 * k * p(x)) / ((n - 1) * p(x))) for x, m in nx.items()) >= lm.MIN_GAIN:
+                kept.add(s)
+    out = []
+    for i, t in rows:
+        total = 0
+        for x, ctx in steps(t):
+            p = (c[x] + 0.5) / z
+            for s in ctx:
+                if s in kept:
+                    nx = tree[len(s)][s]
+                    own = {y: m - 0.5 for y, m in nx.items() if m > 1}
+                    n = sum(nx.values())
+                    p = own.get(x, 0) / n + (1 - sum(own.values()) / n) * p
+            total += math.log10(p)
+        out.append((i, round(total, 6)))
+    return out, kept
+
+
+def test_op3_whole_tree(spark, docs, fixture_rows):
+    """All contexts with enough gain, however rare: equal to a plain version."""
+    want, kept = plain_scores(fixture_rows[0], 4)
+    same([(r.doc_id, round(r.score, 6)) for r in lm.score(docs).collect()], want)
+    assert any(len(s) > 1 for s in kept)
+    # Seen by a share of less than 2e-4.
+    rare = [(i, " ".join(f"w{j}" for j in range(i * 400, i * 400 + 400))) for i in range(150)]
+    rare += [(150 + i, f"x{i} rare phrase here") for i in range(12)]
+    want, kept = plain_scores(rare, 4)
+    got = lm.score(spark.createDataFrame(rare, "doc_id long, text string")).collect()
+    same([(r.doc_id, round(r.score, 6)) for r in got], want)
+    assert {(b"rare",), (b"phrase",)} <= kept
+
+
 def test_op3_distributions_sum_to_one():
     words = lm.Words(np.array([1]), np.array([5]), np.array([2]), 4, 10, 12.0, np.array([0.3, 0.2, 0.5, 0.0]))
     level = lm.Level(np.array([2]), np.array([10.0]), np.array([0.4]), np.array([2 * 4 + 1, 2 * 4 + 2]), np.array([0.35, 0.25]))
