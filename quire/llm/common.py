@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The separators of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a vectorised step works on at once; bounds Python memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,6 +39,18 @@ def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, tex
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a finished partition leaves with the allocators goes back to the system, for the worker lives on."""
+    import ctypes
+    import ctypes.util
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +68,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.quire_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing reads them any more; shuffles that nothing refers to go too."""
+    import gc
+
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.quire_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

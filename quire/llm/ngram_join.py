@@ -5,16 +5,16 @@ equal form one class. The classes' sets are put in one global order: shingles
 that are not hot by hash, then the hot ones. Two sets of Jaccard similarity s or
 more share one of their first n - ceil(s n) + 1 shingles, so sets meet under the
 shingles of these prefixes. Where they meet, sizes and counts of shingles by
-hash bucket bound the possible overlap from above; what passes is verified in
-prefix trees: the ordered sets of a bounded group are stored in a trie, a probe
-walks it depth first, shares the overlap of common beginnings, and leaves a
-subtree once its remaining length cannot give the required overlap.
+hash bucket bound the possible overlap from above.
 
-To lose no link and yet not to list all pairs of a group of copies, the join
-goes in two rounds. First every set is compared with a pivot of each group it is
-in, and the sets compared with one pivot also with each other. Then, with
-components known, only pairs across components that pass the bound are left, and
-all of these are compared.
+No list of pairs is made. Under each shingle only a spanning forest of what
+passes the bound goes out; its components are clusters outside which no set can
+have a link. Each set is then sent once to its cluster's task, which stores the
+sets, ordered by how many of the cluster have a shingle, in a trie. A probe goes
+down the trie, shares the overlap of common beginnings, and leaves a subtree once
+its remaining length cannot give the required overlap, or once all sets below are
+linked with it already. Only a star for each component goes out. A cluster of
+more than GROUP_ITEMS shingles is dealt to blocks, and a task gets two of them.
 
 Defined results: null text, or text without words, gives the empty set (0
 shingles), linked with nothing. Rows of one doc_id are one node. A null doc_id
@@ -30,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, text_chunks
+from .common import cut, drop, give_back, id_text, text_chunks, without
 from .components import components
 
 BUCKETS = 64
 #: A shingle is hot if so many prefixes have it, and a ten-thousandth of all classes: at most 10,000 per prefix shingle of an average set.
 HOT_LEAST, HOT_SHARE = 256, 1e-4
-#: Sets of a block; a verifying step holds those of two blocks.
-GROUP_SETS = 400
+#: Shingles of a block; a task holds the sets of two blocks at a time.
+GROUP_ITEMS = 500_000
+#: Sets under one shingle that are compared at once; more are taken as one cluster, size by size.
+GROUP_ROWS = 5_000
 #: Ids that may be broadcast to pick documents; beyond, a shuffle join does.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def spare(p: int) -> int:
 
 
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, the set's 128-bit key, bucket counts (255: so many or more) and the prefix by hash with spare shingles."""
+    """Per row: doc_id, uid, n, the set's 128-bit key, bucket counts (255: so many or more) and the prefix by hash with spare shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
@@ -118,13 +120,17 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
             grid = np.bincount(owner * BUCKETS + (keys >> np.uint64(58)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(-1, BUCKETS)
             sketch = np.minimum(grid, 255).astype(np.uint8)
             prefix = [keys[a : min(z, a + (p := prefix_size(z - a, percent)) + spare(p))].view(np.int64) if z > a else [] for a, z in zip(at.tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total(one)), pa.array(total(two)), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("uid"), pa.array(n), pa.array(total(one)), pa.array(total(two)), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "uid", "n", "k1", "k2", "sketch", "prefix"],
+            )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, prefix array<long>")
+    own = id_text(docs).withColumn("uid", F.monotonically_increasing_id())
+    return own.mapInArrow(run, "doc_id long, uid long, n long, k1 long, k2 long, sketch binary, prefix array<long>")
 
 
 def _prefixes(own: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, items): prefixes in the global order; items is null where the spare shingles don't suffice."""
+    """(uid, n, items): prefixes in the global order; items is null where the spare shingles don't suffice."""
     share = own.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,18 +153,13 @@ def _prefixes(own: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                     rows.append(ordered(flat[a:z], hot)[:p].view(np.int64))
                 else:
                     rows.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), pa.array(rows, pa.list_(pa.int64()))], names=["uid", "n", "items"])
 
-    return own.select("doc_id", "n", "prefix").mapInArrow(run, "doc_id long, n long, items array<long>")
-
-
-def _pick(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    own = id_text(docs)
-    return own.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return own.select("uid", "n", "prefix").mapInArrow(run, "uid long, n long, items array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, hot: np.ndarray, percent: int, whole: bool) -> DataFrame:
-    """(k1, k2, set) of chosen documents in the global order; only prefixes unless ``whole``."""
+    """(doc_id, k1, items) of the documents among ``ids``, read again: their sets, or prefixes in the global order unless ``whole``."""
     share = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,34 +173,27 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, hot: np.ndarray, percent:
             one = [int(mix(keys[a:z]).sum(dtype=np.uint64).view(np.int64)) for a, z in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(one, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "k1", "items"])
 
-    return _pick(docs, ids, ids.count()).mapInArrow(run, "doc_id long, k1 long, items array<long>")
+    names = ids.select("doc_id").distinct()
+    picked = id_text(docs).join(F.broadcast(names) if ids.count() <= BROADCAST_IDS else names, "doc_id", "left_semi")
+    return picked.mapInArrow(run, "doc_id long, k1 long, items array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of equal keys in sorted batches, as columns; a run may cross batches."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut between keys: every key lies whole in one of the batches that go out."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cut_at = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if held and held[-1].column(key)[0].as_py() != k[0]:
-            yield _columns(held)
-            held = []
-        start = 0
-        for c in cut_at.tolist():
-            yield _columns([*held, batch.slice(start, c - start)])
-            held, start = [], c
-        held.append(batch.slice(start))
+        k = batch.column(key).to_numpy()
+        last = int(np.searchsorted(k, k[-1]))  # where the last key begins; it may go on
+        if last or (held and held[-1].column(key)[0].as_py() != k[0]):
+            if held or last:
+                yield from pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
     if held:
-        yield _columns(held)
-
-
-def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    if len(parts) == 1:
-        return {f: parts[0].column(i) for i, f in enumerate(parts[0].schema.names)}
-    t = pa.Table.from_batches(parts).combine_chunks()
-    return {f: t.column(f).chunk(0) for f in t.schema.names}
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _live(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -235,70 +229,92 @@ def _bounds(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.where((low == 255).any(axis=1), np.minimum(n[i], n[j]), low.sum(axis=1, dtype=np.int64))
 
 
-def _group_pairs(n: np.ndarray, sketch: np.ndarray, label: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Of one group by size: members to compare with a member. With labels: all pairs across them that pass the bound."""
-    rest = np.arange(len(n))
-    while len(rest) > 1:
-        i, later = int(rest[0]), rest[1:]
-        can = later[: np.searchsorted(percent * n[later], 100 * n[i], side="right")]  # sizes ascend
-        if label is not None:
-            can = can[label[can] != label[i]]
-        if len(can):
-            can = can[_bounds(sketch, n, np.full(len(can), i), can) >= least_overlap(n[i], n[can], percent)]
-        if len(can):
-            yield can, i
-        rest = later if label is not None or not len(can) else later[~np.isin(later, can)]
+def _forest(n: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one group by ascending size: edges (member, members) of a spanning forest of the pairs that pass the bound."""
+    rest, waiting = np.arange(len(n)), []
+    while len(rest):
+        if not waiting:
+            waiting, rest = [int(rest[0])], rest[1:]
+        i = waiting.pop()
+        lo, hi = np.searchsorted(100 * n[rest], percent * n[i]), np.searchsorted(percent * n[rest], 100 * n[i], side="right")
+        can = rest[lo:hi]
+        ok = _bounds(sketch, n, np.full(len(can), i), can) >= least_overlap(n[i], n[can], percent)
+        if ok.any():
+            yield i, can[ok]
+            waiting.extend(can[ok].tolist())
+            rest = np.concatenate((rest[:lo], can[~ok], rest[hi:]))
 
 
-def _propose(live: DataFrame, percent: int, labels: bool) -> DataFrame:
-    """Pairs (x, pivot) to compare: with group pivots, or with ``labels`` all pairs across labels that pass the bound."""
+def _loose(live: DataFrame, percent: int) -> DataFrame:
+    """Edges (x, y) that join all sets which share a prefix shingle and pass the bound, and few others."""
+
+    def chain(rep: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        near = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
+        return zip(rep[near + 1].tolist(), rep[near].tolist())
 
     def solve(part: pa.RecordBatch, pairs: set[tuple[int, int]]) -> None:
         t, rep, n = (part.column(c).to_numpy() for c in ("t", "rep", "n"))
-        label = part.column("label").to_numpy() if labels else None
         sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-        new = np.ones(len(t), dtype=bool)
-        new[1:] = t[1:] != t[:-1]
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         size = np.diff(np.append(at, len(t)))
-        if label is not None:  # groups of one label have nothing left
-            lo, hi = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-            at, size = at[lo != hi], size[lo != hi]
         two = at[size == 2]
         if len(two):
-            can = percent * n[two + 1] <= 100 * n[two]
-            two = two[can]
+            two = two[percent * n[two + 1] <= 100 * n[two]]
             two = two[_bounds(sketch, n, two, two + 1) >= least_overlap(n[two], n[two + 1], percent)]
-            pairs.update(zip(np.maximum(rep[two], rep[two + 1]).tolist(), np.minimum(rep[two], rep[two + 1]).tolist()) if labels else zip(rep[two + 1].tolist(), rep[two].tolist()))
+            pairs.update(zip(rep[two + 1].tolist(), rep[two].tolist()))
         for a, m in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-            own = slice(a, a + m)
-            for can, i in _group_pairs(n[own], sketch[own], None if label is None else label[own], percent):
-                y = int(rep[a + i])
-                pairs.update((max(x, y), min(x, y)) if labels else (x, y) for x in rep[own][can].tolist())
+            own = rep[a : a + m]
+            for i, can in _forest(n[a : a + m], sketch[a : a + m], percent):
+                y = int(own[i])
+                pairs.update((x, y) for x in own[can].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[int, int]] = set()
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = batch.column("t").to_numpy()
-            last = int(np.searchsorted(t, t[-1]))  # where the last group begins; it may go on
-            if last or (held and held[-1].column("t")[0].as_py() != t[0]):
-                ready = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
-                for part in ready.to_batches():
-                    solve(part, pairs)
-                held = [batch.slice(last)]
-            else:
-                held.append(batch)
+        last, seen = None, 0  # the row before, and how many rows its shingle has had
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            """A shingle of more than GROUP_ROWS rows goes as a chain from there on; what came before is one chain too."""
+            nonlocal last, seen
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                t = batch.column("t").to_numpy()
+                for a, z in zip(at := np.flatnonzero(np.r_[True, t[1:] != t[:-1]]).tolist() if len(t) else [], [*at[1:], len(t)]):
+                    if last is None or last[0] != t[a]:
+                        if held:
+                            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                            held = []
+                        last, seen = None, 0
+                    one = batch.slice(a, z - a)
+                    seen += z - a
+                    if seen > GROUP_ROWS:
+                        rows = [*held, one]
+                        rep, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("rep", "n"))
+                        if last is not None and not held:
+                            rep, n = np.r_[last[1], rep], np.r_[last[2], n]
+                        pairs.update(chain(rep, n))
+                        held = []
+                    else:
+                        held.append(one)
+                    last = (t[z - 1], one.column("rep")[-1].as_py(), one.column("n")[-1].as_py())
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        waiting: list[pa.RecordBatch] = []
+        rows = 0
+        for group in pieces():
+            waiting.append(group)
+            rows += group.num_rows
+            if rows > 10_000:
+                solve(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], pairs)
+                waiting, rows = [], 0
             if len(pairs) > 50_000:
                 yield _pairs(pairs)
-                pairs = set()
-        if held:
-            for part in pa.Table.from_batches(held).combine_chunks().to_batches():
-                solve(part, pairs)
+                pairs.clear()
+        if waiting:
+            solve(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], pairs)
         if pairs:
             yield _pairs(pairs)
+        give_back()
 
     return _by_shingle(live).mapInArrow(run, "x long, y long").distinct()
 
@@ -309,153 +325,197 @@ def _pairs(pairs) -> pa.RecordBatch:
 
 
 class Trie:
-    """Ordered sets by shared beginnings; runs without a branch are one node.
+    """Sets of ranks by shared beginnings, as arrays: runs without a branch are one node.
 
-    A node: [its items, children by first item, least and greatest set size at or
-    below, sets that end here].
+    The sets are sorted, so the sets below a node are neighbours, ``low`` to ``high``.
     """
 
-    def __init__(self):
-        self.root: list = [np.empty(0, np.uint64), {}, 1 << 60, 0, []]
-
-    def add(self, name: int, items: np.ndarray) -> None:
-        node, pos, n = self.root, 0, len(items)
-        while True:
-            chain = node[0]
-            m = min(len(chain), n - pos)
-            differ = np.flatnonzero(chain[:m] != items[pos : pos + m])
-            k = int(differ[0]) if len(differ) else m
-            if k < len(chain):  # the run branches here
-                node[0], node[1], node[4] = chain[:k], {int(chain[k]): [chain[k:], node[1], node[2], node[3], node[4]]}, []
-            node[2], node[3] = min(node[2], n), max(node[3], n)
-            pos += k
-            if pos == n:
-                node[4].append(name)
-                return
-            child = node[1].get(int(items[pos]))
-            if child is None:
-                node[1][int(items[pos])] = [items[pos:], {}, n, n, [name]]
-                return
-            node = child
-
-    def probe(self, items: np.ndarray, percent: int) -> Iterator[int]:
-        """Names of stored sets of at least the similarity with ``items``."""
-        m = len(items)
-        stack = [(self.root, 0, 0)]  # node, items above it, overlap above it
-        while stack:
-            node, depth, shared = stack.pop()
-            chain, passed = node[0], 0
-            if len(chain):
-                at = np.searchsorted(items, chain)
-                shared += int(np.count_nonzero(items[np.minimum(at, m - 1)] == chain))
-                depth += len(chain)
-                passed = int(np.searchsorted(items, chain[-1], side="right"))
-            if node[4] and 100 * shared >= percent * (m + depth - shared):
-                yield from node[4]
-            for child in node[1].values():
-                # The best that is left: the rest of the probe, or of the longest set below.
-                best = shared + min(m - passed, child[3] - depth)
-                if (100 + percent) * best >= percent * (m + child[2]):
-                    stack.append((child, depth, shared))
-
-
-def link_group(probes: list[int], sets: dict[int, np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of what the probes are similar to in the group."""
-    trie, top = Trie(), {x: x for x in sets}
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for name in sorted(sets):
-        trie.add(name, sets[name])
-    links: list[tuple[int, int]] = []
-    for name in probes:
-        if len(links) == len(sets) - 1:
-            break
-        for other in trie.probe(sets[name], percent):
-            a, b = find(name), find(other)
-            if a != b:
-                top[a] = b
-                links.append((name, other))
-    return links
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, n_ids: int, percent: int, among: bool) -> DataFrame:
-    """Links among the pairs (x, y).
-
-    Ids are dealt to blocks of about GROUP_SETS; a task gets the sets of the pairs
-    between two blocks, each once, so a dense group costs the square of its blocks
-    and not of its sets. With ``among`` all sets of a task are probes, else only
-    each y, the pivots first.
-    """
-    blocks = max(1, -(-n_ids // GROUP_SETS))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = pairs.select("x", "y", F.xxhash64(block("x"), block("y")).alias("g"))
-    rows = keyed.select("g", F.col("x").alias("rep"), F.lit(False).alias("asks")).unionAll(keyed.select("g", "y", F.lit(True)))
-    rows = rows.groupBy("g", "rep").agg(F.max("asks").alias("asks")).join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray):
+        key = [x.astype(">u4").tobytes() for x in sets]
+        self.order = np.array(sorted(range(len(sets)), key=key.__getitem__), dtype=np.int64)
+        self.size = size[self.order]  # whole sizes; a set may hold shingles that no other has
+        self.sets = [sets[i] for i in self.order]
+        length = np.array([len(x) for x in self.sets], dtype=np.int64)
+        shared = [0]
+        for x, y in zip(self.sets, self.sets[1:]):
+            m = min(len(x), len(y))
+            differ = np.flatnonzero(x[:m] != y[:m])
+            shared.append(int(differ[0]) if len(differ) else m)
+        low, high, top, end, up = [0], [len(sets)], [0], [0], [-1]  # top: items above the node, end: with its own
+        path = [0]
+        for i, n in enumerate(length.tolist()):
+            while end[path[-1]] > shared[i]:
+                last = path.pop()
+                high[last] = i
+                if end[path[-1]] < shared[i]:  # the run branches inside
+                    low.append(low[last]), high.append(0), top.append(end[path[-1]]), end.append(shared[i]), up.append(path[-1])
+                    top[last], up[last] = shared[i], len(low) - 1
+                    path.append(len(low) - 1)
+            if n > end[path[-1]]:
+                low.append(i), high.append(0), top.append(end[path[-1]]), end.append(n), up.append(path[-1])
+                path.append(len(low) - 1)
+        for last in path:
+            high[last] = len(sets)
+        self.low, self.high, self.top, self.end, up = (np.array(x, dtype=np.int64) for x in (low, high, top, end, up))
+        self.flat = np.concatenate([*self.sets, np.zeros(1, np.int64)])
+        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+        self.at = begin[np.minimum(self.low, max(len(sets) - 1, 0))] + self.top if len(sets) else self.top
+        self.by = np.argsort(up, kind="stable")  # nodes by parent
+        self.child = np.searchsorted(up[self.by], np.arange(len(up) + 1))
+        self.least, self.longest = np.zeros(len(up), np.int64), np.zeros(len(up), np.int64)
+        for k, (a, z) in enumerate(zip(self.low.tolist(), self.high.tolist())):
+            self.least[k], self.longest[k] = (self.size[a:z].min(), length[a:z].max()) if z > a else (1 << 40, 0)
+        self.length = length
+
+    def probe(self, i: int, mark: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+        """Places after ``i`` of stored sets of at least the similarity with set ``i``, but for those that have its label.
+
+        ``mark`` says for each rank whether the probe has it; ``label`` is of the sets by place.
+        """
+        items, n = self.sets[i], int(self.size[i])
+        change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+        node, shared, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        while len(node):
+            end = self.end[node]
+            # Sets that end here: the first ones below the node, as long as its path.
+            for k in np.flatnonzero(self.length[self.low[node]] == end).tolist():
+                a, z = int(self.low[node[k]]), int(self.high[node[k]])
+                z = a + int(np.searchsorted(self.length[a:z] != end[k], True)) if z - a > 1 else z
+                here = np.arange(max(a, i + 1), z)
+                if len(here):
+                    here = here[(100 * shared[k] >= percent * (n + self.size[here] - shared[k])) & (label[here] != label[i])]
+                    if len(here):
+                        found.append(here)
+            count = self.child[node + 1] - self.child[node]
+            many = int(count.sum())
+            if not many:
+                break
+            at = np.repeat(self.child[node] - (np.cumsum(count) - count), count) + np.arange(many)
+            node, shared = self.by[at], np.repeat(shared, count)
+            low, high = self.low[node], self.high[node]
+            open_ = (high > i + 1) & ((change[high - 1] != change[low]) | (label[low] != label[i]))
+            node, shared = node[open_], shared[open_]
+            if not len(node):
+                break
+            run = self.end[node] - self.top[node]
+            at = np.repeat(self.at[node] - (np.cumsum(run) - run), run) + np.arange(int(run.sum()))
+            shared = shared + np.add.reduceat(mark[self.flat[at]], np.cumsum(run) - run)
+            passed = np.searchsorted(items, self.flat[self.at[node] + run - 1], side="right")
+            # The best that is left: the rest of the probe, or of the longest set below.
+            best = shared + np.minimum(len(items) - passed, self.longest[node] - self.end[node])
+            go = (100 + percent) * best >= percent * (n + self.least[node])
+            node, shared = node[go], shared[go]
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def link_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of sets of a cluster: the index of the first set of each one's component."""
+    m, size = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    label = np.arange(m)
+    if m < 2:
+        return label
+    _, rank, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    # Shingles that no other set has can't be shared; frequent ones come first, so that near copies share long beginnings.
+    place = np.empty(len(df), dtype=np.int64)
+    place[np.argsort(-df, kind="stable")] = np.arange(len(df))
+    held = df[rank] > 1
+    key = np.sort(owner[held] * len(df) + place[rank[held]])
+    at = np.searchsorted(key, np.arange(m + 1) * len(df))
+    kept = [key[a:z] % len(df) for a, z in zip(at.tolist(), at[1:].tolist())]
+    # A set that shares too few shingles has no link.
+    some = np.flatnonzero(100 * np.diff(at) >= percent * size)
+    trie = Trie([kept[i] for i in some], size[some])
+    own, mark = np.arange(len(some)), np.zeros(len(df), dtype=np.int64)
+    for i in range(len(some)):
+        mark[trie.sets[i]] = 1
+        found = trie.probe(i, mark, own, percent)
+        mark[trie.sets[i]] = 0
+        if len(found):
+            both = np.unique(own[np.append(found, i)])
+            own[np.isin(own, both)] = both[0]
+            if (own == own[0]).all():
+                break
+    name = some[trie.order]
+    if len(name):
+        first = np.full(len(name), m)
+        np.minimum.at(first, own, name)
+        label[name] = first[own]
+    return label
+
+
+def _link(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) of a star for each component that a task sees among its sets, given as rows (g, rep, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: set[tuple[int, int]] = set()
-        for g in _groups(batches, "g"):
-            flat, at, own = g["items"].flatten().to_numpy().view(np.uint64), 0, {}
-            reps, asks = g["rep"].to_pylist(), g["asks"].to_pylist()
-            for x, m in zip(reps, g["items"].value_lengths().to_pylist()):
-                own[x] = flat[at : at + m]
-                at += m
-            first = sorted(x for x, a in zip(reps, asks) if a)
-            links.update(link_group(first + sorted(x for x, a in zip(reps, asks) if not a) if among else first, own, percent))
+        links: list[tuple[int, int]] = []
+        for part in _runs(batches, "g"):
+            g, rep = part.column("g").to_numpy(), part.column("rep").to_numpy()
+            lists = part.column("items")
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            ends = np.cumsum(size)
+            at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(g)]):
+                label = link_group([flat[ends[k] - size[k] : ends[k]] for k in range(a, z)], percent)
+                k = np.flatnonzero(label != np.arange(z - a))
+                links.extend(zip(rep[a + k].tolist(), rep[a + label[k]].tolist()))
             if len(links) > 50_000:
                 yield _pairs(links)
-                links = set()
+                links = []
         if links:
             yield _pairs(links)
+        give_back()
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "x long, y long")
+
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "x long, y long").distinct()
+def _clusters(docs: DataFrame, own: DataFrame, loose: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (g, rep, items): every set of a cluster once, or, of a cluster too large for a task, once for each other block."""
+    part = cut(own.select("uid", "doc_id", "k1", "n").join(loose, own.uid == loose.node).select("uid", "doc_id", "k1", "n", "label"), "clusters")
+    blocks = part.groupBy("label").agg(F.ceil(F.sum("n") / GROUP_ITEMS).alias("blocks")).where("blocks > 1")
+    sets = _sets(docs, part, width, np.empty(0, np.uint64), percent, True)
+    sets = sets.join(part.select("uid", "doc_id", "k1", "label"), ["doc_id", "k1"]).dropDuplicates(["uid"]).join(blocks, "label", "left")
+    mine = F.pmod(F.xxhash64("uid"), F.col("blocks"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != mine)
+    keys = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("label"))).otherwise(F.transform(other, lambda j: F.xxhash64("label", F.least(mine, j), F.greatest(mine, j))))
+    return sets.select(F.explode(keys).alias("g"), F.col("uid").alias("rep"), "items")
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
     rows = cut(_describe(docs, width, percent), "sets")
-    whole = rows.where("doc_id is not null and n > 0").select("doc_id", "n", "k1", "k2")
-    classes = whole.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    member = cut(whole.join(classes, ["k1", "k2", "n"]).select("doc_id", "rep", "k1", "k2", "n"), "members")
-    reps = member.where("doc_id = rep").select("doc_id", "k1", "k2").distinct()
-    n_reps = reps.count()
-    own = rows.join(reps, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    own = cut(own, "classes")
+    whole = rows.where("doc_id is not null and n > 0").select("doc_id", "uid", "n", "k1", "k2")
+    classes = whole.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count(F.lit(1)).alias("m"))
+    same = cut(classes.where("m > 1").select("k1", "k2", "n", F.col("r.uid").alias("rep")), "classes")
+    member = cut(whole.join(same, ["k1", "k2", "n"], "left").select("doc_id", "uid", "n", F.coalesce("rep", "uid").alias("rep")), "members")
+    # A set of n shingles can only be linked with a different one if n of n + 1 is enough.
+    own = rows.where(f"doc_id is not null and 100 * n >= {percent} * (n + 1)")
+    own = cut(without(own, member.where("rep <> uid").select("uid"), "uid"), "own")
     by_hash = _prefixes(own, np.empty(0, np.uint64), percent).select(F.explode("items").alias("t"))
-    limit = max(HOT_LEAST, int(HOT_SHARE * n_reps))
+    limit = max(HOT_LEAST, int(HOT_SHARE * own.count()))
     often = by_hash.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > limit).select("t").toArrow()["t"].to_numpy()
     hot = np.sort(often.view(np.uint64))
     filled = _prefixes(own, hot, percent)
     if len(hot):  # few sets have so many hot shingles that the text must be read again
-        filled = cut(filled, "prefixes")
-        touched = cut(filled.where("items is null").select("doc_id").distinct(), "touched")
+        touched = cut(filled.where("items is null").select("uid").join(own.select("uid", "doc_id", "k1", "n"), "uid"), "touched")
         if not touched.isEmpty():
-            again = _sets(docs, touched, width, hot, percent, False).join(own.select("doc_id", "k1", "n"), ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"])
-            filled = filled.where("items is not null").unionByName(again.select("doc_id", "n", "items"))
-    prefix = filled.select(F.explode("items").alias("t"), F.col("doc_id").alias("rep"), "n")
+            again = _sets(docs, touched, width, hot, percent, False).join(touched, ["doc_id", "k1"]).dropDuplicates(["uid"])
+            filled = filled.where("items is not null").unionByName(again.select("uid", "n", "items"))
+    prefix = filled.select(F.explode("items").alias("t"), F.col("uid").alias("rep"), "n")
     live = _by_shingle(prefix).mapInArrow(lambda b: _live(b, percent), "t long, rep long, n long")
-    live = cut(live.join(own.select(F.col("doc_id").alias("rep"), "n", "sketch"), ["rep", "n"]).select("t", "rep", "n", "sketch"), "live")
-    pairs = cut(_propose(live, percent, False), "pairs")
-    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = _resolve(docs, pairs, width, percent, True)
-    labels = components(links.unionAll(same))
-    known = live.join(labels, live.rep == labels.node, "left").select("t", "rep", "n", "sketch", F.coalesce("label", "rep").alias("label"))
-    tested = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    rest = cut(_propose(known, percent, True).join(tested, ["x", "y"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = _resolve(docs, rest, width, percent, False)
-        # Components so far stand for themselves: one link from each node to its label.
-        labels = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    return rows.join(labels, rows.doc_id == labels.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
-
-
-def _resolve(docs: DataFrame, pairs: DataFrame, width: int, percent: int, among: bool) -> DataFrame:
-    ids = cut(pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select("y")).distinct(), "ids")
-    sets = cut(_sets(docs, ids, width, np.empty(0, np.uint64), percent, True).dropDuplicates(["doc_id"]), "items")
-    return cut(_verify(pairs, sets, ids.count(), percent, among).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    live = cut(live.join(own.select(F.col("uid").alias("rep"), "sketch"), "rep").select("t", "rep", "n", "sketch"), "live")
+    edges = cut(_loose(live, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "loose")
+    drop(live)
+    links = _link(_clusters(docs, own, components(edges), width, percent), percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Rows of one doc_id are one node, whatever their texts.
+    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionAll(member.join(twice, "doc_id").select("a", F.col("rep").alias("b")))
+    labels = components(links)
+    named = member.select("doc_id", "uid", "rep").join(labels, member.rep == labels.node, "left").select("doc_id", "uid", F.coalesce("label", "rep").alias("label"))
+    named = cut(named, "named")
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "component_id")
+    found = named.join(groups, "label", "left").select("uid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "uid", "n").join(found, "uid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = cut(out, "joined")
+    drop(rows, same, member, own, edges, named)
+    return out

@@ -338,19 +338,33 @@ def test_op10_links(docs, none, fixture_rows, monkeypatch, width, percent, hot):
     assert ngram_join.jaccard_join(none, width, percent).collect() == []
 
 
+@pytest.mark.parametrize("items, rows", [(300, 5000), (500_000, 2)])
+def test_op10_large_clusters(docs, fixture_rows, monkeypatch, items, rows):
+    """Clusters in blocks, and shingles with too many sets for one comparison."""
+    monkeypatch.setattr(ngram_join, "GROUP_ITEMS", items)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    want = plain_join([r for r in fixture_rows[0] if r[0] is not None], 3, 60)
+    got = ngram_join.jaccard_join(docs, 3, 60).collect()
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_op10_trie():
-    import random
-
-    r = random.Random(3)
-    sets = {i: sorted(r.sample(range(40), r.randint(5, 30))) for i in range(60)}
-    sets |= {100 + i: sorted(set(sets[i]) ^ {r.randrange(40)}) for i in range(30)}
-    sets = {k: np.array(s, dtype=np.uint64) for k, s in sets.items()}
-    trie = ngram_join.Trie()
-    for k, s in sets.items():
-        trie.add(k, s)
-    for s in sets.values():
-        want = {k for k, o in sets.items() if 100 * len({*s} & {*o}) >= 80 * len({*s} | {*o})}
-        assert set(trie.probe(s, 80)) == want
+    r = np.random.default_rng(3)
+    for percent in (50, 80, 90):
+        sets = [np.sort(r.choice(40, r.integers(5, 30), replace=False)) for _ in range(60)]
+        sets += [np.array(sorted(set(s.tolist()) ^ {int(r.integers(40))})) for s in sets[:30]] + sets[:3]
+        like = lambda a, b: 100 * len({*a} & {*b}) >= percent * len({*a} | {*b})
+        trie = ngram_join.Trie(sets, np.array([len(s) + 1 for s in sets]))  # each has one shingle of its own
+        for i, s in enumerate(trie.sets):
+            mark = np.zeros(40, dtype=np.int64)
+            mark[s] = 1
+            want = [j for j in range(i + 1, len(sets)) if 100 * len({*s} & {*trie.sets[j]}) >= percent * (len({*s} | {*trie.sets[j]}) + 2)]
+            assert sorted(trie.probe(i, mark, np.arange(len(sets)), percent)) == want
+        top = np.arange(len(sets))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if like(sets[i], sets[j]):
+                top[top == max(top[i], top[j])] = min(top[i], top[j])
+        assert ngram_join.link_group(sets, percent).tolist() == top.tolist()
 
 
 def test_components(spark):
