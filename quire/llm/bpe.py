@@ -27,7 +27,7 @@ from . import pretoken
 from .common import id_text, text_chunks
 
 #: Distinct pre-tokens remembered by a worker; at the bound it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -3,12 +3,13 @@
 Grades are 0 (poor), 1 (fair: good prose, but toxic) and 2 (good). One weight
 vector over hashed text features is shared by all grades, and ordered thresholds
 cut its score: P(grade <= k) = sigmoid(threshold_k - score). Features say which
-words, word shapes and repeated words a text has, hashed to a fixed number of
-buckets; a proximal step keeps few of them.
+words and word shapes a text has and how many of its five-word windows differ,
+hashed to a fixed number of buckets; a proximal step keeps few of them.
 
 Null or empty text has no feature and gets the grade that the thresholds alone
 give. Rows are independent; a null id is passed through. Without ratings of two
-grades at least, every text gets the middle of the scale.
+grades at least, every text gets the middle of the scale. Of ratings of one doc_id
+the lowest grade counts, and of texts of one doc_id the least.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import id_text, text_chunks
 
 BUCKETS = 1 << 16
-#: Bound of the training sample: rated documents of each grade, and features kept of each.
-TRAIN_DOCS, TRAIN_FEATURES = 1500, 4000
+#: Bound of the training sample: rated documents of each grade. Their texts are read whole.
+TRAIN_DOCS = 1500
 GRADES = 3
 #: Chosen if the probability of the top grade is at least this.
 MIN_TAIL = 0.5
@@ -47,7 +48,7 @@ def shape(word: str) -> str:
             c = "X" if c.isupper() else "x"
         if len(out) < 2 or out[-1] != c or out[-2] != c:
             out.append(c)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 def word_features(word: str) -> tuple[int, int]:
@@ -64,7 +65,7 @@ class Features:
     def of(self, text: str) -> set[int]:
         words = text.split()
         kinds = set(words)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         seen, out = self.seen, set()
         for w in kinds:
@@ -72,8 +73,10 @@ class Features:
             if f is None:
                 f = seen[w] = word_features(w)
             out.update(f)
-        if words:  # how much a text repeats itself, in sevenths
-            out.add(zlib.crc32(b"distinct %d" % (7 * len(kinds) // len(words) if len(words) < 200 else 7 * min(len(kinds), 200) // 200)) % BUCKETS)
+        if words:  # how much a text repeats itself: different five-word windows of all, in eighths
+            windows = max(1, len(words) - 4)
+            distinct = len(set(zip(*(words[k:] for k in range(5))))) if windows > 1 else 1
+            out.add(zlib.crc32(b"distinct %d" % (8 * distinct // windows)) % BUCKETS)
         return out
 
 
@@ -124,6 +127,7 @@ def rated(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
     """Features and grades of at most TRAIN_DOCS documents of each grade: those whose hashed id is lowest."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null")
+    own = own.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = None
     for g in range(GRADES):
         part = own.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
@@ -136,10 +140,11 @@ def rated(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for part in text_chunks(batches):
-            rows = [sorted(own.of(t or ""), key=lambda b: (b * 0x9E3779B1) & 0xFFFF)[:TRAIN_FEATURES] for t in part.column("text").to_pylist()]
+            rows = [sorted(own.of(t or "")) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.array(r, dtype="<u2").tobytes() for r in rows], pa.binary())], names=["doc_id", "f"])
 
-    found = id_text(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, f binary").orderBy("doc_id").collect()
+    texts = id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = texts.mapInArrow(run, "doc_id long, f binary").orderBy("doc_id").collect()
     return [(np.frombuffer(bytes(r.f), dtype="<u2").astype(np.int64), chosen[r.doc_id]) for r in found]
 
 

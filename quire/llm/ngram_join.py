@@ -23,6 +23,7 @@ has its shingles counted and a null component. Equal texts are linked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop, give_back, id_text, text_chunks, without
 from .components import components
 
-BUCKETS = 64
+#: Buckets of a sketch: the power of two at which a bucket has LOAD shingles or fewer on average, BUCKETS at least.
+BUCKETS, LOAD = 64, 16
 #: A shingle is hot if so many prefixes have it, and a ten-thousandth of all classes: at most 10,000 per prefix shingle of an average set.
 HOT_LEAST, HOT_SHARE = 256, 1e-4
 #: Shingles of a block; a task holds the sets of two blocks at a time.
@@ -116,12 +118,14 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
             n = np.diff(at)
             one, two = np.append(np.cumsum(mix(keys)), np.uint64(0)), np.append(np.cumsum(mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))), np.uint64(0))
             total = lambda c: np.where(n > 0, c[at[1:] - 1] - np.where(at[:-1] > 0, c[at[:-1] - 1], np.uint64(0)), np.uint64(0)).view(np.int64)
-            owner = np.repeat(np.arange(len(n)), n)
-            grid = np.bincount(owner * BUCKETS + (keys >> np.uint64(58)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(-1, BUCKETS)
-            sketch = np.minimum(grid, 255).astype(np.uint8)
+            deep = _depth(n)
+            begin = np.concatenate(([0], np.cumsum(1 << deep)))
+            place = np.repeat(begin[:-1], n) + (keys >> (64 - np.repeat(deep, n)).astype(np.uint64)).astype(np.int64)
+            grid = np.minimum(np.bincount(place, minlength=int(begin[-1])), 255).astype(np.uint8)
+            sketch = [grid[a:z].tobytes() for a, z in zip(begin.tolist(), begin[1:].tolist())]
             prefix = [keys[a : min(z, a + (p := prefix_size(z - a, percent)) + spare(p))].view(np.int64) if z > a else [] for a, z in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("uid"), pa.array(n), pa.array(total(one)), pa.array(total(two)), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                [part.column("doc_id"), part.column("uid"), pa.array(n), pa.array(total(one)), pa.array(total(two)), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "uid", "n", "k1", "k2", "sketch", "prefix"],
             )
 
@@ -223,22 +227,46 @@ def _by_shingle(rows: DataFrame) -> DataFrame:
     return rows.repartition("t").sortWithinPartitions("t", "n", "rep")
 
 
-def _bounds(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps of sets i and j."""
-    low = np.minimum(sketch[i], sketch[j])
-    return np.where((low == 255).any(axis=1), np.minimum(n[i], n[j]), low.sum(axis=1, dtype=np.int64))
+def _depth(n: np.ndarray) -> np.ndarray:
+    """log2 of the buckets of sketches of sets of n shingles."""
+    return np.ceil(np.log2(np.maximum(n / LOAD, BUCKETS))).astype(np.int64)
 
 
-def _forest(n: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+class Sketches:
+    """Sketches of several sizes. Two are compared at the size of the smaller, to which the larger folds."""
+
+    def __init__(self, n: np.ndarray, rows: list[bytes]):
+        self.n, self.depth, self.at, self.row = n, _depth(n), {}, {}
+        for d in np.unique(self.depth).tolist():
+            full, twice = np.flatnonzero(self.depth == d), np.flatnonzero(self.depth == d + 1)
+            grid = np.frombuffer(b"".join(rows[i] for i in full), dtype=np.uint8).reshape(-1, 1 << d)
+            more = np.frombuffer(b"".join(rows[i] for i in twice), dtype=np.uint8).reshape(-1, 1 << d, 2)
+            fold = np.where((more == 255).any(axis=2), 255, np.minimum(more.sum(axis=2, dtype=np.int64), 255)).astype(np.uint8)
+            self.at[d] = np.concatenate((grid, fold))
+            self.row[d] = np.zeros(len(n), dtype=np.int64)
+            self.row[d][np.concatenate((full, twice))] = np.arange(len(full) + len(twice))
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlaps of sets i and j, whose sizes differ by less than half."""
+        level, out = np.minimum(self.depth[i], self.depth[j]), np.minimum(self.n[i], self.n[j])
+        for d in np.unique(level).tolist():
+            k = np.flatnonzero(level == d)
+            low = np.minimum(self.at[d][self.row[d][i[k]]], self.at[d][self.row[d][j[k]]])
+            sure = ~(low == 255).any(axis=1)
+            out[k[sure]] = low[sure].sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _forest(sketch: Sketches, rows: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Of one group by ascending size: edges (member, members) of a spanning forest of the pairs that pass the bound."""
-    rest, waiting = np.arange(len(n)), []
+    rest, waiting, n = rows, [], sketch.n
     while len(rest):
         if not waiting:
             waiting, rest = [int(rest[0])], rest[1:]
         i = waiting.pop()
         lo, hi = np.searchsorted(100 * n[rest], percent * n[i]), np.searchsorted(percent * n[rest], 100 * n[i], side="right")
         can = rest[lo:hi]
-        ok = _bounds(sketch, n, np.full(len(can), i), can) >= least_overlap(n[i], n[can], percent)
+        ok = sketch.bounds(np.full(len(can), i), can) >= least_overlap(n[i], n[can], percent)
         if ok.any():
             yield i, can[ok]
             waiting.extend(can[ok].tolist())
@@ -254,19 +282,18 @@ def _loose(live: DataFrame, percent: int) -> DataFrame:
 
     def solve(part: pa.RecordBatch, pairs: set[tuple[int, int]]) -> None:
         t, rep, n = (part.column(c).to_numpy() for c in ("t", "rep", "n"))
-        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+        sketch = Sketches(n, part.column("sketch").to_pylist())
         at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         size = np.diff(np.append(at, len(t)))
         two = at[size == 2]
         if len(two):
             two = two[percent * n[two + 1] <= 100 * n[two]]
-            two = two[_bounds(sketch, n, two, two + 1) >= least_overlap(n[two], n[two + 1], percent)]
+            two = two[sketch.bounds(two, two + 1) >= least_overlap(n[two], n[two + 1], percent)]
             pairs.update(zip(rep[two + 1].tolist(), rep[two].tolist()))
         for a, m in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-            own = rep[a : a + m]
-            for i, can in _forest(n[a : a + m], sketch[a : a + m], percent):
-                y = int(own[i])
-                pairs.update((x, y) for x in own[can].tolist())
+            for i, can in _forest(sketch, np.arange(a, a + m), percent):
+                y = int(rep[i])
+                pairs.update((x, y) for x in rep[can].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[int, int]] = set()
@@ -469,16 +496,29 @@ def _link(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "x long, y long")
 
 
-def _clusters(docs: DataFrame, own: DataFrame, loose: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (g, rep, items): every set of a cluster once, or, of a cluster too large for a task, once for each other block."""
-    part = cut(own.select("uid", "doc_id", "k1", "n").join(loose, own.uid == loose.node).select("uid", "doc_id", "k1", "n", "label"), "clusters")
-    blocks = part.groupBy("label").agg(F.ceil(F.sum("n") / GROUP_ITEMS).alias("blocks")).where("blocks > 1")
-    sets = _sets(docs, part, width, np.empty(0, np.uint64), percent, True)
-    sets = sets.join(part.select("uid", "doc_id", "k1", "label"), ["doc_id", "k1"]).dropDuplicates(["uid"]).join(blocks, "label", "left")
+def _clusters(docs: DataFrame, own: DataFrame, loose: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (g, rep, items): every set of a cluster once. Also the tables that they are read from.
+
+    A cluster too large for a task is cut by size first: linked sets are in one
+    band or in two that adjoin, so a part has two bands. A part that is still too
+    large is dealt to blocks, and its sets go out once for each other block.
+    """
+    part = own.select("uid", "doc_id", "k1", "n").join(loose, own.uid == loose.node)
+    part = cut(part.select("uid", "doc_id", "k1", "label", "n", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).alias("band")), "clusters")
+    large = part.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > GROUP_ITEMS).select("label")
+    cells = part.join(large, "label", "left_semi").groupBy("label", "band").agg(F.sum("n").alias("own"))
+    above = cells.select("label", (F.col("band") - 1).alias("band"), F.col("own").alias("more"))
+    cells = cells.join(above, ["label", "band"], "left").select("label", "band", F.ceil((F.col("own") + F.coalesce("more", F.lit(0))) / GROUP_ITEMS).alias("blocks"))
+    cells = cut(cells, "cells")
+    keys = part.join(cells.select("label").distinct(), "label", "left_anti").select("uid", F.xxhash64("label").alias("g"))
+    spread = part.join(cells.select("label").distinct(), "label", "left_semi").select("uid", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band")).join(cells, ["label", "band"])
     mine = F.pmod(F.xxhash64("uid"), F.col("blocks"))
     other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != mine)
-    keys = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("label"))).otherwise(F.transform(other, lambda j: F.xxhash64("label", F.least(mine, j), F.greatest(mine, j))))
-    return sets.select(F.explode(keys).alias("g"), F.col("uid").alias("rep"), "items")
+    each = F.when(F.col("blocks") == 1, F.array(F.xxhash64("label", "band"))).otherwise(F.transform(other, lambda j: F.xxhash64("label", "band", F.least(mine, j), F.greatest(mine, j))))
+    keys = keys.unionAll(spread.select("uid", F.explode(each).alias("g")))
+    sets = _sets(docs, part, width, np.empty(0, np.uint64), percent, True)
+    sets = cut(sets.join(part.select("uid", "doc_id", "k1"), ["doc_id", "k1"]).dropDuplicates(["uid"]).select("uid", "items"), "items")
+    return keys.join(sets, "uid").select("g", F.col("uid").alias("rep"), "items"), [part, cells, sets]
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -506,10 +546,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     live = cut(live.join(own.select(F.col("uid").alias("rep"), "sketch"), "rep").select("t", "rep", "n", "sketch"), "live")
     edges = cut(_loose(live, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "loose")
     drop(live)
-    links = _link(_clusters(docs, own, components(edges), width, percent), percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    dealt, used = _clusters(docs, own, components(edges), width, percent)
+    stars = cut(_link(dealt, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    drop(edges, *used)
     # Rows of one doc_id are one node, whatever their texts.
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    links = links.unionAll(member.join(twice, "doc_id").select("a", F.col("rep").alias("b")))
+    links = stars.unionAll(member.join(twice, "doc_id").select("a", F.col("rep").alias("b")))
     labels = components(links)
     named = member.select("doc_id", "uid", "rep").join(labels, member.rep == labels.node, "left").select("doc_id", "uid", F.coalesce("label", "rep").alias("label"))
     named = cut(named, "named")
@@ -517,5 +559,5 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     found = named.join(groups, "label", "left").select("uid", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "uid", "n").join(found, "uid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = cut(out, "joined")
-    drop(rows, same, member, own, edges, named)
+    drop(rows, same, member, own, stars, named)
     return out

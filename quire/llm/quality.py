@@ -5,9 +5,17 @@ random field with the labels *boilerplate* (0) and *content* (1), fitted on a
 bounded sample of labelled documents, is decoded with Viterbi's algorithm; the
 share of a document's words that stands in content lines decides retention.
 
+Ratings are of documents, so the labels of the lines are latent: a mixture of
+two kinds of lines is fitted by expectation and maximisation, in which a line of a
+good document is content with probability SHARE[1] and one of a poor document with
+SHARE[0]. A poor text's clean lines are thus content, and a good text's junk
+isn't. The chains of the field are the whole texts of the sample, in pieces of
+CHAIN lines.
+
 Null or empty text has no words and fails the base rule. Rows are independent,
 so repeated rows get equal answers; a null id is passed through. With no
-labelled rows the fixed prior weights below are used unfitted.
+labelled rows the fixed prior weights below are used unfitted. Of ratings of one
+doc_id the lowest counts, and of texts of one doc_id the least.
 """
 
 from __future__ import annotations
@@ -22,8 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import id_text, text_chunks, through
 
-#: Bounds of the training sample: labelled documents of each class, and first lines of each.
-TRAIN_DOCS, TRAIN_LINES = 300, 60
+#: Bound of the training sample: labelled documents of each class.
+TRAIN_DOCS = 300
+#: Lines of a training chain; longer texts are several chains.
+CHAIN = 200
+#: Probability that a line of a poor and of a good document is content, before its features are seen.
+SHARE = (0.1, 0.95)
 #: A document stays if this share of its words is in content lines.
 MIN_CONTENT = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -210,13 +222,30 @@ def viterbi(score: list[float], step: list[list[float]]) -> list[int]:
     return y[::-1]
 
 
-def labelled_chains(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature bits and line labels of at most TRAIN_DOCS documents of each class.
+def line_labels(masks: list[np.ndarray], quality: list[int], rounds: int = 20) -> list[np.ndarray]:
+    """Most probable labels of lines, given feature bits and the documents' ratings; lines that a text has had before are boilerplate."""
+    if not masks:
+        return []
+    mask, q = np.concatenate(masks), np.repeat(quality, [len(m) for m in masks])
+    kinds, kind = np.unique(mask, return_inverse=True)
+    x, dup = bits(kinds), (kinds >> FEATURES.index("dup_line")) & 1 == 1
+    # Lines of one kind in documents of one rating are alike, so a table of counts is enough.
+    count = np.stack([np.bincount(kind[q == c], minlength=len(kinds)) for c in (0, 1)]).astype(np.float64)
+    odds = np.log(np.array(SHARE) / (1 - np.array(SHARE)))[:, None]
+    p = np.broadcast_to(np.array(SHARE)[:, None], count.shape) * ~dup
+    for _ in range(rounds):
+        one, two = ((count * w).sum(axis=0) for w in (p, 1 - p))
+        a, b = ((w @ x + 1) / (w.sum() + 2) for w in (one, two))
+        gain = x @ np.log(a / b) + (1 - x) @ np.log((1 - a) / (1 - b))
+        p = np.where(dup, 0.0, 1 / (1 + np.exp(-np.clip(odds + gain, -50, 50))))
+    label = (p[q, kind] >= 0.5).astype(np.int64)
+    return np.split(label, np.cumsum([len(m) for m in masks])[:-1])
+
 
-    The documents are those whose hashed id is lowest. A poor document's lines are
-    boilerplate; a good one's are content but for lines it has had before.
-    """
+def labelled_chains(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature bits and line labels of at most TRAIN_DOCS documents of each class: those whose hashed id is lowest."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = None
     for q in (0, 1):
         part = own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
@@ -229,12 +258,14 @@ def labelled_chains(docs: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
             seen = observe([t or "" for t in part.column("text").to_pylist()])
-            rows = [seen.mask[a : min(z, a + TRAIN_LINES)].tolist() for a, z in zip(seen.line_at, seen.line_at[1:])]
+            rows = [seen.mask[a:z].tolist() for a, z in zip(seen.line_at, seen.line_at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "mask"])
 
-    found = id_text(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, mask array<long>").orderBy("doc_id").collect()
-    dup = 1 << FEATURES.index("dup_line")
-    return [(m := np.array(r.mask, dtype=np.int64), ((m & dup) == 0) * chosen[r.doc_id]) for r in found]
+    texts = id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = texts.mapInArrow(run, "doc_id long, mask array<long>").orderBy("doc_id").collect()
+    masks = [np.array(r.mask, dtype=np.int64) for r in found]
+    chains = zip(masks, line_labels(masks, [chosen[r.doc_id] for r in found]))
+    return [(m[k : k + CHAIN], y[k : k + CHAIN]) for m, y in chains for k in range(0, len(m), CHAIN)]
 
 
 def verdicts(texts: list[str], model: Model, min_content: float = MIN_CONTENT) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
