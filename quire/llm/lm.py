@@ -1,24 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Tokens are lower-cased words and one end a text; every word is a symbol of its
-own. Contexts are suffixes of the words read so far, to MAX_DEPTH words. A context
-is retained if it passes a divergence test: the left-one-out log-likelihood gain of
-its next-word distribution over that of its own suffix, N(s) times an unbiased
-estimate of their divergence, must exceed MIN_GAIN. No frequency or share decides:
-a context whose next words are all different has no gain, and next words seen
-once add the same to the gain whatever the suffix says, so that only pairs of a
-context and a next word seen twice (MIN_PAIR) are written and joined. Distributions
-are smoothed by absolute discounting of these pairs towards the next shorter
-retained suffix, down to the word frequencies. A token is scored in the state of
-its longest retained suffix.
-
-All counts are over all training texts. The tree is a table a depth, by 64-bit
-hashes of context and word. Pairs are dealt by their context to as many buckets as
-the corpus needs, counted there, and later looked up there by all texts. Contexts
-made of hot words only (HOT of all tokens or more, at most 1 / HOT words) are dealt
-by context and next word, and their totals are summed over the buckets. The log
-probability of a token is a sum over depths, so each depth is looked up by itself:
-a retained context adds log(back), and a pair in it log(p / (back * p of suffix)).
+own. Contexts are suffixes of the words read so far, to MAX_DEPTH words, where a
+text begins with a mark. A context is retained if it passes a divergence test: the
+left-one-out log-likelihood gain of its next-word distribution over that of its
+own suffix, N(s) times an unbiased estimate of their divergence, must exceed
+MIN_GAIN. No frequency or share decides: a context whose next words are all
+different has no gain, and next words seen once add the same to the gain whatever
+the suffix says, so that only runs of words seen MIN_PAIR times are kept.
+Distributions are smoothed by absolute discounting of these towards the next
+shorter retained suffix, down to the word frequencies. A token is scored in the
+state of its longest retained suffix.
+
+All counts are over all training texts, and what is gathered grows with them. The
+texts are read once; their words' 64-bit hashes, by chunk, are a written table.
+A run of k words is known by the hash of the two runs of k - 1 words in it, its
+context and its parent. A run seen twice has both seen twice, so of the runs of k
+words only those are counted whose halves are kept: a sieve of fixed size spares
+most others, and what passes it is counted exactly. Runs are dealt by their own
+hashes, so a frequent word or context is no hot key. The total of a context is its
+own count as a run one word shorter, and next words seen once are what the others
+leave of it. A token's log probability is a sum: of its word's, of log(back) for
+each retained context, and of log(p / (back * p of suffix)) for each run in it. A
+chunk asks for each of its distinct keys once.
 
 Null text counts as empty: one token, the end. A null id is hashed as empty
 text. Rows are scored one by one, so repeated rows get equal scores. Without any
@@ -27,352 +31,340 @@ training text N is 0 and all tokens are unknown.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, partitions, text_chunks
+from .common import cut, drop, give_back, id_text, partitions, text_chunks
 
-MIN_KNOWN, MIN_SYMBOL, HOT = 2.5e-7, 2e-4, 1e-3
 MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
+#: Bytes of text of a chunk: larger ones repeat more of their words.
+CHUNK = 4 << 20
 #: Tokens a bucket on average.
-BUCKET = 1_500_000
-#: 64-bit words of the sieve: 32 MB for any corpus.
-SIEVE = 1 << 22
-RARE, END = 0, 1
-END_WORD = b" end"  # no word has a space
+BUCKET = 1_000_000
+#: 64-bit words of the sieve: 16 MB for any corpus.
+SIEVE = 1 << 21
+END_WORD, BEGIN_WORD = b" end", b" begin"  # no word has a space
 
 
 def word_hash(word: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >= 1 << 63 else h
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def held_out(ids: list[int | None]) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else b"%d" % i) % 5 == 1 for i in ids), dtype=bool, count=len(ids))
 
 
-class Tokens(NamedTuple):
-    hashes: np.ndarray  # of the distinct words
-    index: np.ndarray  # of all tokens into hashes, -1 for ends
-    doc: np.ndarray  # of all tokens
-    counts: np.ndarray  # tokens of each text
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def tokens(texts: list[str | None]) -> Tokens:
+def joined(context: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The key of a run of words from those of its context and its parent."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + parent)
+
+
+def as_context(key: np.ndarray) -> np.ndarray:
+    """The key under which log(back) of a run as a context is filed."""
+    return mix(key ^ np.uint64(0xA0761D6478BD642F))
+
+
+class Chunk(NamedTuple):
+    """Texts as words: a mark, the words and the end of each."""
+
+    hashes: np.ndarray  # of the distinct words, the mark and the end, in order
+    index: np.ndarray  # of all tokens into hashes
+    counts: np.ndarray  # tokens of each text, with mark and end
+    train: np.ndarray  # of each text
+
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def chunk(texts: list[str | None], train: np.ndarray) -> Chunk:
     split = [(t or "").encode().lower().split() for t in texts]
+    words = [w for x in split for w in (BEGIN_WORD, *x, END_WORD)]
     first: dict[bytes, int] = {}
-    words = [w for x in split for w in x]
     at = np.fromiter(map(first.setdefault, words, range(len(words))), dtype=np.int64, count=len(words))
     where, index = np.unique(at, return_inverse=True)
-    hashes = np.fromiter((word_hash(words[i]) for i in where), dtype=np.int64, count=len(where))
-    counts = np.fromiter((len(x) + 1 for x in split), dtype=np.int64, count=len(split))
-    full = np.full(int(counts.sum()), -1, dtype=np.int64)
-    there = np.ones(len(full), dtype=bool)
-    there[np.cumsum(counts) - 1] = False
-    full[there] = index
-    return Tokens(hashes, full, np.repeat(np.arange(len(texts)), counts), counts)
-
-
-class Words(NamedTuple):
-    hashes: np.ndarray  # of known words, in order
-    counts: np.ndarray
-    symbols: np.ndarray
-    n_symbols: int
-    total: int  # N
-    scale: float  # N + 0.5 * (V + 1)
-    root: np.ndarray  # probability of each symbol
-
-    def look(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and training count (-1: not known here) of every token."""
-        at = np.minimum(np.searchsorted(self.hashes, t.hashes), max(len(self.hashes) - 1, 0))
-        hit = self.hashes[at] == t.hashes if len(self.hashes) else np.zeros(len(t.hashes), bool)
-        sym = np.append(np.where(hit, self.symbols[at] if len(self.hashes) else 0, RARE), END)
-        end = np.searchsorted(self.hashes, word_hash(END_WORD))
-        n_end = self.counts[end] if end < len(self.hashes) and self.hashes[end] == word_hash(END_WORD) else 0
-        cnt = np.append(np.where(hit, self.counts[at] if len(self.hashes) else -1, -1), n_end)
-        return sym[t.index], cnt[t.index]
-
-
-class Level(NamedTuple):
-    contexts: np.ndarray  # retained, in order
-    total: np.ndarray  # N(s)
-    back: np.ndarray  # mass left to the suffix, over N(s)
-    entries: np.ndarray  # context * n_symbols + next, in order
-    mass: np.ndarray  # of an entry, over N(s)
-
-
-def contexts(sym: np.ndarray, doc: np.ndarray, depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ``depth`` symbols before each token, and where they exist. A text begins with the symbol ``n`` - 1."""
-    start = np.ones(len(doc), dtype=bool)
-    start[1:] = doc[1:] != doc[:-1]
-    key, ok, pos = np.zeros(len(sym), dtype=np.int64), np.ones(len(sym), dtype=bool), np.arange(len(sym))
-    begin = np.maximum.accumulate(np.where(start, pos, 0))
-    for d in range(1, depth + 1):
-        before = np.full(len(sym), n - 1, dtype=np.int64)
-        inside = pos - d >= begin
-        before[inside] = sym[pos[inside] - d]
-        ok &= pos - d >= begin - 1
-        key += before * n ** (d - 1)
-    return key, ok
-
-
-def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(ordered):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
-    return at, ordered[at] == keys
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """Training count of every word's hash (and of the end's)."""
+    hashes = np.fromiter((word_hash(words[i]) for i in where), dtype=np.uint64, count=len(where))
+    order = np.argsort(hashes)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return Chunk(hashes[order], rank[index], np.fromiter((len(x) + 2 for x in split), dtype=np.int64, count=len(split)), train)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
-            train = ~held_out(part.column("doc_id").to_pylist())
-            part = part.filter(pa.array(train))
-            t = tokens(part.column("text").to_pylist())
-            n = np.bincount(t.index + 1, minlength=len(t.hashes) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(t.hashes, word_hash(END_WORD))), pa.array(np.append(n[1:], n[0]))], names=["h", "n"])
-
-    return id_text(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0")
-
-
-def known_words(counts: DataFrame) -> Words:
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("c")).first())
-    some = counts.where(F.col("c") >= MIN_KNOWN * total).orderBy("h").toArrow()  # at most 1 / MIN_KNOWN rows
-    h, c = some["h"].to_numpy(), some["c"].to_numpy()
-    end = h == word_hash(END_WORD)
-    own = (c >= MIN_SYMBOL * total) & ~end
-    sym = np.zeros(len(h), dtype=np.int64)
-    sym[own] = np.arange(2, 2 + own.sum())
-    sym[end] = END
-    n, scale = int(own.sum()) + 3, total + 0.5 * (distinct + 1)
-    root = np.zeros(n)
-    root[sym[own]] = (c[own] + 0.5) / scale
-    root[END] = ((c[end][0] if end.any() else 0) + 0.5) / scale
-    root[RARE] = max(1 - root.sum(), 1e-12)
-    return Words(h, c, sym, n, total, scale, root)
-
-
-def suffixes(t: Tokens, hot: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth to ``depth``, of every token: hash of the word, of the context of so many words before it and of that one's suffix, if it exists, if all its words are hot."""
-    x = np.append(t.hashes, word_hash(END_WORD))[t.index]
-    is_hot = find(hot, x)[1]
-    first = np.r_[True, t.doc[1:] != t.doc[:-1]]
-    pos = np.arange(len(x))
-    begin = np.maximum.accumulate(np.where(first, pos, 0))
-    ctx, up, all_hot = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64), np.ones(len(x), bool)
-    for d in range(1, depth + 1):
-        inside = pos - d >= begin
-        at = np.maximum(pos - d, 0)
-        up = ctx
-        ctx = (ctx + np.where(inside, x[at], d).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        ctx = (ctx ^ ctx >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        ctx ^= ctx >> np.uint64(29)
-        all_hot = all_hot & np.where(inside, is_hot[at], True)
-        yield x, ctx.view(np.int64), up.view(np.int64), pos - d >= begin - 1, all_hot
-
-
-def bucket(ctx: np.ndarray, x: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(np.where(hot, ctx ^ x, ctx), n)
-
-
-def dealt(b: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket: the columns of its rows, as bytes one after another."""
+
+_CHUNKS = "cid long, ids binary, some binary, hashes binary, idx binary, counts binary, train binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in text_chunks(batches, CHUNK):
+        ids = part.column("doc_id")
+        c = chunk(part.column("text").to_pylist(), ~held_out(ids.to_pylist()))
+        rows = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), c.hashes, c.index.astype(np.uint32), c.counts, c.train]
+        yield pa.RecordBatch.from_arrays([part.column("uid").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in rows)], names=["cid", "ids", "some", "hashes", "idx", "counts", "train"])
+
+
+def _each(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Chunk]]:
+    for i in range(table.num_rows):
+        get = lambda name, kind: np.frombuffer(table.column(name)[i].as_py(), kind)  # noqa: B023, E731
+        yield table.column("cid")[i].as_py(), Chunk(get("hashes", np.uint64), get("idx", np.uint32).astype(np.int64), get("counts", np.int64), get("train", bool))
+
+
+class Sieve:
+    """Bits of keys. It only spares work: what passes it is looked up or counted exactly."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        return (self.bits[(key >> np.uint64(6)) & np.uint64(len(self.bits) - 1)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def add(self, keys: DataFrame) -> None:
+        """Set the bits of a column h of keys: at most SIEVE words go to the driver."""
+        word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(self.bits) - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+        found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.bits[found["w"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
+
+
+def runs(c: Chunk, passes: Sieve | None, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 2 to ``depth`` + 1, of the runs of k words: place of the last word, key, key of the context, key of the parent.
+
+    With a sieve only of the runs whose halves pass it.
+    """
+    key, good = c.hashes[c.index], np.ones(len(c.index), dtype=bool)
+    first = np.cumsum(c.counts) - c.counts
+    if passes is not None:
+        good = passes(c.hashes)[c.index]
+    inside = np.ones(len(key), dtype=bool)
+    inside[first] = False
+    at = np.flatnonzero(inside)
+    for _ in range(depth):
+        # ``key`` and ``good`` are of the runs one word shorter that end at each place.
+        at = at[good[at] & good[at - 1]]
+        context, parent = key[at - 1], key[at]
+        made = joined(context, parent)
+        yield at, made, context, parent
+        key = np.zeros(len(key), np.uint64)
+        key[at] = made
+        good = np.zeros(len(key), dtype=bool)
+        good[at] = True if passes is None else passes(made)
+
+
+def dealt(b: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets in order, and the columns of each one's rows as bytes one after another."""
     order = np.argsort(b, kind="stable")
     kinds, start = np.unique(b[order], return_index=True)
     cols = tuple(c[order] for c in cols)
     ends = np.append(start[1:], len(b))
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(start, ends)], pa.binary())], names=["b", "rows"])
+    return kinds, [b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(start.tolist(), ends.tolist())]
+
 
+def bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return (mix(key) % np.uint64(n)).astype(np.int64)
 
-def gathered(rows: pa.ChunkedArray, n: int) -> list[np.ndarray]:
-    parts = [np.frombuffer(r, np.int64).reshape(n, -1) for r in rows.to_pylist()]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.int64)] * n
 
+def count_words(chunks: DataFrame) -> DataFrame:
+    """Training count of every word's hash, of the end's and of the mark's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in (c for b in batches for _, c in _each(b)):
+            n = np.bincount(c.index[np.repeat(c.train, c.counts)], minlength=len(c.hashes))
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c.hashes[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
+
+    return chunks.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def count_next(own: DataFrame, hot: np.ndarray, depth: int, n: int) -> DataFrame:
-    """Pairs (ctx, up, x) seen MIN_PAIR times, with the context's total, kinds and ones; of hot contexts a row without x has what a bucket adds to these."""
+
+def count_runs(chunks: DataFrame, passes: Sieve, k: int, n: int) -> DataFrame:
+    """Runs of k words seen MIN_PAIR times in training texts: h, ctx, up and n."""
+    share = chunks.sparkSession.sparkContext.broadcast(passes.bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches):
-            part = part.filter(pa.array(~held_out(part.column("doc_id").to_pylist())))
-            *_, (x, ctx, up, ok, is_hot) = suffixes(tokens(part.column("text").to_pylist()), hot, depth)
-            x, ctx, up, is_hot = x[ok], ctx[ok], up[ok], is_hot[ok]
-            order = np.lexsort((x, ctx))
-            x, ctx, up, is_hot = x[order], ctx[order], up[order], is_hot[order]
-            at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (ctx[1:] != ctx[:-1])]) if len(x) else np.zeros(0, np.int64)
-            count = np.diff(np.append(at, len(x)))
-            x, ctx, up, is_hot = x[at], ctx[at], up[at], is_hot[at]
-            yield dealt(bucket(ctx, x, is_hot, n), ctx, x, up, count * 2 + is_hot)
+        passes = Sieve(share.value)
+        for c in (c for b in batches for _, c in _each(b)):
+            train = np.repeat(c.train, c.counts)
+            for at, key, context, parent in runs(c, passes, k - 1):  # noqa: B007
+                pass
+            some = train[at]
+            key, context, parent = key[some], context[some], parent[some]
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            kinds, rows = dealt(bucket(key[first], n), context[first], parent[first], times)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
-        ctx, x, up, c = gathered(table["rows"], 4)
-        order = np.lexsort((x, ctx))
-        ctx, x, up, c = ctx[order], x[order], up[order], c[order]
-        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (ctx[1:] != ctx[:-1])])
-        k = np.add.reduceat(c >> 1, at)
-        ctx, x, up, is_hot = ctx[at], x[at], up[at], (c[at] & 1).astype(bool)
-        at = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-        size = np.diff(np.append(at, len(ctx)))
-        total, ones = np.add.reduceat(k, at), np.add.reduceat((k == 1).astype(np.int64), at)
-        rep = np.repeat(np.arange(len(at)), size)
-        some, sums = k >= MIN_PAIR, is_hot[at]
-        whole = ~is_hot[some]
-        cols = {"ctx": (ctx[some], ctx[at][sums]), "up": (up[some], up[at][sums]), "x": (x[some], None), "n": (k[some], None), "hot": (is_hot[some], np.ones(sums.sum(), bool))}
-        cols |= {name: (pa.array(v[rep[some]], mask=~whole), v[sums]) for name, v in (("total", total), ("kinds", size), ("ones", ones))}
-        return pa.table({name: pa.chunked_array([pa.array(u), pa.nulls(int(sums.sum()), pa.int64()) if v is None else pa.array(v)]) for name, (u, v) in cols.items()})
-
-    sent = own.select("doc_id", "text").mapInArrow(send, "b long, rows binary")
-    return sent.groupBy("b").applyInArrow(count, "ctx long, up long, x long, n long, hot boolean, total long, kinds long, ones long")
-
-
-def level(found: DataFrame, parent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs (ctx, x, p, lp) for the next depth, and the tree's rows (ctx, x, hot, v): v is log(back) without x."""
-    sums = found.where("hot and x is null").groupBy("ctx").agg(*(F.sum(c).alias(f"all_{c}") for c in ("total", "kinds", "ones")))
-    pairs = found.where("x is not null").join(sums, "ctx", "left").select("ctx", "up", "x", "n", "hot", *(F.coalesce(c, f"all_{c}").alias(c) for c in ("total", "kinds", "ones")))
-    pairs = cut(pairs.join(parent.select(F.col("ctx").alias("up"), "x", "p", "lp"), ["up", "x"]), "pst-pairs")
+        parts = [np.frombuffer(r, np.uint64).reshape(3, -1) for r in table["rows"].to_pylist()]
+        context, parent, times = np.concatenate(parts, axis=1)
+        key = joined(context, parent)
+        order = np.argsort(key)
+        key, times = key[order], times[order].astype(np.int64)
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        total = np.add.reduceat(times, at)
+        at, total = at[total >= MIN_PAIR], total[total >= MIN_PAIR]
+        cols = (key[at], context[order[at]], parent[order[at]], total)
+        return pa.table({name: x.view(np.int64) for name, x in zip(("h", "ctx", "up", "n"), cols)})
+
+    return chunks.mapInArrow(send, "b long, rows binary").groupBy("b").applyInArrow(count, "h long, ctx long, up long, n long")
+
+
+def level(found: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept runs (h, n, p, lp), and of retained contexts (ctx, back, h, more): log(back) in rows without h.
+
+    ``found``: runs with their counts; ``before``: the kept runs one word shorter.
+    """
+    pairs = found.join(before.select(F.col("h").alias("ctx"), F.col("n").alias("total")), "ctx").join(before.select(F.col("h").alias("up"), "p", "lp"), "up")
+    pairs = cut(pairs.select("h", "ctx", "n", "total", "p", "lp"), "pst-pairs")
+    # Of a context: its kinds of next words are those kept and, for the rest of its total, those seen once.
+    sums = pairs.groupBy("ctx", "total").agg(F.sum("n").alias("seen"), F.count("n").alias("kept"))
+    sums = cut(sums.select("ctx", "total", (F.col("total") - F.col("seen")).alias("ones"), (F.col("total") - F.col("seen") + F.col("kept")).alias("kinds"), "kept"), "pst-sums")
     left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")
     gain = F.sum(F.col("n") * F.log(left / ((F.col("total") - 1) * F.col("p"))))
+    gains = pairs.join(sums.select("ctx", "kinds"), "ctx").groupBy("ctx").agg(gain.alias("gain")).join(sums, "ctx")
     single = F.when(F.col("ones") > 0, F.col("ones") * F.log(DISCOUNT * F.col("kinds") / (F.col("total") - 1))).otherwise(0.0)
-    tests = pairs.groupBy("ctx", "hot", "total", "kinds", "ones").agg(gain.alias("gain"), F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    kept = cut(tests.where(F.col("gain") + single >= MIN_GAIN).select("ctx", "hot", (1 - F.col("mass") / F.col("total")).alias("back")), "pst-kept")
+    back = (F.col("ones") + DISCOUNT * F.col("kept")) / F.col("total")
+    kept = cut(gains.where(F.col("gain") + single >= MIN_GAIN).select("ctx", back.alias("back")), "pst-kept")
     lp = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
-    rows = pairs.join(kept.select("ctx", "back"), "ctx", "left").select("ctx", "x", "hot", "back", (F.col("n") / F.col("total")).alias("p"), lp.alias("lp"), (lp - F.col("lp")).alias("more"))
+    rows = pairs.join(kept, "ctx", "left").select("h", "n", "ctx", "back", (F.col("n") / F.col("total")).alias("p"), lp.alias("lp"), (lp - F.col("lp") - F.log("back")).alias("more"))
     rows = cut(rows, "pst-level")
-    tree = rows.where("back is not null").select("ctx", "x", "hot", (F.col("more") - F.log("back")).alias("v"))
-    return rows.select("ctx", "x", "p", "lp"), tree.unionByName(kept.select("ctx", F.lit(None).cast("long").alias("x"), "hot", F.log("back").alias("v")))
-
-
-def sieve(tree: DataFrame) -> np.ndarray:
-    """Bits of the retained contexts' hashes, SIEVE words at most. It only spares look-ups: what passes it is looked up exactly."""
-    word, bit = F.shiftrightunsigned("ctx", 6).bitwiseAND(F.lit(SIEVE - 1)), F.expr("shiftleft(1L, cast(ctx & 63 as int))")
-    found = tree.where("x is null").groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most SIEVE rows
-    out = np.zeros(SIEVE, np.uint64)
-    out[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def looked_up(own: DataFrame, tree: DataFrame, hot: np.ndarray, depth: int, n: int) -> DataFrame:
-    """Rows (uid, more): what the depths add to the texts' log probabilities, by bucket."""
-    share = own.sparkSession.sparkContext.broadcast(sieve(tree))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = share.value
-        for part in text_chunks(batches):
-            t = tokens(part.column("text").to_pylist())
-            uid = part.column("uid").to_numpy()[t.doc]
-            for x, ctx, _, ok, is_hot in suffixes(t, hot, depth):
-                u = ctx.view(np.uint64)
-                ok &= (bits[(u >> np.uint64(6)) % np.uint64(SIEVE)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
-                x, ctx, is_hot, some = x[ok], ctx[ok], is_hot[ok], uid[ok]
-                yield dealt(bucket(ctx, x, is_hot, n), ctx, x, some)
-
-    def look(sent: pa.Table, tree: pa.Table) -> pa.Table:
-        ctx, x, uid = gathered(sent["rows"], 3)
-        null = tree["x"].is_null().to_numpy()
-        tc, tx, tv = tree["ctx"].to_numpy(), tree["x"].fill_null(0).to_numpy(), tree["v"].to_numpy()
-        by = np.argsort(tc[null])
-        at, hit = find(tc[null][by], ctx)
-        ctx, x, uid = ctx[hit], x[hit], uid[hit]
-        more = tv[null][by][at[hit]]
-        pair = lambda c, w: c + w * np.int64(-7046029254386353131)
-        keys = pair(tc[~null], tx[~null])
-        by = np.argsort(keys)
-        at, there = find(keys[by], pair(ctx, x))
-        more[there] += tv[~null][by][at[there]]
-        kinds, index = np.unique(uid, return_inverse=True)
-        return pa.table({"uid": kinds, "more": np.bincount(index, weights=more, minlength=len(kinds)).astype(np.float64)})
-
-    sent = own.select("uid", "doc_id", "text").mapInArrow(send, "b long, rows binary")
-    spread = F.when(~F.col("hot"), F.array(F.pmod("ctx", F.lit(n)))).when(F.col("x").isNotNull(), F.array(F.pmod(F.col("ctx").bitwiseXOR(F.col("x")), F.lit(n)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    filed = tree.select(F.explode(spread).alias("b"), "ctx", "x", "v")
-    return sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(look, "uid long, more double")
-
-
-def grow(own: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
-    """Rows (uid, more) of all depths, until one retains no context."""
-    spark = own.sparkSession
-    hot = words.hashes[words.counts >= max(1.0, HOT * words.total)]  # at most 1 / HOT
-    n = max(partitions(spark), -(-words.total // BUCKET))
-    p = (F.col("c") + 0.5) / words.scale
-    parent = counts.where(F.col("c") >= MIN_PAIR).select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("x"), p.alias("p"), F.log(p).alias("lp"))
-    tree, depths = None, 0
-    for depth in range(1, MAX_DEPTH + 1):
-        parent, more = level(cut(count_next(own, hot, depth, n), f"pst-{depth}"), parent)
-        tidy(spark)
-        if more.isEmpty():
+    drop(pairs, sums)
+    return rows, kept
+
+
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(as_context(b.column("h").to_numpy().view(np.uint64)).view(np.int64)), b.column("v")], names=["h", "v"])
+
+
+def tree(chunks: DataFrame, words: DataFrame, scale: float, n: int) -> tuple[DataFrame | None, int]:
+    """Values (h, v) under the keys of retained contexts and of the runs in them, and the depth of the tree."""
+    p = (F.col("n") + 0.5) / scale
+    before = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
+    passes, parts, depth = Sieve(np.zeros(SIEVE, np.uint64)), [], 0
+    passes.add(before)
+    for k in range(2, MAX_DEPTH + 2):
+        found = cut(count_runs(chunks, passes, k, n), f"pst-{k}")
+        rows, kept = level(found, before)
+        drop(found)
+        if parts:
+            drop(before)
+        before = rows
+        own = kept.select(F.col("ctx").alias("h"), F.log("back").alias("v")).mapInArrow(_file, "h long, v double")
+        parts.append(cut(rows.where("back is not null").select("h", F.col("more").alias("v")).unionAll(own), "pst-values"))
+        drop(kept)
+        if not parts[-1].isEmpty():
+            depth = k - 1
+        if rows.isEmpty():
             break
-        tree, depths = more if tree is None else tree.unionByName(more), depth
-    if tree is None:
-        return spark.createDataFrame([], "uid long, more double")
-    return cut(looked_up(own, tree, hot, depths, n).groupBy("uid").agg(F.sum("more").alias("more")), "more")
+        passes.add(rows)
+    drop(before)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionAll(x)
+    found = cut(out, "pst")
+    drop(*parts)
+    return found, depth
+
+
+def asked(c: Chunk, known: Sieve, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys that a chunk needs, its words' first; then places of tokens and the indices of contexts' and runs' keys that add to them."""
+    need, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for at, key, context, _ in runs(c, None, depth):
+        state = as_context(context)
+        some = known(state)
+        at, key = at[some], key[some]
+        here = known(key)
+        need += [state[some], key[here]]
+        places += [at, at[here]]
+    kinds, index = np.unique(np.concatenate(need), return_inverse=True)
+    return np.concatenate((c.hashes, kinds)), np.concatenate(places), len(c.hashes) + index
+
+
+def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int) -> DataFrame:
+    """Requests (b, cid, keys) of every chunk."""
+    share = chunks.sparkSession.sparkContext.broadcast(bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Sieve(share.value)
+        for cid, c in (x for b in batches for x in _each(b)):
+            keys = asked(c, known, depth)[0]
+            kinds, rows = dealt(bucket(keys, n), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), cid)), pa.array(rows, pa.binary())], names=["b", "cid", "keys"])
+        give_back()
 
-def tidy(spark: SparkSession) -> None:
-    """Spark deletes the files of shuffles that nothing refers to after a collection; the next ones then have their place."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return chunks.mapInArrow(run, "b long, cid long, keys binary")
 
 
-def next_ratio(sym: np.ndarray, doc: np.ndarray, words: Words, levels: list[Level]) -> np.ndarray:
-    """log10 of each token's probability in its state over that of its symbol at the root."""
-    p = root = words.root[sym]
-    for depth, level in enumerate(levels, 1):
-        key, ok = contexts(sym, doc, depth, words.n_symbols)
-        at, hit = find(level.contexts, key)
-        hit &= ok
-        if not hit.any():
-            continue
-        e, there = find(level.entries, key * words.n_symbols + sym)
-        own = np.where(there, level.mass[e] if len(level.mass) else 0.0, 0.0)
-        p = np.where(hit, own + level.back[at] * p, p)
-    return np.log10(p / root)
+def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
+    """Values of the keys of a bucket, in the order of each request; NaN if there is none."""
+    h, v = filed["h"].to_numpy().view(np.uint64), filed["v"].to_numpy()
+    order = np.argsort(h)
+    h, v = np.append(h[order], np.uint64(0)), np.append(v[order], np.nan)
+    out = []
+    for r in sent["keys"].to_pylist():
+        k = np.frombuffer(r, np.uint64)
+        at = np.searchsorted(h[:-1], k)
+        out.append(np.where(h[at] == k, v[at], np.nan).tobytes())
+    return pa.table({"cid": sent["cid"], "b": sent["b"], "v": pa.array(out, pa.binary())})
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    own = cut(id_text(docs).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    counts = cut(count_words(own), "words")
-    words = known_words(counts)
-    more = grow(own, counts, words).groupBy("uid").agg((F.sum("more") / float(np.log(10))).alias("more"))
-    share = own.sparkSession.sparkContext.broadcast(words)
-    schema = "uid long, h long, n long, d struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double>"
-    row = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = share.value
-        for part in text_chunks(batches):
-            uid, ids = part.column("uid").to_numpy(), part.column("doc_id")
-            t = tokens(part.column("text").to_pylist())
-            _, cnt = words.look(t)
-            here = cnt >= 0
-            base = np.where(here, np.log10((np.maximum(cnt, 0) + 0.5) / words.scale), 0.0)
-            by = lambda w: np.bincount(t.doc, weights=w, minlength=len(uid))
-            d = pa.StructArray.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(t.counts), pa.array(by(here & (cnt > 0)).astype(np.int64)), pa.array(by(base))], fields=list(row))
-            # A text's row goes with a key of its own, so that these rows spread like the words.
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid * -7046029254386353131), pa.nulls(len(uid), pa.int64()), d], names=["uid", "h", "n", "d"])
-            pair, n = np.unique(t.doc[~here] * max(1, len(t.hashes)) + t.index[~here], return_counts=True)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[pair // len(t.hashes)]), pa.array(t.hashes[pair % len(t.hashes)]), pa.array(n.astype(np.int64)), pa.nulls(len(pair), row)], names=["uid", "h", "n", "d"])
-
-    rows = own.select("uid", "doc_id", "text").mapInArrow(run, schema)
-    rare = counts.where(F.col("c") < MIN_KNOWN * words.total).hint("shuffle_hash")
-    found = rows.join(rare, "h", "left").withColumn("c", F.when(F.col("n").isNotNull(), F.coalesce("c", F.lit(0))))
-    out = found.groupBy("uid").agg(
-        F.first("d", ignorenulls=True).alias("d"),
-        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).alias("known"),
-        F.coalesce(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / words.scale)), F.lit(0.0)).alias("base"),
-    )
-    base = F.col("d.base") + F.col("base")
-    out = out.join(more, "uid", "left")
-    return out.select("d.doc_id", "d.held_out", "d.n_tokens", (F.col("d.n_known") + F.col("known")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("more", F.lit(0.0))).alias("score"))
+    spark = docs.sparkSession
+    own = id_text(docs).withColumn("uid", F.monotonically_increasing_id())
+    chunks = cut(own.mapInArrow(_chunks, _CHUNKS), "chunks")
+    words = cut(count_words(chunks), "words")
+    mark = int(np.array(word_hash(BEGIN_WORD), np.uint64).view(np.int64))
+    total, distinct = (int(x or 0) for x in words.where(F.col("h") != mark).agg(F.sum("n"), F.count("n")).first())
+    scale = total + 0.5 * (distinct + 1)
+    n = max(2 * partitions(spark), -(-total // BUCKET))
+    values, depth = tree(chunks, words, scale, n)
+    known = Sieve(np.zeros(SIEVE, np.uint64))
+    known.add(values)
+    log_p = words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v"))
+
+    def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(b.column("h").to_numpy().view(np.uint64), n)), b.column("h"), b.column("v")], names=["b", "h", "v"])
+
+    filed = values.unionAll(log_p).mapInArrow(to_bucket, "b long, h long, v double")
+    sent = ask(chunks, known.bits, depth, n)
+    values_of = cut(sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(answer, "cid long, b long, v binary"), "answers")
+    drop(values, words)
+    share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
+
+    def finish(own: pa.Table, got: pa.Table) -> pa.Table:
+        (_, c), = _each(own)
+        ids, some = (np.frombuffer(own.column(x)[0].as_py(), kind) for x, kind in (("ids", np.int64), ("some", bool)))
+        keys, places, index = asked(c, Sieve(share.value), depth)
+        b = bucket(keys, n)
+        v = np.empty(len(keys))
+        by = dict(zip(got["b"].to_pylist(), got["v"].to_pylist()))
+        order = np.argsort(b, kind="stable")
+        v[order] = np.concatenate([np.empty(0), *(np.frombuffer(by[x], np.float64) for x in np.unique(b).tolist())])
+        token = v[c.index]
+        text = np.repeat(np.arange(len(c.counts)), c.counts)
+        real = np.ones(len(text), dtype=bool)
+        real[np.cumsum(c.counts) - c.counts] = False  # the marks
+        by_text = lambda w: np.bincount(text, weights=w, minlength=len(c.counts))
+        there = real & ~np.isnan(token)
+        base = by_text(np.where(there, np.nan_to_num(token), np.where(real, unknown, 0.0))) / np.log(10)
+        more = np.bincount(text[places], weights=np.nan_to_num(v[index]), minlength=len(c.counts)) / np.log(10)
+        return pa.table({
+            "doc_id": pa.array(ids, mask=~some), "held_out": ~c.train, "n_tokens": c.counts - 1, "n_known": by_text(there).astype(np.int64),
+            "train_tokens": np.full(len(ids), total), "base_score": base, "score": base + more,
+        })
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = cut(chunks.groupBy("cid").cogroup(values_of.groupBy("cid")).applyInArrow(finish, schema), "scores")
+    drop(chunks, values_of)
+    return out
