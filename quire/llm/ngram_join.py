@@ -561,3 +561,19 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     out = cut(out, "joined")
     drop(rows, same, member, own, stars, named)
     return out
+
+
+def oracle(width: int = 3, percent: int = 90) -> str:
+    """DuckDB: all pairs with a shingle in common, and the links' closure by recursion."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, chr(10))]
+                 ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) END) AS s FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+    r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+    c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+    SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """

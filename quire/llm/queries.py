@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licence_scan": licences.oracle(), "op4_decontamination": decontaminate.oracle()}
+    return {"op2_licence_scan": licences.oracle(), "op4_decontamination": decontaminate.oracle(), "op10_ngram_jaccard_join": ngram_join.oracle()}

@@ -350,6 +350,14 @@ def test_op10_large_clusters(docs, fixture_rows, monkeypatch, items, rows):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
 
 
+def test_op10_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op10_ngram_jaccard_join(spark, sf).select("component_id", "doc_id", "n_shingles").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    same([tuple(r) for r in got], con.sql(f"SELECT component_id, doc_id, n_shingles FROM ({ngram_join.oracle()})").fetchall())
+
+
 def test_op10_trie():
     r = np.random.default_rng(3)
     for percent in (50, 80, 90):
