@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of at most ``limit`` bytes of text (one row at least)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -42,6 +41,22 @@ def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, tex
     give_back()
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of texts (null: none), the index of each word in order, and how many each text has.
+
+    Words are cut at blanks and the ASCII controls tab to carriage return; A-Z only is lowered.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    some = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not some.all():  # blanks at either end of a text give an empty word
+        owner = np.repeat(np.arange(len(size)), size)[some]
+        flat, size = flat.filter(pa.array(some)), np.bincount(owner, minlength=len(size)).astype(np.int64)
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), size
+
+
 def give_back() -> None:
     """Memory that a finished partition leaves with the allocators goes back to the system, for the worker lives on."""
     import ctypes

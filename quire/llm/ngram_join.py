@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, give_back, id_text, text_chunks, without
+from .common import cut, drop, give_back, id_text, split_words, text_chunks, without
 from .components import components
 
 #: Buckets of a sketch: the power of two at which a bucket has LOAD shingles or fewer on average, BUCKETS at least.
@@ -52,20 +52,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of texts, in order of (text, hash), and where each text's begin (one more than texts)."""
     import xxhash
 
-    split = [(t or "").encode().lower().split() for t in texts]
-    first: dict[bytes, int] = {}
-    words = [w for x in split for w in x]
-    at = np.fromiter(map(first.setdefault, words, range(len(words))), dtype=np.int64, count=len(words))
-    table = np.zeros(max(1, len(words)), dtype=np.uint64)
-    for w, i in first.items():
-        table[i] = xxhash.xxh3_64_intdigest(w)
-    h = table[at] if len(words) else np.empty(0, np.uint64)
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    doc = np.repeat(np.arange(len(split)), counts)
+    words, index, counts = split_words(texts)
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    h = table[index]
+    doc = np.repeat(np.arange(len(counts)), counts)
     n = len(h) - width + 1
     key = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(width if n > 0 else 0):
@@ -74,7 +68,8 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     key, owner = key[ok], doc[: max(n, 0)][ok]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        extra = np.array([xxhash.xxh3_64_intdigest(b"\n".join(split[i])) for i in short], dtype=np.uint64)
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        extra = np.array([xxhash.xxh3_64_intdigest(b"\n".join(words[k] for k in index[begin[i] : begin[i + 1]].tolist())) for i in short], dtype=np.uint64)
         key, owner = np.concatenate((key, extra)), np.concatenate((owner, short))
     if len(short):
         order = np.argsort(owner, kind="stable")
@@ -114,7 +109,7 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):
-            keys, at = shingle_sets(part.column("text").to_pylist(), width)
+            keys, at = shingle_sets(part.column("text"), width)
             n = np.diff(at)
             one, two = np.append(np.cumsum(mix(keys)), np.uint64(0)), np.append(np.cumsum(mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))), np.uint64(0))
             total = lambda c: np.where(n > 0, c[at[1:] - 1] - np.where(at[:-1] > 0, c[at[:-1] - 1], np.uint64(0)), np.uint64(0)).view(np.int64)
@@ -169,7 +164,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, hot: np.ndarray, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = share.value
         for part in text_chunks(batches):
-            keys, at = shingle_sets(part.column("text").to_pylist(), width)
+            keys, at = shingle_sets(part.column("text"), width)
             rows = []
             for a, z in zip(at.tolist(), at[1:].tolist()):
                 s = keys[a:z]
