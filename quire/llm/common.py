@@ -92,13 +92,12 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written, once nothing reads them any more; shuffles that nothing refers to go too."""
     import gc
 
+    spark = SparkSession.active()
     for t in tables:
-        spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.quire_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        gc.collect()
-        spark._jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,16 +17,23 @@ texts are read once; their words' 64-bit hashes, by chunk, are a written table.
 A run of k words is known by the hash of the two runs of k - 1 words in it, its
 context and its parent. A run seen twice has both seen twice, so of the runs of k
 words only those are counted whose halves are kept: a sieve of fixed size spares
-most others, and what passes it is counted exactly. Runs are dealt by their own
-hashes, so a frequent word or context is no hot key. The total of a context is its
-own count as a run one word shorter, and next words seen once are what the others
-leave of it. A token's log probability is a sum: of its word's, of log(back) for
-each retained context, and of log(p / (back * p of suffix)) for each run in it. A
-chunk asks for each of its distinct keys once.
+most others, and what passes it is counted exactly. Each length takes two steps
+over buckets. Runs are dealt by their parent, counted, and given the parent's
+probability; then by their context, whose total is its own count as a run one word
+shorter, and of which next words seen once are what the others leave. There the
+test is made and the distribution smoothed. Parents seen HOT times or more are
+spread over all buckets, and their values broadcast; contexts seen HOT times or
+more are tested by aggregation instead. Both are few: HOT is a number of tokens,
+and grows with the corpus so that at most HOT_KEYS can have it.
+
+A token's log probability is a sum: of its word's, of log(back) for each retained
+context, and of log(p / (back * p of suffix)) for each run in it. For all but words
+the chunks send the keys they need, by text, in ROUNDS parts, and get sums by text.
 
 Null text counts as empty: one token, the end. A null id is hashed as empty
 text. Rows are scored one by one, so repeated rows get equal scores. Without any
-training text N is 0 and all tokens are unknown.
+training text N is 0 and all tokens are unknown. Keys that are looked up have 48
+bits in a bucket of bounded size: a false match has a chance of about 4e-9.
 """
 
 from __future__ import annotations
@@ -40,9 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, give_back, id_text, partitions, text_chunks
+from .common import cut, drop, give_back, id_text, partitions, split_words, text_chunks
 
 MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
+#: Tokens of a hot run, and the most hot runs of one length (more raise the number of tokens).
+HOT, HOT_KEYS = 4_000_000, 100_000
+#: Parts in which keys are looked up.
+ROUNDS = 2
 #: Bytes of text of a chunk: larger ones repeat more of their words.
 CHUNK = 4 << 20
 #: Tokens a bucket on average.
@@ -90,17 +101,20 @@ class Chunk(NamedTuple):
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def chunk(texts: list[str | None], train: np.ndarray) -> Chunk:
-    split = [(t or "").encode().lower().split() for t in texts]
-    words = [w for x in split for w in (BEGIN_WORD, *x, END_WORD)]
-    first: dict[bytes, int] = {}
-    at = np.fromiter(map(first.setdefault, words, range(len(words))), dtype=np.int64, count=len(words))
-    where, index = np.unique(at, return_inverse=True)
-    hashes = np.fromiter((word_hash(words[i]) for i in where), dtype=np.uint64, count=len(where))
+def chunk(texts: pa.Array, train: np.ndarray) -> Chunk:
+    words, index, size = split_words(texts)
+    words += [BEGIN_WORD, END_WORD]
+    hashes = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return Chunk(hashes[order], rank[index], np.fromiter((len(x) + 2 for x in split), dtype=np.int64, count=len(split)), train)
+    counts = size + 2
+    ends = np.cumsum(counts)
+    full = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    inner = np.ones(len(full), dtype=bool)
+    inner[ends - 1] = inner[ends - counts] = False
+    full[inner], full[ends - counts], full[ends - 1] = index, len(words) - 2, len(words) - 1
+    return Chunk(hashes[order], rank[full], counts, train)
 
 
 _CHUNKS = "cid long, ids binary, some binary, hashes binary, idx binary, counts binary, train binary"
@@ -109,15 +123,16 @@ _CHUNKS = "cid long, ids binary, some binary, hashes binary, idx binary, counts
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_chunks(batches, CHUNK):
         ids = part.column("doc_id")
-        c = chunk(part.column("text").to_pylist(), ~held_out(ids.to_pylist()))
-        rows = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), c.hashes, c.index.astype(np.uint32), c.counts, c.train]
+        c = chunk(part.column("text"), ~held_out(ids.to_pylist()))
+        # Indices by byte: the high ones are nearly all alike.
+        rows = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), c.hashes, c.index.astype("<u4").view(np.uint8).reshape(-1, 4).T, c.counts, c.train]
         yield pa.RecordBatch.from_arrays([part.column("uid").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in rows)], names=["cid", "ids", "some", "hashes", "idx", "counts", "train"])
 
 
 def _each(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Chunk]]:
     for i in range(table.num_rows):
         get = lambda name, kind: np.frombuffer(table.column(name)[i].as_py(), kind)  # noqa: B023, E731
-        yield table.column("cid")[i].as_py(), Chunk(get("hashes", np.uint64), get("idx", np.uint32).astype(np.int64), get("counts", np.int64), get("train", bool))
+        yield table.column("cid")[i].as_py(), Chunk(get("hashes", np.uint64), np.ascontiguousarray(get("idx", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64), get("counts", np.int64), get("train", bool))
 
 
 class Sieve:
@@ -161,18 +176,38 @@ def runs(c: Chunk, passes: Sieve | None, depth: int) -> Iterator[tuple[np.ndarra
 
 
 def dealt(b: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Buckets in order, and the columns of each one's rows as bytes one after another."""
-    order = np.argsort(b, kind="stable")
+    """Buckets in order, and the columns (8 bytes a value) of each one's rows as bytes one after another."""
+    order = np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
     kinds, start = np.unique(b[order], return_index=True)
     cols = tuple(c[order] for c in cols)
     ends = np.append(start[1:], len(b))
     return kinds, [b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(start.tolist(), ends.tolist())]
 
 
+def gathered(rows: pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    """The ``n`` columns of all rows of a bucket, as unsigned words."""
+    parts = [np.frombuffer(r, np.uint64).reshape(n, -1) for r in rows.to_pylist()]
+    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * n
+
+
 def bucket(key: np.ndarray, n: int) -> np.ndarray:
     return (mix(key) % np.uint64(n)).astype(np.int64)
 
 
+def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in an ascending column, and which are there."""
+    at = np.searchsorted(ordered, keys)
+    at[at == len(ordered)] = 0
+    return at, ordered[at] == keys if len(ordered) else np.zeros(len(keys), dtype=bool)
+
+
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of a column, where each run of equal values begins in that order, and the number of each row's run."""
+    order = np.argsort(key)
+    new = np.r_[True, key[order[1:]] != key[order[:-1]]] if len(key) else np.zeros(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def count_words(chunks: DataFrame) -> DataFrame:
     """Training count of every word's hash, of the end's and of the mark's."""
 
@@ -185,118 +220,240 @@ def count_words(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def count_runs(chunks: DataFrame, passes: Sieve, k: int, n: int) -> DataFrame:
-    """Runs of k words seen MIN_PAIR times in training texts: h, ctx, up and n."""
-    share = chunks.sparkSession.sparkContext.broadcast(passes.bits)
+class Hot(NamedTuple):
+    """Runs of one length that are seen very often, in order of their keys."""
+
+    key: np.ndarray
+    n: np.ndarray
+    p: np.ndarray
+    lp: np.ndarray
+
+
+def hot_runs(before: DataFrame, total: int) -> Hot:
+    """At most HOT_KEYS: each has more than a HOT_KEYS-th part of all tokens."""
+    t = before.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).toArrow()
+    key = t["h"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return Hot(key[order], *(t[c].to_numpy()[order] for c in ("n", "p", "lp")))
+
+
+def _filed(before: DataFrame, n: int) -> DataFrame:
+    """Kept runs by the bucket of their own key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = b.column("h").to_numpy().view(np.uint64)
+                kinds, rows = dealt(bucket(h, n), h, *(b.column(c).to_numpy() for c in ("n", "p", "lp")))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
+
+    return before.select("h", "n", "p", "lp").mapInArrow(run, _ROWS)
+
+
+_ROWS = "b long, rows binary"
+_PAIRS = "b long, hot boolean, rows binary"
+
+
+def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k: int, n: int) -> DataFrame:
+    """Runs of k words seen MIN_PAIR times in training texts, by the bucket of their context: context, parent, count, p and lp of the parent."""
+    share = chunks.sparkSession.sparkContext.broadcast((passes.bits, hot))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = Sieve(share.value)
+        bits, hot = share.value
         for c in (c for b in batches for _, c in _each(b)):
             train = np.repeat(c.train, c.counts)
-            for at, key, context, parent in runs(c, passes, k - 1):  # noqa: B007
+            for at, key, context, parent in runs(c, Sieve(bits), k - 1):  # noqa: B007
                 pass
             some = train[at]
             key, context, parent = key[some], context[some], parent[some]
-            _, first, times = np.unique(key, return_index=True, return_counts=True)
-            kinds, rows = dealt(bucket(key[first], n), context[first], parent[first], times)
+            order, first, _ = groups(key)
+            times = np.diff(np.append(first, len(key)))
+            context, parent = context[order[first]], parent[order[first]]
+            spread = parent ^ np.where(find(hot.key, parent)[1], mix(context), np.uint64(0))
+            kinds, rows = dealt(bucket(spread, n), context, parent, times)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
         give_back()
 
-    def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(r, np.uint64).reshape(3, -1) for r in table["rows"].to_pylist()]
-        context, parent, times = np.concatenate(parts, axis=1)
-        key = joined(context, parent)
-        order = np.argsort(key)
-        key, times = key[order], times[order].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        total = np.add.reduceat(times, at)
-        at, total = at[total >= MIN_PAIR], total[total >= MIN_PAIR]
-        cols = (key[at], context[order[at]], parent[order[at]], total)
-        return pa.table({name: x.view(np.int64) for name, x in zip(("h", "ctx", "up", "n"), cols)})
-
-    return chunks.mapInArrow(send, "b long, rows binary").groupBy("b").applyInArrow(count, "h long, ctx long, up long, n long")
+    def count(sent: pa.Table, filed: pa.Table) -> pa.Table:
+        hot = share.value[1]
+        context, parent, times = gathered(sent["rows"], 3)
+        order, first, _ = groups(joined(context, parent))
+        total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        at = order[first[total >= MIN_PAIR]]
+        context, parent, total = context[at], parent[at], total[total >= MIN_PAIR]
+        h, _, p, lp = gathered(filed["rows"], 4)
+        by = np.argsort(h)
+        at, there = find(h[by], parent)
+        often, is_hot = find(hot.key, parent)
+        p, lp = (np.where(is_hot, x[often] if len(x) else 0.0, y.view(np.float64)[by][at] if len(y) else 0.0) for x, y in ((hot.p, p), (hot.lp, lp)))
+        ok = there | is_hot
+        context, parent, total, p, lp = context[ok], parent[ok], total[ok], p[ok], lp[ok]
+        wide = find(hot.key, context)[1]
+        out = []
+        for flag, some in ((False, ~wide), (True, wide)):
+            kinds, rows = dealt(bucket(context[some], n), context[some], parent[some], total[some], p[some], lp[some])
+            out.append(pa.table({"b": kinds, "hot": np.full(len(kinds), flag), "rows": pa.array(rows, pa.binary())}))
+        return pa.concat_tables(out)
+
+    sent = chunks.mapInArrow(send, _ROWS)
+    return sent.groupBy("b").cogroup(_filed(before, n).groupBy("b")).applyInArrow(count, _PAIRS)
+
+
+def left_out(n, total, kinds, p):
+    """What a next word adds to the gain of its context, on numbers or columns."""
+    log = F.log if hasattr(n, "isNotNull") else np.log
+    return n * log((n - 1 - DISCOUNT + DISCOUNT * kinds * p) / ((total - 1) * p))
+
+
+_LEVEL = "h long, n long, p double, lp double, v double"
+
+
+def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
+    """Kept runs (h, n, p, lp, v) and, without n, retained contexts (h, v) under their keys as contexts; v: what a token gets by it, null if its context isn't retained."""
+
+    def solve(sent: pa.Table, filed: pa.Table) -> pa.Table:
+        context, parent, c, p, lp = gathered(sent["rows"], 5)
+        order, first, group = groups(context)
+        context, parent, c, p, lp = context[order], parent[order], c[order].astype(np.float64), p.view(np.float64)[order], lp.view(np.float64)[order]
+        h, seen, _, _ = gathered(filed["rows"], 4)
+        by = np.argsort(h)
+        at, there = find(h[by], context[first])
+        total = np.where(there, seen[by][at] if len(h) else 0, 0).astype(np.float64)
+        sums = lambda x: np.bincount(group, weights=x, minlength=len(first))
+        kept = sums(np.ones(len(context)))
+        ones = total - sums(c)
+        kinds = ones + kept
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = sums(left_out(c, total[group], kinds[group], p)) + np.where(ones > 0, ones * np.log(DISCOUNT * kinds / (total - 1)), 0.0)
+        back = (ones + DISCOUNT * kept) / np.maximum(total, 1)
+        ok = gain >= MIN_GAIN
+        new = np.where(ok[group], np.log((c - DISCOUNT) / total[group] + back[group] * np.exp(lp)), lp)
+        v = np.where(ok[group], new - lp - np.log(back[group]), np.nan)
+        some = np.flatnonzero(ok)
+        runs = {"h": joined(context, parent).view(np.int64), "n": c.astype(np.int64), "p": c / total[group], "lp": new, "v": pa.array(v, mask=np.isnan(v))}
+        none = lambda t: pa.nulls(len(some), t)
+        own = {"h": as_context(context[first[some]]).view(np.int64), "n": none(pa.int64()), "p": none(pa.float64()), "lp": none(pa.float64()), "v": np.log(back[some])}
+        return pa.concat_tables([pa.table(runs), pa.table(own)])
+
+    return pairs.groupBy("b").cogroup(_filed(before, n).groupBy("b")).applyInArrow(solve, _LEVEL)
+
+
+def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
+    """The same for the runs in hot contexts, by aggregation."""
+    spark = pairs.sparkSession
 
-
-def level(found: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kept runs (h, n, p, lp), and of retained contexts (ctx, back, h, more): log(back) in rows without h.
-
-    ``found``: runs with their counts; ``before``: the kept runs one word shorter.
-    """
-    pairs = found.join(before.select(F.col("h").alias("ctx"), F.col("n").alias("total")), "ctx").join(before.select(F.col("h").alias("up"), "p", "lp"), "up")
-    pairs = cut(pairs.select("h", "ctx", "n", "total", "p", "lp"), "pst-pairs")
-    # Of a context: its kinds of next words are those kept and, for the rest of its total, those seen once.
-    sums = pairs.groupBy("ctx", "total").agg(F.sum("n").alias("seen"), F.count("n").alias("kept"))
-    sums = cut(sums.select("ctx", "total", (F.col("total") - F.col("seen")).alias("ones"), (F.col("total") - F.col("seen") + F.col("kept")).alias("kinds"), "kept"), "pst-sums")
-    left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")
-    gain = F.sum(F.col("n") * F.log(left / ((F.col("total") - 1) * F.col("p"))))
-    gains = pairs.join(sums.select("ctx", "kinds"), "ctx").groupBy("ctx").agg(gain.alias("gain")).join(sums, "ctx")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.column("rows").to_pylist():
+                context, parent, c, p, lp = np.frombuffer(r, np.uint64).reshape(5, -1)
+                h = joined(context, parent)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), context.view(np.int64), as_context(context).view(np.int64), c.astype(np.int64), p.view(np.float64), lp.view(np.float64))], names=["h", "ctx", "state", "n", "p", "lp"])
+
+    rows = pairs.select("rows").mapInArrow(run, "h long, ctx long, state long, n long, p double, lp double")
+    totals = F.broadcast(spark.createDataFrame(list(zip(hot.key.view(np.int64).tolist(), hot.n.tolist())), "ctx long, total long"))
+    sums = rows.groupBy("ctx", "state").agg(F.sum("n").alias("seen"), F.count("n").alias("kept")).join(totals, "ctx")
+    sums = sums.withColumn("ones", F.col("total") - F.col("seen")).withColumn("kinds", F.col("ones") + F.col("kept"))
+    rows = rows.join(F.broadcast(sums), ["ctx", "state"])  # at most HOT_KEYS contexts
     single = F.when(F.col("ones") > 0, F.col("ones") * F.log(DISCOUNT * F.col("kinds") / (F.col("total") - 1))).otherwise(0.0)
+    gain = F.sum(left_out(F.col("n"), F.col("total"), F.col("kinds"), F.col("p")))
     back = (F.col("ones") + DISCOUNT * F.col("kept")) / F.col("total")
-    kept = cut(gains.where(F.col("gain") + single >= MIN_GAIN).select("ctx", back.alias("back")), "pst-kept")
-    lp = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
-    rows = pairs.join(kept, "ctx", "left").select("h", "n", "ctx", "back", (F.col("n") / F.col("total")).alias("p"), lp.alias("lp"), (lp - F.col("lp") - F.log("back")).alias("more"))
-    rows = cut(rows, "pst-level")
-    drop(pairs, sums)
-    return rows, kept
-
+    kept = rows.groupBy("ctx", "state", "total", "ones", "kinds", "kept").agg(gain.alias("gain")).where(F.col("gain") + single >= MIN_GAIN).select("ctx", "state", back.alias("back"))
+    new = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
+    out = rows.join(F.broadcast(kept.select("ctx", "back")), "ctx", "left")
+    out = out.select("h", "n", (F.col("n") / F.col("total")).alias("p"), new.alias("lp"), (new - F.col("lp") - F.log("back")).alias("v"))
+    none = F.lit(None)
+    return out.unionAll(kept.select("state", none.cast("long"), none.cast("double"), none.cast("double"), F.log("back")))
 
-def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(as_context(b.column("h").to_numpy().view(np.uint64)).view(np.int64)), b.column("v")], names=["h", "v"])
 
-
-def tree(chunks: DataFrame, words: DataFrame, scale: float, n: int) -> tuple[DataFrame | None, int]:
-    """Values (h, v) under the keys of retained contexts and of the runs in them, and the depth of the tree."""
+def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], int]:
+    """Tables of kept runs and retained contexts, one for each length, and the depth of the tree."""
     p = (F.col("n") + 0.5) / scale
     before = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
-    passes, parts, depth = Sieve(np.zeros(SIEVE, np.uint64)), [], 0
+    passes, levels, depth = Sieve(np.zeros(SIEVE, np.uint64)), [], 0
     passes.add(before)
     for k in range(2, MAX_DEPTH + 2):
-        found = cut(count_runs(chunks, passes, k, n), f"pst-{k}")
-        rows, kept = level(found, before)
-        drop(found)
-        if parts:
-            drop(before)
-        before = rows
-        own = kept.select(F.col("ctx").alias("h"), F.log("back").alias("v")).mapInArrow(_file, "h long, v double")
-        parts.append(cut(rows.where("back is not null").select("h", F.col("more").alias("v")).unionAll(own), "pst-values"))
-        drop(kept)
-        if not parts[-1].isEmpty():
+        hot = hot_runs(before, total)
+        pairs = count_runs(chunks, before, passes, hot, k, n)
+        if len(hot.key):
+            pairs = cut(pairs, f"pst-{k}")
+        found = test_contexts(pairs.where("not hot").select("b", "rows"), before, n)
+        if len(hot.key):
+            found = found.unionAll(test_hot(pairs.where("hot"), hot))
+        levels.append(cut(found, "pst-level"))
+        if len(hot.key):
+            drop(pairs)
+        before = levels[-1].where("n is not null").select("h", "n", "p", "lp")
+        if not levels[-1].where("v is not null").isEmpty():
             depth = k - 1
-        if rows.isEmpty():
+        if before.isEmpty():
             break
-        passes.add(rows)
-    drop(before)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionAll(x)
-    found = cut(out, "pst")
-    drop(*parts)
-    return found, depth
-
-
-def asked(c: Chunk, known: Sieve, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys that a chunk needs, its words' first; then places of tokens and the indices of contexts' and runs' keys that add to them."""
-    need, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for at, key, context, _ in runs(c, None, depth):
-        state = as_context(context)
-        some = known(state)
-        at, key = at[some], key[some]
-        here = known(key)
-        need += [state[some], key[here]]
-        places += [at, at[here]]
-    kinds, index = np.unique(np.concatenate(need), return_inverse=True)
-    return np.concatenate((c.hashes, kinds)), np.concatenate(places), len(c.hashes) + index
-
-
-def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int) -> DataFrame:
-    """Requests (b, cid, keys) of every chunk."""
+        passes.add(before)
+    return levels, depth
+
+
+def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int, part: int) -> DataFrame:
+    """Requests (b, cid, counts, keys) of every chunk for the buckets of a part: keys of each text, one after another."""
     share = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Sieve(share.value)
         for cid, c in (x for b in batches for x in _each(b)):
-            keys = asked(c, known, depth)[0]
+            text, need, owner = c.doc(), [], []
+            state = known(as_context(c.hashes))[c.index]  # of a word as a context
+            for k, (at, key, context, _) in enumerate(runs(c, None, depth)):
+                if k:
+                    own = as_context(context)
+                    some = known(own)
+                    need.append(own[some])
+                    owner.append(text[at[some]])
+                else:
+                    some = state[at - 1]
+                at, key = at[some], key[some]
+                here = known(key)
+                need.append(key[here])
+                owner.append(text[at[here]])
+            need, owner = np.concatenate([np.empty(0, np.uint64), *need]), np.concatenate([np.empty(0, np.int64), *owner])
+            b = bucket(need, n)
+            mine = b % ROUNDS == part
+            need, owner, b = need[mine], owner[mine], b[mine]
+            order = np.argsort(b * len(c.counts) + owner)
+            need, owner, b = need[order], owner[order], b[order]
+            kinds, start = np.unique(b, return_index=True)
+            ends = np.append(start[1:], len(b))
+            counts = [np.bincount(owner[i:j], minlength=len(c.counts)).astype(np.uint32).tobytes() for i, j in zip(start, ends)]
+            keys = need.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            rows = [keys[i:j].tobytes() for i, j in zip(start, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), cid)), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "counts", "keys"])
+        give_back()
+
+    return chunks.mapInArrow(run, "b long, cid long, counts binary, keys binary")
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def add_up(sent: pa.Table, filed: pa.Table) -> pa.Table:
+    """Sums by text of the values of the keys of a bucket; a key without a value adds nothing."""
+    h, v = gathered(filed["rows"], 2)
+    order = np.argsort(h & _LOW)
+    h, v = (h & _LOW)[order], v.view(np.float64)[order]
+    out = []
+    for counts, keys in zip(sent["counts"].to_pylist(), sent["keys"].to_pylist()):
+        counts = np.frombuffer(counts, np.uint32)
+        wide = np.zeros((len(keys) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+        at, there = find(h, wide.view("<u8").ravel())
+        own = np.repeat(np.arange(len(counts)), counts)
+        out.append(np.bincount(own, weights=np.where(there, v[at], 0.0) if len(h) else None, minlength=len(counts)).astype(np.float64).tobytes())
+    return pa.table({"cid": sent["cid"], "b": pa.nulls(len(out), pa.int64()), "v": pa.array(out, pa.binary())})
+
+
+def ask_words(chunks: DataFrame, n: int) -> DataFrame:
+    """Requests (b, cid, keys) of every chunk for its words, and for these as contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cid, c in (x for b in batches for x in _each(b)):
+            keys = np.concatenate((c.hashes, as_context(c.hashes)))
             kinds, rows = dealt(bucket(keys, n), keys)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), cid)), pa.array(rows, pa.binary())], names=["b", "cid", "keys"])
         give_back()
@@ -306,17 +463,29 @@ def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int) -> DataFrame:
 
 def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
     """Values of the keys of a bucket, in the order of each request; NaN if there is none."""
-    h, v = filed["h"].to_numpy().view(np.uint64), filed["v"].to_numpy()
+    h, v = gathered(filed["rows"], 2)
     order = np.argsort(h)
-    h, v = np.append(h[order], np.uint64(0)), np.append(v[order], np.nan)
+    h, v = h[order], v.view(np.float64)[order]
     out = []
     for r in sent["keys"].to_pylist():
-        k = np.frombuffer(r, np.uint64)
-        at = np.searchsorted(h[:-1], k)
-        out.append(np.where(h[at] == k, v[at], np.nan).tobytes())
+        at, there = find(h, np.frombuffer(r, np.uint64))
+        out.append((np.where(there, v[at], np.nan) if len(h) else np.full(len(at), np.nan)).tobytes())
     return pa.table({"cid": sent["cid"], "b": sent["b"], "v": pa.array(out, pa.binary())})
 
 
+def _values(values: DataFrame, n: int) -> DataFrame:
+    """Rows (h, v) by the bucket of h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = b.column("h").to_numpy().view(np.uint64)
+                kinds, rows = dealt(bucket(h, n), h, b.column("v").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
+
+    return values.mapInArrow(run, _ROWS)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -327,44 +496,56 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = (int(x or 0) for x in words.where(F.col("h") != mark).agg(F.sum("n"), F.count("n")).first())
     scale = total + 0.5 * (distinct + 1)
     n = max(2 * partitions(spark), -(-total // BUCKET))
-    values, depth = tree(chunks, words, scale, n)
+    levels, depth = tree(chunks, words, total, scale, n)
+    values = None
+    for t in levels:
+        own = t.where("v is not null").select("h", "v")
+        values = own if values is None else values.unionAll(own)
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
-    log_p = words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v"))
-
-    def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(b.column("h").to_numpy().view(np.uint64), n)), b.column("h"), b.column("v")], names=["b", "h", "v"])
-
-    filed = values.unionAll(log_p).mapInArrow(to_bucket, "b long, h long, v double")
-    sent = ask(chunks, known.bits, depth, n)
-    values_of = cut(sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(answer, "cid long, b long, v binary"), "answers")
-    drop(values, words)
-    share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
+    schema = "cid long, b long, v binary"
+    by_word = values.unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
+    parts = [cut(ask_words(chunks, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
+    for r in range(ROUNDS if depth else 0):
+        sent = ask(chunks, known.bits, depth, n, r)
+        filed = _values(values, n).where(F.col("b") % ROUNDS == r)
+        parts.append(cut(sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(add_up, schema), "sums"))
+        drop()
+    drop(words, *levels)
+    unknown = float(np.log(0.5 / scale))
 
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:
         (_, c), = _each(own)
         ids, some = (np.frombuffer(own.column(x)[0].as_py(), kind) for x, kind in (("ids", np.int64), ("some", bool)))
-        keys, places, index = asked(c, Sieve(share.value), depth)
+        keys = np.concatenate((c.hashes, as_context(c.hashes)))
         b = bucket(keys, n)
-        v = np.empty(len(keys))
-        by = dict(zip(got["b"].to_pylist(), got["v"].to_pylist()))
+        v = np.full(len(keys), np.nan)
+        more = np.zeros(len(c.counts))
+        by = {}
+        for x, r in zip(got["b"].to_pylist(), got["v"].to_pylist()):
+            if x is None:
+                more += np.frombuffer(r, np.float64)
+            else:
+                by[x] = r
         order = np.argsort(b, kind="stable")
         v[order] = np.concatenate([np.empty(0), *(np.frombuffer(by[x], np.float64) for x in np.unique(b).tolist())])
-        token = v[c.index]
-        text = np.repeat(np.arange(len(c.counts)), c.counts)
+        token, back = v[c.index], np.nan_to_num(v[len(c.hashes) :])[c.index]
+        text = c.doc()
         real = np.ones(len(text), dtype=bool)
         real[np.cumsum(c.counts) - c.counts] = False  # the marks
         by_text = lambda w: np.bincount(text, weights=w, minlength=len(c.counts))
         there = real & ~np.isnan(token)
-        base = by_text(np.where(there, np.nan_to_num(token), np.where(real, unknown, 0.0))) / np.log(10)
-        more = np.bincount(text[places], weights=np.nan_to_num(v[index]), minlength=len(c.counts)) / np.log(10)
+        base = by_text(np.where(there, np.nan_to_num(token), np.where(real, unknown, 0.0)))
+        more += by_text(np.where(real, np.r_[0.0, back[:-1]], 0.0))
         return pa.table({
             "doc_id": pa.array(ids, mask=~some), "held_out": ~c.train, "n_tokens": c.counts - 1, "n_known": by_text(there).astype(np.int64),
-            "train_tokens": np.full(len(ids), total), "base_score": base, "score": base + more,
+            "train_tokens": np.full(len(ids), total), "base_score": base / np.log(10), "score": (base + more) / np.log(10),
         })
 
+    got = parts[0]
+    for x in parts[1:]:
+        got = got.unionAll(x)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = cut(chunks.groupBy("cid").cogroup(values_of.groupBy("cid")).applyInArrow(finish, schema), "scores")
-    drop(chunks, values_of)
+    out = cut(chunks.groupBy("cid").cogroup(got.groupBy("cid")).applyInArrow(finish, schema), "scores")
+    drop(chunks, *parts)
     return out

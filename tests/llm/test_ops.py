@@ -163,11 +163,12 @@ def test_op3_whole_tree(spark, docs, fixture_rows):
     assert {(b"rare",), (b"phrase",)} <= kept
 
 
-def test_op3_small_chunks_and_full_sieve(docs, fixture_rows, monkeypatch):
-    """A sieve that lets everything pass costs work, and changes nothing."""
+def test_op3_hot_runs_and_full_sieve(docs, fixture_rows, monkeypatch):
+    """A sieve that lets everything pass, small buckets and hot parents and contexts change nothing."""
     want, _ = plain_scores(fixture_rows[0], 4)
     monkeypatch.setattr(lm, "SIEVE", 1)
     monkeypatch.setattr(lm, "BUCKET", 500)
+    monkeypatch.setattr(lm, "HOT", 20)
     got = lm.score(docs).collect()
     same([(r.doc_id, round(r.score, 6)) for r in got], want)
 
