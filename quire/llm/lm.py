@@ -55,7 +55,7 @@ HOT, HOT_KEYS = 4_000_000, 100_000
 #: Parts in which keys are looked up.
 ROUNDS = 2
 #: Bytes of text of a chunk: larger ones repeat more of their words.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: Tokens a bucket on average.
 BUCKET = 1_000_000
 #: 64-bit words of the sieve: 16 MB for any corpus.
@@ -270,13 +270,30 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
             times = np.diff(np.append(first, len(key)))
             context, parent = context[order[first]], parent[order[first]]
             spread = parent ^ np.where(find(hot.key, parent)[1], mix(context), np.uint64(0))
-            kinds, rows = dealt(bucket(spread, n), context, parent, times)
+            b = bucket(spread, n)
+            order = np.lexsort((parent, b))
+            context, parent, times, b = context[order], parent[order], times[order].astype(np.uint64), b[order]
+            new = np.r_[True, (parent[1:] != parent[:-1]) | (b[1:] != b[:-1])] if len(b) else np.zeros(0, bool)
+            kinds, start = np.unique(b, return_index=True)
+            rows = []
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(b)]):  # a parent once, and how many rows it has
+                at = np.flatnonzero(new[i:j])
+                head = np.array([len(at), j - i], np.uint64)
+                rows.append(b"".join(x.tobytes() for x in (head, parent[i:j][at], np.diff(np.append(at, j - i)).astype(np.uint64), context[i:j], times[i:j])))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
         give_back()
 
+    def read(r: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(r, np.uint64)
+        m, size = int(x[0]), int(x[1])
+        parent, times, context, count = np.split(x[2:], np.cumsum([m, m, size]))
+        return context, np.repeat(parent, times.astype(np.int64)), count
+
     def count(sent: pa.Table, filed: pa.Table) -> pa.Table:
         hot = share.value[1]
-        context, parent, times = gathered(sent["rows"], 3)
+        parts = [read(r) for r in sent["rows"].to_pylist()]
+        context, parent, times = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*parts) if parts else ((), (), ())))
+        del parts
         order, first, _ = groups(joined(context, parent))
         total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         at = order[first[total >= MIN_PAIR]]
@@ -366,10 +383,10 @@ def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
 
 
 def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], int]:
-    """Tables of kept runs and retained contexts, one for each length, and the depth of the tree."""
+    """Tables of the values (h, v) of runs and of retained contexts, one for each length, and the depth of the tree."""
     p = (F.col("n") + 0.5) / scale
     before = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
-    passes, levels, depth = Sieve(np.zeros(SIEVE, np.uint64)), [], 0
+    passes, values, depth, used = Sieve(np.zeros(SIEVE, np.uint64)), [], 0, []
     passes.add(before)
     for k in range(2, MAX_DEPTH + 2):
         hot = hot_runs(before, total)
@@ -379,16 +396,17 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
         found = test_contexts(pairs.where("not hot").select("b", "rows"), before, n)
         if len(hot.key):
             found = found.unionAll(test_hot(pairs.where("hot"), hot))
-        levels.append(cut(found, "pst-level"))
-        if len(hot.key):
-            drop(pairs)
-        before = levels[-1].where("n is not null").select("h", "n", "p", "lp")
-        if not levels[-1].where("v is not null").isEmpty():
+        level = cut(found, "pst-level")
+        drop(*used, *([pairs] if len(hot.key) else []))
+        used, before = [level], level.where("n is not null").select("h", "n", "p", "lp")
+        values.append(cut(level.where("v is not null").select("h", "v"), "pst-values"))
+        if not values[-1].isEmpty():
             depth = k - 1
         if before.isEmpty():
             break
         passes.add(before)
-    return levels, depth
+    drop(*used)
+    return values, depth
 
 
 def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int, part: int) -> DataFrame:
@@ -448,12 +466,20 @@ def add_up(sent: pa.Table, filed: pa.Table) -> pa.Table:
     return pa.table({"cid": sent["cid"], "b": pa.nulls(len(out), pa.int64()), "v": pa.array(out, pa.binary())})
 
 
-def ask_words(chunks: DataFrame, n: int) -> DataFrame:
+def word_keys(c: Chunk, known: Sieve) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a chunk's words and of those that may be retained contexts, and which these are."""
+    states = as_context(c.hashes)
+    some = np.flatnonzero(known(states))
+    return np.concatenate((c.hashes, states[some])), some
+
+
+def ask_words(chunks: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
     """Requests (b, cid, keys) of every chunk for its words, and for these as contexts."""
+    share = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cid, c in (x for b in batches for x in _each(b)):
-            keys = np.concatenate((c.hashes, as_context(c.hashes)))
+            keys, _ = word_keys(c, Sieve(share.value))
             kinds, rows = dealt(bucket(keys, n), keys)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), cid)), pa.array(rows, pa.binary())], names=["b", "cid", "keys"])
         give_back()
@@ -499,25 +525,26 @@ def score(docs: DataFrame) -> DataFrame:
     levels, depth = tree(chunks, words, total, scale, n)
     values = None
     for t in levels:
-        own = t.where("v is not null").select("h", "v")
-        values = own if values is None else values.unionAll(own)
+        values = t if values is None else values.unionAll(t)
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
     schema = "cid long, b long, v binary"
     by_word = values.unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
-    parts = [cut(ask_words(chunks, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
+    drop()
+    parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
+    drop()
     for r in range(ROUNDS if depth else 0):
         sent = ask(chunks, known.bits, depth, n, r)
         filed = _values(values, n).where(F.col("b") % ROUNDS == r)
         parts.append(cut(sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(add_up, schema), "sums"))
         drop()
     drop(words, *levels)
-    unknown = float(np.log(0.5 / scale))
+    share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
 
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:
         (_, c), = _each(own)
         ids, some = (np.frombuffer(own.column(x)[0].as_py(), kind) for x, kind in (("ids", np.int64), ("some", bool)))
-        keys = np.concatenate((c.hashes, as_context(c.hashes)))
+        keys, states = word_keys(c, Sieve(share.value))
         b = bucket(keys, n)
         v = np.full(len(keys), np.nan)
         more = np.zeros(len(c.counts))
@@ -529,7 +556,9 @@ def score(docs: DataFrame) -> DataFrame:
                 by[x] = r
         order = np.argsort(b, kind="stable")
         v[order] = np.concatenate([np.empty(0), *(np.frombuffer(by[x], np.float64) for x in np.unique(b).tolist())])
-        token, back = v[c.index], np.nan_to_num(v[len(c.hashes) :])[c.index]
+        back = np.zeros(len(c.hashes))
+        back[states] = np.nan_to_num(v[len(c.hashes) :])
+        token, back = v[c.index], back[c.index]
         text = c.doc()
         real = np.ones(len(text), dtype=bool)
         real[np.cumsum(c.counts) - c.counts] = False  # the marks
