@@ -53,7 +53,7 @@ MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
 #: Tokens of a hot run, and the most hot runs of one length (more raise the number of tokens).
 HOT, HOT_KEYS = 4_000_000, 100_000
 #: Parts in which keys are looked up.
-ROUNDS = 2
+ROUNDS = 1
 #: Bytes of text of a chunk: larger ones repeat more of their words.
 CHUNK = 8 << 20
 #: Tokens a bucket on average.
