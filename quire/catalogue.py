@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import documents, retrieval
+from quire.plans import documents, retrieval, structure
 
-_ALL = {**retrieval.QUERIES, **documents.QUERIES}
+_ALL = {**retrieval.QUERIES, **documents.QUERIES, **structure.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -80,28 +80,31 @@ def terms(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def truncate(x: Column, limit: int) -> Column:
+def truncate(x: Column, limit: Column | int) -> Column:
     """Cut at the last blank if that keeps more than half, with an ellipsis."""
-    head = F.substring(x, 1, limit)
+    n = limit if isinstance(limit, Column) else F.lit(limit)
+    head = F.substr(x, F.lit(1), n)
     at = F.length(head) - F.instr(F.reverse(head), " ")  # place of the last blank
-    kept = F.when((F.instr(head, " ") > 0) & (at > limit * 0.5), F.substr(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(kept, r"(?U)\s+$", ""), F.lit("…")))
+    kept = F.when((F.instr(head, " ") > 0) & (at > n * 0.5), F.substr(head, F.lit(1), at)).otherwise(head)
+    return F.when(F.length(x) <= n, x).otherwise(F.concat(F.regexp_replace(kept, r"(?U)\s+$", ""), F.lit("…")))
+
+
+#: Stands for the blanks between sentences; no character of Unicode.
+_JOINT = "\uffff"
 
 
 def digest(x: Column, limit: int) -> Column:
     """Leading sentences within ``limit`` characters, the first always; one sentence is truncated."""
-    whole = strip(x)
-    parts = F.split(whole, SENTENCE)
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("open"))
 
-    def step(s: Column, p: Column) -> Column:
-        stop = ~s["open"] | ((s["used"] + F.length(p) + 1 > limit) & (F.size(s["kept"]) > 0))
-        return F.when(stop, F.struct(s["kept"].alias("kept"), s["used"].alias("used"), F.lit(False).alias("open"))).otherwise(
-            F.struct(F.concat(s["kept"], F.array(p)).alias("kept"), (s["used"] + F.length(p) + 1).alias("used"), F.lit(True).alias("open"))
-        )
+    def lead(whole: Column) -> Column:
+        joined = F.concat(F.regexp_replace(whole, SENTENCE, _JOINT), F.lit(_JOINT))
+        head = F.substring(joined, 1, limit)
+        last = F.length(head) - F.instr(F.reverse(head), _JOINT)  # characters before the last joint
+        first = F.substring_index(joined, _JOINT, 1)
+        some = F.when(F.instr(head, _JOINT) == 0, first).otherwise(F.translate(F.substr(head, F.lit(1), last), _JOINT, " "))
+        return F.when(F.length(whole) <= limit, whole).when(F.length(first) + 1 == F.length(joined), truncate(whole, limit)).otherwise(some)
 
-    lead = F.concat_ws(" ", F.aggregate(parts, start, step)["kept"])
-    return F.when(F.length(whole) <= limit, whole).when(F.size(parts) <= 1, truncate(whole, limit)).otherwise(lead)
+    return F.get(F.transform(F.array(strip(x)), lead), F.lit(0))
 
 
 def slug(x: Column) -> Column:

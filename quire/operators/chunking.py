@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quire.functions import text
 
@@ -15,12 +18,12 @@ def chunk_id(doc: Column, level: int, index: Column) -> Column:
     return F.concat(doc.cast("string"), F.lit(f":L{level}:"), index.cast("string"))
 
 
-def micro_chunks(elements: DataFrame, budget: int = MICRO_TOKENS) -> DataFrame:
+def micro_chunks(elements: DataFrame, budget: int = MICRO_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, section, ord, element_type, text, page, caption, width_px, height_px) to numbered MICRO chunks.
 
     Text and lists are split; tables and figures stay whole; figures known to be
     small in both directions, and formulas, give none; a table beyond the
-    embedding limit is an error.
+    embedding limit is an error. Columns named in ``keep`` stay.
     """
     kind = F.col("element_type")
     small = F.coalesce((F.col("width_px") < MIN_FIGURE_PX) & (F.col("height_px") < MIN_FIGURE_PX), F.lit(False))
@@ -32,36 +35,49 @@ def micro_chunks(elements: DataFrame, budget: int = MICRO_TOKENS) -> DataFrame:
         .when(kind == "key_value", F.array("text"))
         .otherwise(F.expr("cast(array() as array<string>)"))
     )
-    cut = elements.select("doc_id", "section", "ord", "page", F.col("element_type").alias("layout_type"), F.posexplode(pieces).alias("piece", "text"))
+    cut = elements.select("doc_id", "section", "ord", "page", F.col("element_type").alias("layout_type"), *keep, F.posexplode(pieces).alias("piece", "text"))
     order = Window.partitionBy("doc_id").orderBy("section", "ord", "piece")
     cut = cut.withColumn("idx", F.row_number().over(order) - 1).withColumn("token_count", text.tokens(F.col("text")))
-    return cut.select(chunk_id(F.col("doc_id"), MICRO, F.col("idx")).alias("id"), "doc_id", F.lit(MICRO).alias("level"), "section", "idx", "text", "token_count", "layout_type", F.array("page").alias("page_numbers"))
+    return cut.select(chunk_id(F.col("doc_id"), MICRO, F.col("idx")).alias("id"), "doc_id", F.lit(MICRO).alias("level"), "section", "idx", "text", "token_count", "layout_type", F.array("page").alias("page_numbers"), *keep)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _packed(tokens: pd.Series, alone: pd.Series, budget: pd.Series) -> pd.Series:
+    """A group takes items while its tokens stay within the budget; an item alone is a group of its own."""
+    out = []
+    for t, lone, most in zip(tokens, alone, budget):
+        t, lone = np.asarray(t, dtype=np.int64), np.asarray(lone, dtype=bool)
+        ends, group, i, g = np.cumsum(t), np.empty(len(t), dtype=np.int32), 0, 0
+        stops = np.append(np.flatnonzero(lone), len(t))
+        while i < len(t):
+            if lone[i]:
+                j = i + 1
+            else:
+                fits = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right"))
+                j = min(max(i + 1, fits), int(stops[np.searchsorted(stops, i)]))
+            group[i:j] = g
+            i, g = j, g + 1
+        out.append(group.tolist())
+    return pd.Series(out)
 
 
 def meso_groups(micro: DataFrame, budget: int = MESO_TOKENS, atomic: int = MICRO_TOKENS) -> DataFrame:
     """MICRO chunks with the number of their MESO group within the section.
 
     A group takes chunks while its tokens stay within the budget; a large table or
-    figure is a group of its own. The fold runs over a section's (idx, tokens,
-    alone) triples only, not over texts.
+    figure is a group of its own. Only a section's (idx, tokens, alone) triples go
+    to the packing, not its texts; a fold over them would copy its result at each step.
     """
     alone = F.col("layout_type").isin("table", "figure") & (F.col("token_count") > atomic)
-    item = F.struct("idx", "token_count", alone.alias("alone"))
-    lists = micro.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("used"), F.lit(True).alias("shut"), F.expr("cast(array() as array<struct<idx:int,g:int>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["shut"] | x["alone"] | (s["used"] + x["token_count"] > budget)
-        g = F.when(fresh, s["g"] + 1).otherwise(s["g"])
-        used = F.when(fresh, x["token_count"]).otherwise(s["used"] + x["token_count"])
-        return F.struct(g.alias("g"), used.alias("used"), x["alone"].alias("shut"), F.concat(s["out"], F.array(F.struct(x["idx"].alias("idx"), g.alias("g")))).alias("out"))
-
-    placed = lists.select("doc_id", "section", F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select("doc_id", "section", F.col("p.idx").alias("idx"), F.col("p.g").alias("grp"))
+    lists = micro.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("idx", "token_count", alone.alias("alone")))).alias("items"))
+    packed = _packed(F.col("items.token_count"), F.col("items.alone"), F.lit(budget))
+    placed = lists.select("doc_id", "section", F.explode(F.arrays_zip(F.col("items.idx").alias("idx"), packed.alias("grp"))).alias("p")).select("doc_id", "section", "p.idx", "p.grp")
     return micro.join(placed, ["doc_id", "section", "idx"])
 
 
-def meso_chunks(grouped: DataFrame) -> DataFrame:
-    """MESO chunks of grouped MICRO chunks: texts joined by blank lines, pages united, one layout type or mixed."""
+def meso_chunks(grouped: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
+    """MESO chunks of grouped MICRO chunks: texts joined by blank lines, pages united, one layout type or mixed; ``keep``: more aggregates."""
+    keep = keep or {}
     parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
     kinds = F.collect_set("layout_type")
     made = grouped.groupBy("doc_id", "section", "grp").agg(
@@ -69,10 +85,11 @@ def meso_chunks(grouped: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers")))).alias("page_numbers"),
         F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.lit("mixed")).alias("layout_type"),
         F.count("id").alias("n_children"),
+        *(c.alias(name) for name, c in keep.items()),
     )
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "grp")) - 1
     made = made.withColumn("idx", idx)
-    return made.select(chunk_id(F.col("doc_id"), MESO, F.col("idx")).alias("id"), "doc_id", F.lit(MESO).alias("level"), "section", "grp", "idx", "text", text.tokens(F.col("text")).alias("token_count"), "layout_type", "page_numbers", "n_children")
+    return made.select(chunk_id(F.col("doc_id"), MESO, F.col("idx")).alias("id"), "doc_id", F.lit(MESO).alias("level"), "section", "grp", "idx", "text", text.tokens(F.col("text")).alias("token_count"), "layout_type", "page_numbers", "n_children", *keep)
 
 
 def link(chunks: DataFrame, by: list[str], order: str, key: str = "id") -> DataFrame:

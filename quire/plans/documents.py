@@ -87,15 +87,6 @@ def sentence_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.trim("text"), r"(?<=[.!?])\s+")).cast("long").alias("n_sentences"))
 
 
-def micro_chunks(spark, sf_dir):
-    return chunking.micro_chunks(elements(spark, sf_dir)).select("id", "doc_id", "idx", "text", "token_count", "layout_type", F.get("page_numbers", F.lit(0)).alias("page"))
-
-
-def meso_chunks(spark, sf_dir):
-    m = chunking.meso_chunks(chunking.meso_groups(chunking.micro_chunks(elements(spark, sf_dir))))
-    return m.select("id", "doc_id", "idx", "text", "token_count", "layout_type", text.page_label(F.col("page_numbers")).alias("pages"), "n_children")
-
-
 def micro_count_by_document(spark, sf_dir):
     """Chunks must keep every word: words of the chunks against words of the text."""
     m = chunking.micro_chunks(elements(spark, sf_dir)).groupBy("doc_id").agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("n_words"))
@@ -284,8 +275,6 @@ QUERIES = {
     "doc_prefix_resolve": (doc_prefix_resolve, "SELECT substring(CAST(doc_id AS VARCHAR), 1, 2) AS prefix, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 1"),
     "token_estimate": (token_estimate, "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM documents"),
     "sentence_count": (sentence_count, "SELECT doc_id, len(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS n_sentences FROM documents"),
-    "micro_chunks": (micro_chunks, None),
-    "meso_chunks": (meso_chunks, None),
     "micro_count_by_document": (micro_count_by_document, "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents"),
     "link_prev_next": (link_prev_next, "SELECT conv_id || ':' || turn AS id, lag(conv_id || ':' || turn) OVER w AS prev_id, lead(conv_id || ':' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "neighbour_context": (neighbour_context, "SELECT conv_id, turn, concat_ws(' [...] ', nullif(substring(lag(text) OVER w, 1, 300), ''), nullif(substring(lead(text) OVER w, 1, 300), '')) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
