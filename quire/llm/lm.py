@@ -28,7 +28,7 @@ and grows with the corpus so that at most HOT_KEYS can have it.
 
 A token's log probability is a sum: of its word's, of log(back) for each retained
 context, and of log(p / (back * p of suffix)) for each run in it. For all but words
-the chunks send the keys they need, by text, in ROUNDS parts, and get sums by text.
+the chunks send the keys they need, by text, and get sums by text.
 
 Null text counts as empty: one token, the end. A null id is hashed as empty
 text. Rows are scored one by one, so repeated rows get equal scores. Without any
@@ -52,8 +52,8 @@ from .common import cut, drop, give_back, id_text, partitions, split_words, text
 MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
 #: Tokens of a hot run, and the most hot runs of one length (more raise the number of tokens).
 HOT, HOT_KEYS = 4_000_000, 100_000
-#: Parts in which keys are looked up.
-ROUNDS = 1
+#: Tokens for which keys are made at once.
+ASKED = 250_000
 #: Bytes of text of a chunk: larger ones repeat more of their words.
 CHUNK = 8 << 20
 #: Tokens a bucket on average.
@@ -175,9 +175,14 @@ def runs(c: Chunk, passes: Sieve | None, depth: int) -> Iterator[tuple[np.ndarra
         good[at] = True if passes is None else passes(made)
 
 
+def by_bucket(b: np.ndarray) -> np.ndarray:
+    """A stable order of buckets; of small numbers by radix."""
+    return np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
+
+
 def dealt(b: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Buckets in order, and the columns (8 bytes a value) of each one's rows as bytes one after another."""
-    order = np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
+    order = by_bucket(b)
     kinds, start = np.unique(b[order], return_index=True)
     cols = tuple(c[order] for c in cols)
     ends = np.append(start[1:], len(b))
@@ -271,7 +276,8 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
             context, parent = context[order[first]], parent[order[first]]
             spread = parent ^ np.where(find(hot.key, parent)[1], mix(context), np.uint64(0))
             b = bucket(spread, n)
-            order = np.lexsort((parent, b))
+            order = np.argsort(parent)
+            order = order[by_bucket(b[order])]
             context, parent, times, b = context[order], parent[order], times[order].astype(np.uint64), b[order]
             new = np.r_[True, (parent[1:] != parent[:-1]) | (b[1:] != b[:-1])] if len(b) else np.zeros(0, bool)
             kinds, start = np.unique(b, return_index=True)
@@ -310,6 +316,7 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
         for flag, some in ((False, ~wide), (True, wide)):
             kinds, rows = dealt(bucket(context[some], n), context[some], parent[some], total[some], p[some], lp[some])
             out.append(pa.table({"b": kinds, "hot": np.full(len(kinds), flag), "rows": pa.array(rows, pa.binary())}))
+        give_back()
         return pa.concat_tables(out)
 
     sent = chunks.mapInArrow(send, _ROWS)
@@ -350,6 +357,7 @@ def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
         runs = {"h": joined(context, parent).view(np.int64), "n": c.astype(np.int64), "p": c / total[group], "lp": new, "v": pa.array(v, mask=np.isnan(v))}
         none = lambda t: pa.nulls(len(some), t)
         own = {"h": as_context(context[first[some]]).view(np.int64), "n": none(pa.int64()), "p": none(pa.float64()), "lp": none(pa.float64()), "v": np.log(back[some])}
+        give_back()
         return pa.concat_tables([pa.table(runs), pa.table(own)])
 
     return pairs.groupBy("b").cogroup(_filed(before, n).groupBy("b")).applyInArrow(solve, _LEVEL)
@@ -382,8 +390,8 @@ def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
     return out.unionAll(kept.select("state", none.cast("long"), none.cast("double"), none.cast("double"), F.log("back")))
 
 
-def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], int]:
-    """Tables of the values (h, v) of runs and of retained contexts, one for each length, and the depth of the tree."""
+def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], Sieve, int]:
+    """Tables of the values (h, v) of runs and of retained contexts, one for each length; the sieve of kept runs; the depth of the tree."""
     p = (F.col("n") + 0.5) / scale
     before = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
     passes, values, depth, used = Sieve(np.zeros(SIEVE, np.uint64)), [], 0, []
@@ -406,45 +414,81 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
             break
         passes.add(before)
     drop(*used)
-    return values, depth
+    return values, passes, depth
 
 
-def ask(chunks: DataFrame, bits: np.ndarray, depth: int, n: int, part: int) -> DataFrame:
-    """Requests (b, cid, counts, keys) of every chunk for the buckets of a part: keys of each text, one after another."""
-    share = chunks.sparkSession.sparkContext.broadcast(bits)
+def pieces(c: Chunk, most: int) -> Iterator[tuple[int, Chunk]]:
+    """A chunk by texts of about ``most`` tokens together, with the number of the first text of each."""
+    ends = np.cumsum(c.counts)
+    a = 0
+    while a < len(ends):
+        base = ends[a - 1] if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield a, Chunk(c.hashes, c.index[base : ends[z - 1]], c.counts[a:z], c.train[a:z])
+        a = z
+
+
+def needed(c: Chunk, words: np.ndarray, states: np.ndarray, passes: Sieve, known: Sieve, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of contexts of two or more words and of runs that may have a value, and the place of each one's token.
+
+    ``words`` and ``states`` say of the chunk's words which are kept, and which may be
+    retained contexts. A context is a kept run, and so are both halves of a kept run.
+    """
+    key, good, state = c.hashes[c.index], words[c.index], states[c.index]
+    inside = np.ones(len(key), dtype=bool)
+    inside[np.cumsum(c.counts) - c.counts] = False
+    at = np.flatnonzero(inside)
+    need, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for k in range(depth):
+        at = at[good[at - 1]]
+        context = key[at - 1]
+        if k:
+            own = as_context(context)
+            some = known(own)
+            need.append(own[some])
+            places.append(at[some])
+        else:
+            some = state[at - 1]
+        both = good[at]
+        at, context, some = at[both], context[both], some[both]
+        made = joined(context, key[at])
+        here = some & known(made)
+        need.append(made[here])
+        places.append(at[here])
+        kept = passes(made)
+        key, good = np.zeros(len(key), np.uint64), np.zeros(len(key), dtype=bool)
+        key[at], good[at] = made, kept
+        # The next word's run has this one as its context.
+        at = at[kept] + 1
+        at = at[at < len(key)]
+        at = at[inside[at]]
+    return np.concatenate(need), np.concatenate(places)
+
+
+def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, depth: int, n: int) -> DataFrame:
+    """Requests (b, cid, first, counts, keys) of every chunk: keys of each text from ``first`` on, one after another."""
+    share = chunks.sparkSession.sparkContext.broadcast((passes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Sieve(share.value)
-        for cid, c in (x for b in batches for x in _each(b)):
-            text, need, owner = c.doc(), [], []
-            state = known(as_context(c.hashes))[c.index]  # of a word as a context
-            for k, (at, key, context, _) in enumerate(runs(c, None, depth)):
-                if k:
-                    own = as_context(context)
-                    some = known(own)
-                    need.append(own[some])
-                    owner.append(text[at[some]])
-                else:
-                    some = state[at - 1]
-                at, key = at[some], key[some]
-                here = known(key)
-                need.append(key[here])
-                owner.append(text[at[here]])
-            need, owner = np.concatenate([np.empty(0, np.uint64), *need]), np.concatenate([np.empty(0, np.int64), *owner])
-            b = bucket(need, n)
-            mine = b % ROUNDS == part
-            need, owner, b = need[mine], owner[mine], b[mine]
-            order = np.argsort(b * len(c.counts) + owner)
-            need, owner, b = need[order], owner[order], b[order]
-            kinds, start = np.unique(b, return_index=True)
-            ends = np.append(start[1:], len(b))
-            counts = [np.bincount(owner[i:j], minlength=len(c.counts)).astype(np.uint32).tobytes() for i, j in zip(start, ends)]
-            keys = need.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows = [keys[i:j].tobytes() for i, j in zip(start, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(len(kinds), cid)), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "counts", "keys"])
+        passes, known = (Sieve(x) for x in share.value)
+        for cid, whole in (x for b in batches for x in _each(b)):
+            words, states = passes(whole.hashes), known(as_context(whole.hashes))
+            for first, c in pieces(whole, ASKED):
+                need, places = needed(c, words, states, passes, known, depth)
+                m = len(c.counts)
+                owner, b = c.doc()[places], bucket(need, n)
+                order = np.argsort(b * m + owner)
+                need, owner, b = need[order], owner[order], b[order]
+                start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+                ends = np.append(start[1:], len(b))
+                counts = [np.bincount(owner[i:j], minlength=m).astype(np.uint32).tobytes() for i, j in zip(start, ends)]
+                keys = need.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows = [keys[i:j].tobytes() for i, j in zip(start, ends)]
+                same = lambda x: pa.array(np.full(len(start), x, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(b[start]), same(cid), same(first), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "first", "counts", "keys"])
         give_back()
 
-    return chunks.mapInArrow(run, "b long, cid long, counts binary, keys binary")
+    return chunks.mapInArrow(run, "b long, cid long, first long, counts binary, keys binary")
 
 
 _LOW = np.uint64((1 << 48) - 1)
@@ -462,8 +506,9 @@ def add_up(sent: pa.Table, filed: pa.Table) -> pa.Table:
         wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
         at, there = find(h, wide.view("<u8").ravel())
         own = np.repeat(np.arange(len(counts)), counts)
-        out.append(np.bincount(own, weights=np.where(there, v[at], 0.0) if len(h) else None, minlength=len(counts)).astype(np.float64).tobytes())
-    return pa.table({"cid": sent["cid"], "b": pa.nulls(len(out), pa.int64()), "v": pa.array(out, pa.binary())})
+        out.append(np.bincount(own, weights=np.where(there, v[at], 0.0) if len(h) else np.zeros(len(own)), minlength=len(counts)).astype(np.float64).tobytes())
+    give_back()
+    return pa.table({"cid": sent["cid"], "b": pa.nulls(len(out), pa.int64()), "first": sent["first"], "v": pa.array(out, pa.binary())})
 
 
 def word_keys(c: Chunk, known: Sieve) -> tuple[np.ndarray, np.ndarray]:
@@ -496,7 +541,8 @@ def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
     for r in sent["keys"].to_pylist():
         at, there = find(h, np.frombuffer(r, np.uint64))
         out.append((np.where(there, v[at], np.nan) if len(h) else np.full(len(at), np.nan)).tobytes())
-    return pa.table({"cid": sent["cid"], "b": sent["b"], "v": pa.array(out, pa.binary())})
+    give_back()
+    return pa.table({"cid": sent["cid"], "b": sent["b"], "first": pa.nulls(len(out), pa.int64()), "v": pa.array(out, pa.binary())})
 
 
 def _values(values: DataFrame, n: int) -> DataFrame:
@@ -522,22 +568,20 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = (int(x or 0) for x in words.where(F.col("h") != mark).agg(F.sum("n"), F.count("n")).first())
     scale = total + 0.5 * (distinct + 1)
     n = max(2 * partitions(spark), -(-total // BUCKET))
-    levels, depth = tree(chunks, words, total, scale, n)
+    levels, passes, depth = tree(chunks, words, total, scale, n)
     values = None
     for t in levels:
         values = t if values is None else values.unionAll(t)
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
-    schema = "cid long, b long, v binary"
+    schema = "cid long, b long, first long, v binary"
     by_word = values.unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
     drop()
     parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
     drop()
-    for r in range(ROUNDS if depth else 0):
-        sent = ask(chunks, known.bits, depth, n, r)
-        filed = _values(values, n).where(F.col("b") % ROUNDS == r)
-        parts.append(cut(sent.groupBy("b").cogroup(filed.groupBy("b")).applyInArrow(add_up, schema), "sums"))
-        drop()
+    if depth:
+        sent = ask(chunks, passes.bits, known.bits, depth, n)
+        parts.append(cut(sent.groupBy("b").cogroup(_values(values, n).groupBy("b")).applyInArrow(add_up, schema), "sums"))
     drop(words, *levels)
     share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
 
@@ -549,9 +593,10 @@ def score(docs: DataFrame) -> DataFrame:
         v = np.full(len(keys), np.nan)
         more = np.zeros(len(c.counts))
         by = {}
-        for x, r in zip(got["b"].to_pylist(), got["v"].to_pylist()):
+        for x, first, r in zip(got["b"].to_pylist(), got["first"].to_pylist(), got["v"].to_pylist()):
             if x is None:
-                more += np.frombuffer(r, np.float64)
+                sums = np.frombuffer(r, np.float64)
+                more[first : first + len(sums)] += sums
             else:
                 by[x] = r
         order = np.argsort(b, kind="stable")
