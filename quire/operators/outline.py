@@ -7,7 +7,8 @@ tables, since Spark has no recursive types:
   chapter), root_id (its chapter), level, title, page_start, page_end;
 * elements: doc_id, section_id, ord, element_type, text, page, block_id, caption.
 
-Trees are walked by joins unrolled to MAX_DEPTH.
+Trees are walked by joins unrolled to MAX_DEPTH. What several steps read is
+written once (``settle``), so that plans stay small and nothing is done twice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
+from quire.sources.scratch import settle
 
 MAX_DEPTH = 8
 #: Block types that carry no content of their own (fixed values).
@@ -88,9 +90,9 @@ def _caption(ahead: list[Column], page: Column, bottom: Column) -> Column:
     return out.otherwise("")
 
 
-def figure_regions(blocks: DataFrame) -> DataFrame:
-    """Figures with their box, caption, nearest heading (not over a page back) and preceding text on the page."""
-    lay = reading_order(blocks).join(texts(blocks), ["doc_id", "id"])
+def figure_regions(blocks: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Figures with their box, caption, nearest heading (not over a page back) and preceding text on the page. ``read``: the blocks' texts, if known."""
+    lay = reading_order(blocks).join(texts(blocks) if read is None else read, ["doc_id", "id"])
     w = in_order("doc_id")
     cell = F.struct("page", "block_type", "top", "t")
     ahead = [F.lead(cell, k).over(w) for k in (1, 2, 3)]
@@ -105,13 +107,13 @@ def figure_regions(blocks: DataFrame) -> DataFrame:
     )
 
 
-def table_cells(blocks: DataFrame) -> DataFrame:
+def table_cells(blocks: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """Cells of the tables below each table layout block: table_id (the layout block), row, col, spans, text, is_header."""
     links, kind = children(blocks), blocks.select("doc_id", F.col("id").alias("child"), F.col("block_type").alias("kind"))
     lay = blocks.where(F.col("block_type") == "LAYOUT_TABLE").select("doc_id", "id")
     grids = lay.join(links, ["doc_id", "id"]).join(kind.where("kind = 'TABLE'"), ["doc_id", "child"]).select("doc_id", F.col("id").alias("table_id"), F.col("child").alias("id"), F.col("pos").alias("grid"))
     cells = grids.join(links, ["doc_id", "id"]).select("doc_id", "table_id", "grid", "pos", F.col("child").alias("id"))
-    own = blocks.where(F.col("block_type").isin("CELL", "MERGED_CELL")).join(texts(blocks), ["doc_id", "id"])
+    own = blocks.where(F.col("block_type").isin("CELL", "MERGED_CELL")).join(texts(blocks) if read is None else read, ["doc_id", "id"])
     header = F.coalesce(F.col("entity_types") == F.array(F.lit("COLUMN_HEADER")), F.lit(False))
     return cells.join(own, ["doc_id", "id"]).select(
         "doc_id", "table_id", "grid", "pos", F.coalesce("row_index", F.lit(0)).alias("row"), F.coalesce("column_index", F.lit(0)).alias("col"), F.coalesce("row_span", F.lit(1)).alias("row_span"),
@@ -134,7 +136,8 @@ def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     came before; other headers are sections of the chapter. Blocks inside other
     layout blocks, page furniture and blank texts give nothing.
     """
-    lay = reading_order(blocks).join(texts(blocks), ["doc_id", "id"]).withColumn("t", strip(F.col("t")))
+    read = settle(texts(blocks), "texts")
+    lay = reading_order(blocks).join(read, ["doc_id", "id"]).withColumn("t", strip(F.col("t")))
     inner = children(blocks.where(F.startswith("block_type", F.lit("LAYOUT_")))).select("doc_id", F.col("child").alias("id")).distinct()
     kind = F.col("block_type")
     shown = kind.isin(*HEADINGS, "LAYOUT_TABLE", "LAYOUT_FIGURE") | (kind.isin("LAYOUT_LIST", "LAYOUT_TEXT") & (F.col("t") != ""))
@@ -143,11 +146,11 @@ def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lay = lay.withColumn("is_root", (kind == "LAYOUT_TITLE") | (F.row_number().over(in_order("doc_id")) == 1))
     lay = lay.withColumn("is_section", F.col("is_root") | head)
     lay = lay.withColumn("section_id", (F.sum(F.col("is_section").cast("int")).over(so_far("doc_id")) - 1).cast("int"))
-    lay = lay.withColumn("root_id", F.last(F.when(F.col("is_root"), F.col("section_id")), True).over(so_far("doc_id")))
-    regions = figure_regions(blocks).select("doc_id", F.col("block_id").alias("id"), "caption")
-    table = ocr_table_text(table_cells(blocks)).select("doc_id", F.col("table_id").alias("id"), F.col("text").alias("grid_text"))
+    lay = settle(lay.withColumn("root_id", F.last(F.when(F.col("is_root"), F.col("section_id")), True).over(so_far("doc_id"))), "layout")
+    regions = figure_regions(blocks, read).select("doc_id", F.col("block_id").alias("id"), "caption")
+    table = ocr_table_text(table_cells(blocks, read)).select("doc_id", F.col("table_id").alias("id"), F.col("text").alias("grid_text"))
     title = children(blocks.where(kind == "LAYOUT_TABLE")).join(blocks.where(kind == "TABLE_TITLE").select("doc_id", F.col("id").alias("child")), ["doc_id", "child"])
-    title = title.join(texts(blocks).withColumnRenamed("id", "child"), ["doc_id", "child"]).groupBy("doc_id", "id").agg(F.max_by(strip(F.col("t")), "pos").alias("table_title"))
+    title = title.join(read.withColumnRenamed("id", "child"), ["doc_id", "child"]).groupBy("doc_id", "id").agg(F.max_by(strip(F.col("t")), "pos").alias("table_title"))
     body = lay.where(~head).join(regions, ["doc_id", "id"], "left").join(table, ["doc_id", "id"], "left").join(title, ["doc_id", "id"], "left")
     table_text = strip(F.concat_ws("\n", F.when(F.col("table_title") != "", F.col("table_title")), F.coalesce("grid_text", "t")))
     text = F.when(kind == "LAYOUT_FIGURE", "[Figure]").when(kind == "LAYOUT_TABLE", table_text).otherwise(F.col("t"))
@@ -162,7 +165,8 @@ def parse_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sections = sections.join(below, ["doc_id", "section_id"], "left").withColumn("page_end", F.greatest("page_end", F.coalesce("last", "page_end"))).drop("last")
     pages = blocks.groupBy("doc_id").agg(F.greatest(F.lit(1), F.count_if(kind == "PAGE")).alias("total_pages"))
     first = lay.where((kind == "LAYOUT_TITLE") & (F.col("t") != "")).groupBy("doc_id").agg(F.min_by("t", "ord").alias("title"))
-    return pages.join(first, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), "total_pages"), sections, elements
+    documents = pages.join(first, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), "total_pages")
+    return documents, settle(sections, "sections"), settle(elements, "elements")
 
 
 # Headings with levels
@@ -307,9 +311,10 @@ def drop_contents(sections: DataFrame, elements: DataFrame) -> tuple[DataFrame,
 
 def clean(documents: DataFrame, sections: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The chain in its order: repeated headings, continued sections, flat chapters, tables of contents."""
-    sections = drop_repeated(documents, sections, elements)
-    sections, elements = merge_continued(sections, elements)
-    return drop_contents(restructure(sections, elements), elements)
+    sections = settle(drop_repeated(documents, sections, elements), "sections")
+    sections, elements = (settle(x, "outline") for x in merge_continued(sections, elements))
+    sections = settle(restructure(sections, elements), "sections")
+    return tuple(settle(x, "outline") for x in drop_contents(sections, elements))
 
 
 def text_dump(sections: DataFrame, elements: DataFrame) -> DataFrame:

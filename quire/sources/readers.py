@@ -15,7 +15,7 @@ METADATA = "doc_id string, project_id string, group_name string, mpn string, man
 GOLDEN = "question string, category string, doc_id string, gold_chunk_ids array<string>, gold_pages array<int>, answer_notes string, source string"
 BLOCKS = (
     "doc_id string, id string, block_type string, page int, text string, left double, top double, width double, height double, relationships array<struct<type:string,ids:array<string>>>, "
-    "row_index int, column_index int, row_span int, column_span int, entity_types array<string>"
+    "row_index int, column_index int, row_span int, col_span int, entity_types array<string>"
 )
 AUDIT = "id bigint, ts timestamp, key_label string, client_ip string, action string, doc_id string, project_id string, detail_json string, status string, error string"
 TABLES = {"chunks": CHUNKS, "chunk_vecs": VECTORS, "doc_metadata": METADATA, "audit_log": AUDIT}
