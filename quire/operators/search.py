@@ -80,12 +80,12 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, coverage_ex
     keyword that a query repeats counts as often.
     """
     asked = queries.select("qid", text.keywords(F.col("query")).alias("kw")).withColumn("n_kw", F.size("kw")).select("qid", "n_kw", F.posexplode("kw").alias("ord", "term"))
-    stats = docs.where("text is not null").select(F.size(text.terms(F.col("text"))).alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
-    index = postings(docs)
-    wanted = asked.select("term").distinct()
-    index = index.join(wanted, "term", "left_semi")
-    freq = index.groupBy("term").agg(F.count("id").alias("df"))
-    rows = index.join(freq, "term").join(F.broadcast(stats))
+    split = docs.where("text is not null").select("id", text.terms(F.col("text")).alias("w"))
+    stats = split.select(F.size("w").alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
+    # Only the words that are asked for are counted; a query set is stated, so its words are few.
+    words = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    hits = words.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = hits.withColumn("df", F.count("id").over(Window.partitionBy("term"))).join(F.broadcast(stats))
     rows = rows.select("term", "id", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("bm25"))
     if where is not None:
         rows = rows.join(docs.where(where).select("id"), "id", "left_semi")

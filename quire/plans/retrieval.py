@@ -118,21 +118,26 @@ def eval_by_category(spark, sf_dir):
     return r.select("category", "n", *(F.round(c, 6).alias(c) for c in ("rr", "ndcg", "hit_1", "hit_3", "hit_5", "hit_10")))
 
 
+def golden(spark, sf_dir):
+    """(vectors, chunks, questions): document i has vector i, level i % 3 and ten documents a page; question i asks for document i."""
+    v = store(spark, sf_dir).drop("label")
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("doc_id"), F.pmod("doc_id", F.lit(3)).cast("int").alias("level"), F.array(F.floor(F.col("doc_id") / 10).cast("int")).alias("page_numbers"))
+    chunks = d.join(v.select("id"), "id", "left_semi").withColumns({"parent_id": F.when(F.col("level") > 0, F.col("id") - 1), "prev_id": F.when(F.col("id") >= 3, F.col("id") - 3), "next_id": F.col("id") + 3})
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
+    q = item.join(v, "id").join(chunks.select("id", "doc_id", "page_numbers", "level"), "id")
+    q = q.select(F.col("id").alias("qid"), "query", "embedding", F.col("level").cast("string").alias("category"), "doc_id", F.array("id").alias("gold_chunk_ids"), F.col("page_numbers").alias("gold_pages"))
+    return v, chunks, q
+
+
+def golden_outcomes(spark, sf_dir):
+    scored, _ = evaluate.run_eval(*golden(spark, sf_dir), evaluate.Config(mode="keyword"))
+    return scored.select("qid", "category", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), "num_retrieved", "first_relevant_rank", "hit_1", "hit_10", "loose_1", "loose_10")
+
+
 def ablation_matrix(spark, sf_dir):
-    """All standard configurations over the questions; gold: documents that hold the question's text. Levels need chunks, so here they filter nothing."""
-    q = asked(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
-    docs, vec = texts(spark, sf_dir), store(spark, sf_dir).drop("label")
-    lists = {"vector": search.vector_search(vec, q, 40), "keyword": search.keyword_search(docs, q, 40)}
-    gold = docs.join(F.broadcast(asked(spark, sf_dir)), F.contains("text", "query")).select("qid", "id", F.lit(True).alias("gold"))
-    out = None
-    for label, mode, level, vw, kw in evaluate.MATRIX:
-        if level is not None:
-            continue
-        got = search.fuse(lists["vector"], lists["keyword"], 10, 60, vw, kw) if mode == "hybrid" else lists[mode].where("rank <= 10")
-        judged = got.select("qid", "rank", "id").join(gold, ["qid", "id"], "left").select("qid", "rank", F.coalesce("gold", F.lit(False)).alias("hit"))
-        part = evaluate.outcomes(judged).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("rr", "ndcg", "hit_1", "hit_10"))).withColumn("config", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All eight standard configurations over the questions, by category and overall."""
+    r = evaluate.run_matrix(*golden(spark, sf_dir), evaluate.standard())
+    return r.select("config", "category", "n", *(F.round(c, 6).alias(c) for c in ("rr", "ndcg", "hit_1", "hit_10", "loose_1", "loose_10")))
 
 
 def geography(spark, sf_dir):
@@ -165,8 +170,8 @@ def navigate_children(spark, sf_dir):
 
 
 def sibling_counts(spark, sf_dir):
-    g = geography(spark, sf_dir).where("level < 2")
-    return navigate.siblings(g.select("id"), g).groupBy("id").agg(F.count("to").alias("n_siblings")).select(F.col("id").alias("chunk_id"), "n_siblings")
+    g = geography(spark, sf_dir)
+    return navigate.sibling_counts(g).select(F.col("id").alias("chunk_id"), "n_siblings")
 
 
 def ancestor_pairs(spark, sf_dir):
@@ -231,6 +236,38 @@ _JUDGED = f"""{_V}, a AS ({_vector_sql(20, queries='id % 20 = 0')}),
   o AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, m + 1), lambda i: 1 / log2(i + 1))) END AS ndcg FROM s)"""
 _MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("rr", "ndcg", "hit_1", "hit_3", "hit_5", "hit_10"))
 
+_GOLDEN = f"""{_V}, {_KW},
+  ch AS (SELECT doc_id AS id, source AS doc, doc_id % 3 AS level, doc_id // 10 AS page FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT id FROM v)),
+  gq AS (SELECT item_id AS qid, level, doc, page FROM benchmark JOIN ch ON ch.id = item_id),
+  par AS (SELECT id, CASE WHEN level > 0 THEN id - 1 END AS p FROM ch),
+  anc AS (SELECT a.id, a.p AS to_id FROM par a WHERE a.p IS NOT NULL UNION SELECT a.id, b.p FROM par a JOIN par b ON b.id = a.p WHERE b.p IS NOT NULL),
+  rel AS (SELECT qid, qid AS id FROM gq UNION SELECT qid, to_id FROM gq JOIN anc ON anc.id = qid UNION SELECT qid, anc.id FROM gq JOIN anc ON anc.to_id = qid
+          UNION SELECT qid, qid - 3 FROM gq WHERE qid >= 3 UNION SELECT qid, qid + 3 FROM gq)"""
+
+
+def _run_sql(mode, level, vw, kw, name):
+    """SQL of one configuration: rows (config, qid, category, rr, …)."""
+    where = "true" if level is None else f"id % 3 = {level}"
+    in_ch = f"id IN (SELECT id FROM ch) AND {where}"
+    wide = 40 if mode == "hybrid" else 10
+    vec = f"SELECT * FROM ({_vector_sql(wide, where=where if level is None else in_ch, queries='id IN (SELECT qid FROM gq)')})"
+    key = _keyword_sql(wide, where=in_ch).replace("FROM q1 JOIN p", "FROM (SELECT * FROM q1 WHERE qid IN (SELECT qid FROM gq)) q1 JOIN p")
+    if mode == "hybrid":
+        found = f"""SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, chunk_id) AS INT) AS rank, chunk_id FROM (SELECT qid, chunk_id, sum(s) AS s FROM
+          (SELECT qid, chunk_id, {vw} / (60 + rank) AS s FROM ({vec}) UNION ALL SELECT qid, chunk_id, {kw} / (60 + rank) FROM ({key})) GROUP BY ALL) QUALIFY rank <= 10"""
+    else:
+        found = f"SELECT qid, rank, chunk_id FROM ({vec if mode == 'vector' else key})"
+    return f"""SELECT '{name}' AS config, gq.qid, CAST(gq.level AS VARCHAR) AS category, coalesce(1 / min(r.rank) FILTER (hit), 0) AS rr,
+      coalesce(sum(1 / log2(r.rank + 1)) FILTER (hit AND r.rank <= 5), 0) / greatest(list_sum(list_transform(range(1, least(count(*) FILTER (hit), 5) + 1), lambda i: 1 / log2(i + 1))), 1e-9) AS nd,
+      count(r.rank) AS num_retrieved, min(r.rank) FILTER (hit) AS first_relevant_rank, coalesce(CAST(bool_or(hit AND r.rank <= 1) AS INT), 0) AS hit_1, coalesce(CAST(bool_or(hit AND r.rank <= 10) AS INT), 0) AS hit_10,
+      coalesce(CAST(bool_or(loose AND r.rank <= 1) AS INT), 0) AS loose_1, coalesce(CAST(bool_or(loose AND r.rank <= 10) AS INT), 0) AS loose_10
+      FROM gq LEFT JOIN (SELECT f.qid, f.rank, rel.id IS NOT NULL AS hit, f.chunk_id = f.qid OR (ch.doc = g.doc AND ch.page = g.page) AS loose FROM ({found}) f JOIN ch ON ch.id = f.chunk_id JOIN gq g ON g.qid = f.qid LEFT JOIN rel ON rel.qid = f.qid AND rel.id = f.chunk_id) r ON r.qid = gq.qid
+      GROUP BY gq.qid, gq.level"""
+
+
+_MATRIX = " UNION ALL ".join(_run_sql(c.mode, c.level, c.vector_weight, c.keyword_weight, c.name) for c in evaluate.standard())
+_MATRIX_MEANS = "count(*) AS n, " + ", ".join(f"round(avg({x}), 6) AS {c}" for c, x in (("rr", "rr"), ("ndcg", "coalesce(nd, 0)"), ("hit_1", "hit_1"), ("hit_10", "hit_10"), ("loose_1", "loose_1"), ("loose_10", "loose_10")))
+
 QUERIES = {
     "vector_topk": (vector_topk, _vector(10)),
     "vector_topk_filtered": (vector_topk_filtered, _vector(10, where="label = 3")),
@@ -247,10 +284,11 @@ QUERIES = {
     "hybrid_kw_tilt": (hybrid_kw_tilt, _hybrid_sql(1.0, 2.0)),
     "eval_outcomes": (eval_outcomes, f"WITH {_JUDGED} SELECT qid, category, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, hit_1, hit_3, hit_5, hit_10 FROM o"),
     "eval_by_category": (eval_by_category, f"WITH {_JUDGED} SELECT category, count(*) AS n, {_MEANS} FROM o GROUP BY category UNION ALL SELECT 'overall', count(*), {_MEANS} FROM o"),
-    "ablation_matrix": (ablation_matrix, None),
+    "ablation_matrix": (ablation_matrix, f"WITH {_GOLDEN}, m AS ({_MATRIX}) SELECT config, category, {_MATRIX_MEANS} FROM m GROUP BY config, category UNION ALL SELECT config, 'overall', {_MATRIX_MEANS} FROM m GROUP BY config"),
+    "golden_outcomes": (golden_outcomes, f"WITH {_GOLDEN}, m AS ({_run_sql('keyword', None, 1.0, 1.0, 'k')}) SELECT qid, category, round(rr, 6) AS rr, round(coalesce(nd, 0), 6) AS ndcg, num_retrieved, first_relevant_rank, hit_1, hit_10, loose_1, loose_10 FROM m"),
     "navigate_parent": (navigate_parent, f"WITH {TREE} SELECT id AS chunk_id, parent_id AS parent FROM t WHERE parent_id IS NOT NULL"),
     "navigate_children": (navigate_children, f"WITH {TREE} SELECT parent_id AS chunk_id, id AS child FROM t WHERE parent_id IS NOT NULL"),
-    "sibling_counts": (sibling_counts, f"WITH {TREE} SELECT a.id AS chunk_id, count(*) AS n_siblings FROM t a JOIN t b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.level < 2 AND b.level < 2 GROUP BY a.id"),
+    "sibling_counts": (sibling_counts, f"WITH {TREE} SELECT a.id AS chunk_id, count(*) AS n_siblings FROM t a JOIN t b ON a.parent_id = b.parent_id AND a.id <> b.id GROUP BY a.id"),
     "ancestor_pairs": (ancestor_pairs, f"WITH RECURSIVE {TREE}, u AS (SELECT id, parent_id AS ancestor, 1 AS distance FROM t WHERE parent_id IS NOT NULL UNION ALL SELECT u.id, t.parent_id, distance + 1 FROM u JOIN t ON t.id = u.ancestor WHERE t.parent_id IS NOT NULL) SELECT id AS chunk_id, ancestor, distance FROM u"),
     "lineage_relevant": (lineage_relevant, f"""WITH {TREE}, g AS (SELECT * FROM t WHERE level = 1) SELECT DISTINCT item, chunk_id FROM (SELECT id AS item, id AS chunk_id FROM g UNION ALL SELECT id, parent_id FROM g UNION ALL SELECT id, prev_id FROM g
         UNION ALL SELECT id, next_id FROM g UNION ALL SELECT g.id, t.id FROM g JOIN t ON t.parent_id = g.id) WHERE chunk_id IS NOT NULL"""),
