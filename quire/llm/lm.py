@@ -32,8 +32,10 @@ the chunks send the keys they need, by text, and get sums by text.
 
 Null text counts as empty: one token, the end. A null id is hashed as empty
 text. Rows are scored one by one, so repeated rows get equal scores. Without any
-training text N is 0 and all tokens are unknown. Keys that are looked up have 48
-bits in a bucket of bounded size: a false match has a chance of about 4e-9.
+training text N is 0 and all tokens are unknown. What goes to a bucket
+has the low 48 bits of a key, by which the bucket's own table, of bounded size, gives
+the whole one: a false match has a chance of about 4e-9. Probabilities of contexts
+and runs are single precision, those of words double.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ HOT, HOT_KEYS = 4_000_000, 100_000
 #: Tokens for which keys are made at once.
 ASKED = 250_000
 #: Bytes of text of a chunk: larger ones repeat more of their words.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Tokens a bucket on average.
 BUCKET = 1_000_000
 #: 64-bit words of the sieve: 16 MB for any corpus.
@@ -180,8 +182,12 @@ def by_bucket(b: np.ndarray) -> np.ndarray:
     return np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
 
 
+#: Keys are dealt and matched by these bits.
+LOW = np.uint64((1 << 48) - 1)
+
+
 def dealt(b: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Buckets in order, and the columns (8 bytes a value) of each one's rows as bytes one after another."""
+    """Buckets in order, and the columns of each one's rows as bytes one after another."""
     order = by_bucket(b)
     kinds, start = np.unique(b[order], return_index=True)
     cols = tuple(c[order] for c in cols)
@@ -189,14 +195,31 @@ def dealt(b: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return kinds, [b"".join(c[i:j].tobytes() for c in cols) for i, j in zip(start.tolist(), ends.tolist())]
 
 
-def gathered(rows: pa.ChunkedArray, n: int) -> list[np.ndarray]:
-    """The ``n`` columns of all rows of a bucket, as unsigned words."""
-    parts = [np.frombuffer(r, np.uint64).reshape(n, -1) for r in rows.to_pylist()]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * n
+def gathered(rows: pa.ChunkedArray, *kinds: str) -> list[np.ndarray]:
+    """The columns of all rows of a bucket."""
+    types = [np.dtype(k) for k in kinds]
+    width, out = sum(t.itemsize for t in types), [[np.empty(0, t)] for t in types]
+    for r in rows.to_pylist():
+        n, at = len(r) // width, 0
+        for t, x in zip(types, out):
+            x.append(np.frombuffer(r, t, n, at))
+            at += n * t.itemsize
+    return [np.concatenate(x) for x in out]
+
+
+def short(key: np.ndarray) -> bytes:
+    """The low 48 bits of keys, six bytes each."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widened(raw: bytes | memoryview) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
 
 
 def bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return (mix(key) % np.uint64(n)).astype(np.int64)
+    return (mix(key & LOW) % np.uint64(n)).astype(np.int64)
 
 
 def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +249,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
 
 
 class Hot(NamedTuple):
-    """Runs of one length that are seen very often, in order of their keys."""
+    """Runs of one length that are seen very often, in order of their keys' low bits."""
 
     key: np.ndarray
     n: np.ndarray
@@ -238,7 +261,7 @@ def hot_runs(before: DataFrame, total: int) -> Hot:
     """At most HOT_KEYS: each has more than a HOT_KEYS-th part of all tokens."""
     t = before.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).toArrow()
     key = t["h"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key & LOW)
     return Hot(key[order], *(t[c].to_numpy()[order] for c in ("n", "p", "lp")))
 
 
@@ -248,14 +271,16 @@ def _filed(before: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                h = b.column("h").to_numpy().view(np.uint64)
-                kinds, rows = dealt(bucket(h, n), h, *(b.column(c).to_numpy() for c in ("n", "p", "lp")))
+                h, count, p, lp = (b.column(c).to_numpy().astype(t) for c, t in zip(("h", "n", "p", "lp"), ("i8", "i8", "f4", "f4")))
+                h = h.view(np.uint64)
+                kinds, rows = dealt(bucket(h, n), h, count, p, lp)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
 
     return before.select("h", "n", "p", "lp").mapInArrow(run, _ROWS)
 
 
 _ROWS = "b long, rows binary"
+_FILED, _FOUND = ("u8", "i8", "f4", "f4"), ("u8", "u8", "i8", "f4", "f4")
 _PAIRS = "b long, hot boolean, rows binary"
 
 
@@ -274,44 +299,45 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
             order, first, _ = groups(key)
             times = np.diff(np.append(first, len(key)))
             context, parent = context[order[first]], parent[order[first]]
-            spread = parent ^ np.where(find(hot.key, parent)[1], mix(context), np.uint64(0))
+            spread = parent ^ np.where(find(hot.key & LOW, parent & LOW)[1], mix(context), np.uint64(0))
             b = bucket(spread, n)
             order = np.argsort(parent)
             order = order[by_bucket(b[order])]
-            context, parent, times, b = context[order], parent[order], times[order].astype(np.uint64), b[order]
+            context, parent, times, b = context[order], parent[order], times[order].astype(np.uint32), b[order]
             new = np.r_[True, (parent[1:] != parent[:-1]) | (b[1:] != b[:-1])] if len(b) else np.zeros(0, bool)
             kinds, start = np.unique(b, return_index=True)
             rows = []
             for i, j in zip(start.tolist(), [*start[1:].tolist(), len(b)]):  # a parent once, and how many rows it has
                 at = np.flatnonzero(new[i:j])
-                head = np.array([len(at), j - i], np.uint64)
-                rows.append(b"".join(x.tobytes() for x in (head, parent[i:j][at], np.diff(np.append(at, j - i)).astype(np.uint64), context[i:j], times[i:j])))
+                rows.append(b"".join((np.array([len(at), j - i]).tobytes(), np.diff(np.append(at, j - i)).astype(np.uint32).tobytes(), times[i:j].tobytes(), short(parent[i:j][at]), short(context[i:j]))))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
         give_back()
 
     def read(r: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.frombuffer(r, np.uint64)
-        m, size = int(x[0]), int(x[1])
-        parent, times, context, count = np.split(x[2:], np.cumsum([m, m, size]))
-        return context, np.repeat(parent, times.astype(np.int64)), count
+        m, size = np.frombuffer(r, np.int64, 2).tolist()
+        repeat, times = np.frombuffer(r, np.uint32, m, 16), np.frombuffer(r, np.uint32, size, 16 + 4 * m)
+        at = 16 + 4 * (m + size)
+        view = memoryview(r)
+        return widened(view[at + 6 * m :]), np.repeat(widened(view[at : at + 6 * m]), repeat), times.astype(np.int64)
 
     def count(sent: pa.Table, filed: pa.Table) -> pa.Table:
         hot = share.value[1]
         parts = [read(r) for r in sent["rows"].to_pylist()]
-        context, parent, times = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*parts) if parts else ((), (), ())))
+        none = np.zeros(0, np.uint64)
+        context, parent, times = (np.concatenate([none, *x]) for x in (zip(*parts) if parts else ((), (), ())))
         del parts
         order, first, _ = groups(joined(context, parent))
         total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         at = order[first[total >= MIN_PAIR]]
         context, parent, total = context[at], parent[at], total[total >= MIN_PAIR]
-        h, _, p, lp = gathered(filed["rows"], 4)
-        by = np.argsort(h)
-        at, there = find(h[by], parent)
-        often, is_hot = find(hot.key, parent)
-        p, lp = (np.where(is_hot, x[often] if len(x) else 0.0, y.view(np.float64)[by][at] if len(y) else 0.0) for x, y in ((hot.p, p), (hot.lp, lp)))
+        h, _, p, lp = gathered(filed["rows"], *_FILED)
+        by = np.argsort(h & LOW)
+        at, there = find((h & LOW)[by], parent)
+        often, is_hot = find(hot.key & LOW, parent)
+        whole, p, lp = (np.where(is_hot, x[often] if len(x) else 0, y[by][at] if len(y) else 0).astype(t) for x, y, t in ((hot.key, h, "u8"), (hot.p, p, "f4"), (hot.lp, lp, "f4")))
         ok = there | is_hot
-        context, parent, total, p, lp = context[ok], parent[ok], total[ok], p[ok], lp[ok]
-        wide = find(hot.key, context)[1]
+        context, parent, total, p, lp = context[ok], whole[ok], total[ok], p[ok], lp[ok]
+        wide = find(hot.key & LOW, context)[1]
         out = []
         for flag, some in ((False, ~wide), (True, wide)):
             kinds, rows = dealt(bucket(context[some], n), context[some], parent[some], total[some], p[some], lp[some])
@@ -329,20 +355,21 @@ def left_out(n, total, kinds, p):
     return n * log((n - 1 - DISCOUNT + DISCOUNT * kinds * p) / ((total - 1) * p))
 
 
-_LEVEL = "h long, n long, p double, lp double, v double"
+_LEVEL = "h long, n long, p float, lp float, v float"
 
 
 def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
     """Kept runs (h, n, p, lp, v) and, without n, retained contexts (h, v) under their keys as contexts; v: what a token gets by it, null if its context isn't retained."""
 
     def solve(sent: pa.Table, filed: pa.Table) -> pa.Table:
-        context, parent, c, p, lp = gathered(sent["rows"], 5)
+        context, parent, c, p, lp = gathered(sent["rows"], *_FOUND)
         order, first, group = groups(context)
-        context, parent, c, p, lp = context[order], parent[order], c[order].astype(np.float64), p.view(np.float64)[order], lp.view(np.float64)[order]
-        h, seen, _, _ = gathered(filed["rows"], 4)
-        by = np.argsort(h)
-        at, there = find(h[by], context[first])
+        context, parent, c, p, lp = context[order], parent[order], *(x[order].astype(np.float64) for x in (c, p, lp))
+        h, seen, _, _ = gathered(filed["rows"], *_FILED)
+        by = np.argsort(h & LOW)
+        at, there = find((h & LOW)[by], context[first])
         total = np.where(there, seen[by][at] if len(h) else 0, 0).astype(np.float64)
+        state = h[by][at] if len(h) else context[first]  # the whole keys of the contexts
         sums = lambda x: np.bincount(group, weights=x, minlength=len(first))
         kept = sums(np.ones(len(context)))
         ones = total - sums(c)
@@ -354,9 +381,10 @@ def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
         new = np.where(ok[group], np.log((c - DISCOUNT) / total[group] + back[group] * np.exp(lp)), lp)
         v = np.where(ok[group], new - lp - np.log(back[group]), np.nan)
         some = np.flatnonzero(ok)
-        runs = {"h": joined(context, parent).view(np.int64), "n": c.astype(np.int64), "p": c / total[group], "lp": new, "v": pa.array(v, mask=np.isnan(v))}
+        single = lambda x: pa.array(x.astype(np.float32), mask=np.isnan(x))
+        runs = {"h": joined(state[group], parent).view(np.int64), "n": c.astype(np.int64), "p": single(c / total[group]), "lp": single(new), "v": single(v)}
         none = lambda t: pa.nulls(len(some), t)
-        own = {"h": as_context(context[first[some]]).view(np.int64), "n": none(pa.int64()), "p": none(pa.float64()), "lp": none(pa.float64()), "v": np.log(back[some])}
+        own = {"h": as_context(state[some]).view(np.int64), "n": none(pa.int64()), "p": none(pa.float32()), "lp": none(pa.float32()), "v": single(np.log(back[some]))}
         give_back()
         return pa.concat_tables([pa.table(runs), pa.table(own)])
 
@@ -369,10 +397,10 @@ def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.column("rows").to_pylist():
-                context, parent, c, p, lp = np.frombuffer(r, np.uint64).reshape(5, -1)
-                h = joined(context, parent)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), context.view(np.int64), as_context(context).view(np.int64), c.astype(np.int64), p.view(np.float64), lp.view(np.float64))], names=["h", "ctx", "state", "n", "p", "lp"])
+            context, parent, c, p, lp = gathered(pa.chunked_array([b.column("rows")]), *_FOUND)
+            context = hot.key[find(hot.key & LOW, context)[0]]
+            h = joined(context, parent)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), context.view(np.int64), as_context(context).view(np.int64), c, p.astype(np.float64), lp.astype(np.float64))], names=["h", "ctx", "state", "n", "p", "lp"])
 
     rows = pairs.select("rows").mapInArrow(run, "h long, ctx long, state long, n long, p double, lp double")
     totals = F.broadcast(spark.createDataFrame(list(zip(hot.key.view(np.int64).tolist(), hot.n.tolist())), "ctx long, total long"))
@@ -385,9 +413,9 @@ def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
     kept = rows.groupBy("ctx", "state", "total", "ones", "kinds", "kept").agg(gain.alias("gain")).where(F.col("gain") + single >= MIN_GAIN).select("ctx", "state", back.alias("back"))
     new = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
     out = rows.join(F.broadcast(kept.select("ctx", "back")), "ctx", "left")
-    out = out.select("h", "n", (F.col("n") / F.col("total")).alias("p"), new.alias("lp"), (new - F.col("lp") - F.log("back")).alias("v"))
+    out = out.select("h", "n", (F.col("n") / F.col("total")).cast("float").alias("p"), new.cast("float").alias("lp"), (new - F.col("lp") - F.log("back")).cast("float").alias("v"))
     none = F.lit(None)
-    return out.unionAll(kept.select("state", none.cast("long"), none.cast("double"), none.cast("double"), F.log("back")))
+    return out.unionAll(kept.select("state", none.cast("long"), none.cast("float"), none.cast("float"), F.log("back").cast("float")))
 
 
 def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], Sieve, int]:
@@ -482,8 +510,7 @@ def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, depth: int, n:
                 start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
                 ends = np.append(start[1:], len(b))
                 counts = [np.bincount(owner[i:j], minlength=m).astype(np.uint32).tobytes() for i, j in zip(start, ends)]
-                keys = need.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [keys[i:j].tobytes() for i, j in zip(start, ends)]
+                rows = [short(need[i:j]) for i, j in zip(start, ends)]
                 same = lambda x: pa.array(np.full(len(start), x, np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(b[start]), same(cid), same(first), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "first", "counts", "keys"])
         give_back()
@@ -491,20 +518,15 @@ def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, depth: int, n:
     return chunks.mapInArrow(run, "b long, cid long, first long, counts binary, keys binary")
 
 
-_LOW = np.uint64((1 << 48) - 1)
-
-
 def add_up(sent: pa.Table, filed: pa.Table) -> pa.Table:
     """Sums by text of the values of the keys of a bucket; a key without a value adds nothing."""
-    h, v = gathered(filed["rows"], 2)
-    order = np.argsort(h & _LOW)
-    h, v = (h & _LOW)[order], v.view(np.float64)[order]
+    h, v = gathered(filed["rows"], "u8", "f8")
+    order = np.argsort(h & LOW)
+    h, v = (h & LOW)[order], v[order]
     out = []
     for counts, keys in zip(sent["counts"].to_pylist(), sent["keys"].to_pylist()):
         counts = np.frombuffer(counts, np.uint32)
-        wide = np.zeros((len(keys) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-        at, there = find(h, wide.view("<u8").ravel())
+        at, there = find(h, widened(keys))
         own = np.repeat(np.arange(len(counts)), counts)
         out.append(np.bincount(own, weights=np.where(there, v[at], 0.0) if len(h) else np.zeros(len(own)), minlength=len(counts)).astype(np.float64).tobytes())
     give_back()
@@ -534,9 +556,9 @@ def ask_words(chunks: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
 
 def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
     """Values of the keys of a bucket, in the order of each request; NaN if there is none."""
-    h, v = gathered(filed["rows"], 2)
+    h, v = gathered(filed["rows"], "u8", "f8")
     order = np.argsort(h)
-    h, v = h[order], v.view(np.float64)[order]
+    h, v = h[order], v[order]
     out = []
     for r in sent["keys"].to_pylist():
         at, there = find(h, np.frombuffer(r, np.uint64))
@@ -552,7 +574,7 @@ def _values(values: DataFrame, n: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 h = b.column("h").to_numpy().view(np.uint64)
-                kinds, rows = dealt(bucket(h, n), h, b.column("v").to_numpy())
+                kinds, rows = dealt(bucket(h, n), h, b.column("v").to_numpy().astype(np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
 
     return values.mapInArrow(run, _ROWS)
@@ -575,7 +597,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
     schema = "cid long, b long, first long, v binary"
-    by_word = values.unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
+    by_word = values.withColumn("v", F.col("v").cast("double")).unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
     drop()
     parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
     drop()
