@@ -39,7 +39,7 @@ def repeated_headings(sections: DataFrame, pages: DataFrame) -> DataFrame:
 def is_contents(title: Column, lines: Column) -> Column:
     """A table of contents by its title, or by ten or more lines of which 60 % end in a leader and a number."""
     like = F.size(F.filter(lines, lambda x: x.rlike(r"^.+[.\s]{2,}\d+\s*$")))
-    named = F.lower(F.trim(title)).isin("contents", "table of contents")
+    named = F.lower(F.trim(title)).isin("contents", "table of contents", "index", "toc")
     return F.coalesce(named, F.lit(False)) | F.coalesce((F.size(lines) >= 10) & (like >= 0.6 * F.size(lines)), F.lit(False))
 
 

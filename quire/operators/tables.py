@@ -90,10 +90,12 @@ def repair_eligible(df: DataFrame) -> DataFrame:
     return column_counts(df).select("table_id", skip.alias("skip"))
 
 
-def validate_grid(proposal: DataFrame, bands: DataFrame) -> DataFrame:
+def validate_grid(proposal: DataFrame, bands: DataFrame, data: DataFrame | None = None) -> DataFrame:
     """Proposals (table_id, row, col, row_span, col_span, text) against (table_id, header_rows, column_count).
 
-    (table_id, reason): null if the cells are positive, inside the band, and tile it exactly.
+    (table_id, reason): null if the cells are positive, inside the band, and tile it
+    exactly, no long text repeats across it, and no row repeats data of its columns.
+    ``data``: the table's cells; only those below the header count.
     """
     own = proposal.join(bands, "table_id")
     bad = (F.col("row") < 1) | (F.col("col") < 1) | (F.col("row_span") < 1) | (F.col("col_span") < 1)
@@ -104,6 +106,17 @@ def validate_grid(proposal: DataFrame, bands: DataFrame) -> DataFrame:
     tiled = spots.groupBy("table_id", "r", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("table_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("covered"))
     joined = state.join(tiled, "table_id", "left")
     reason = F.when(F.col("bad"), "non-positive cell").when(F.col("out"), "outside band").when(F.col("most") > 1, "overlap").when(F.coalesce("covered", F.lit(0)) < F.col("area"), "gap")
+    t = proposal.withColumn("t", strip(F.coalesce("text", F.lit(""))))
+    repeats = t.where(F.length("t") >= GARBLED_CHARS).groupBy("table_id", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("table_id").agg(F.max("n").alias("repeats"))
+    joined = joined.join(repeats, "table_id", "left")
+    reason = reason.when(F.col("repeats") >= GARBLED_REPEATS, "still garbled")
+    if data is not None:
+        body = cells(data).join(bands.select("table_id", "header_rows"), "table_id").where(F.col("is_origin") & (F.col("row") > F.col("header_rows")) & (F.length("t") >= FUSED_CHARS))
+        spots = body.select("table_id", F.lower("t").alias("k"), F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("col")).distinct()
+        same = t.where(F.length("t") >= FUSED_CHARS).withColumn("k", F.lower("t")).join(spots, ["table_id", "col", "k"], "left_semi")
+        fused = same.groupBy("table_id", "row").agg(F.count_distinct("t").alias("n")).groupBy("table_id").agg(F.max("n").alias("fused"))
+        joined = joined.join(fused, "table_id", "left")
+        reason = reason.when(F.col("fused") >= 2, "repeats data")
     return joined.select("table_id", reason.alias("reason"))
 
 
@@ -113,3 +126,13 @@ def splice_header(df: DataFrame, proposal: DataFrame, bands: DataFrame) -> DataF
     grid = proposal.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)))
     head = grid.select("table_id", F.col("r").alias("row"), F.col("c").alias("col"), "row_span", "col_span", "text", F.lit(True).alias("is_header"), ((F.col("r") == F.col("row")) & (F.col("c") == F.col("col"))).alias("is_origin"))
     return head.unionByName(body)
+
+
+def repaired(df: DataFrame, proposal: DataFrame) -> DataFrame:
+    """Cells with the header bands of accepted proposals, others as they are, and which tables changed (``repaired``)."""
+    bands = column_counts(df).select("table_id", "header_rows", "column_count")
+    fine = validate_grid(proposal, bands, df).where("reason is null").select("table_id")
+    some = df.join(fine, "table_id", "left_semi")
+    spliced = splice_header(some, proposal.join(fine, "table_id", "left_semi"), bands)
+    rest = cells(df).drop("t").join(fine, "table_id", "left_anti").select(*spliced.columns)
+    return spliced.withColumn("repaired", F.lit(True)).unionByName(rest.withColumn("repaired", F.lit(False)))
