@@ -3,15 +3,21 @@
 Detected entities get keyed, type-consistent replacements. Every replacement is
 a keyed permutation of the set of strings of the entity's own format: digits stay
 digits, letters keep case, kind (vowel or consonant) and script, separators and
-check digits hold, given names stay within their script and gender. A
-permutation cannot map two entities to one, so distinctness and coreference hold
-over the whole corpus without any table of entities; a shift inside the
-permutation keeps every entity from mapping to itself. The collision check per
-text compares the numbers of distinct entities and distinct replacements, and
-also looks for a replacement that equals another original of the text.
-
-Null text stays null with no entity; rows are independent, and a null id is
-passed through.
+check digits hold, given names stay within their script and gender, family names
+outside the given ones and with the endings that tell a gender, addresses of a
+reserved range within it and all others outside them all. A permutation cannot map
+two entities to one, so distinctness and coreference hold over the whole corpus
+without any table of entities; a shift inside the permutation keeps every entity
+from mapping to itself.
+
+The collision check of a text looks for a replacement that equals another original
+of the text or another replacement; such an entity is drawn again under the next
+tweak until it is free, so that no two entities of a text share a name afterwards.
+Words of a name that was found stand for the person in the rest of the text too: a
+lone family or given name is replaced as in the whole name.
+
+Null text stays null with no entity; rows are independent, repeated rows get equal
+texts, and a null id is passed through.
 """
 
 from __future__ import annotations
@@ -44,6 +50,10 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Madame Monsieur Mme Señor Señora Sr
 _KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 _KIND_OF = {c: k for k in _KINDS for c in k}
 _HEX = "0123456789abcdef"
+#: Endings of family names that tell a gender, longest first (fixed values).
+ENDINGS = ("ская", "цкая", "ский", "цкий", "ова", "ева", "ёва", "ина", "ына", "ов", "ев", "ёв", "ин", "ын", "ая", "ой", "ий", "ου", "ος", "ης", "ας")
+#: Reserved ranges of addresses: first address, bits that are fixed (fixed values).
+RANGES = ((0, 8), (10 << 24, 8), (127 << 24, 8), (169 << 24 | 254 << 16, 16), (172 << 24 | 16 << 16, 12), (192 << 24 | 168 << 16, 16), (224 << 24, 3))
 
 
 class Permutation:
@@ -109,22 +119,45 @@ def _given() -> dict[str, tuple[str, str, list[str], int]]:
     return {n: (script, gender, names, i) for (script, gender), line in GIVEN.items() for names in [line.split()] for i, n in enumerate(names)}
 
 
-def _given_name(name: str, key: bytes) -> str:
+def _given_name(name: str, key: bytes, draw: str) -> str:
     script, gender, names, i = _given()[name]
-    return names[Permutation(key, f"given|{script}|{gender}")(i, len(names))]
+    return names[Permutation(key, f"given|{script}|{gender}{draw}")(i, len(names))]
 
 
-def surrogate(kind: str, entity: str, key: bytes) -> str:
+def _family_name(name: str, key: bytes, draw: str) -> str:
+    """A name outside the lists of given ones; the walk goes on until it is."""
+    end = next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 1), "")
+    stem = name[: len(name) - len(end)]
+    while True:
+        stem = permute(stem, key, f"family|{end}{draw}")
+        if stem + end not in _given():
+            return stem + end
+
+
+def _range(x: int) -> tuple[int, int]:
+    """The reserved range of an address, or (0, 0)."""
+    return next(((first, bits) for first, bits in RANGES if x >> (32 - bits) == first >> (32 - bits)), (0, 0))
+
+
+def surrogate(kind: str, entity: str, key: bytes, redraw: int = 0) -> str:
     """The replacement of an entity; the same for the same entity everywhere."""
+    draw = f"|again {redraw}" if redraw else ""
     if kind == "ip":
         x = 0
         for part in entity.split("."):
             x = x << 8 | int(part)
-        x = Permutation(key, "ip")(x, 1 << 32)
+        first, bits = _range(x)
+        if bits:
+            x = first | Permutation(key, f"ip|{first}{draw}")(x - first, 1 << (32 - bits))
+        else:
+            walk = Permutation(key, "ip" + draw)
+            x = walk(x, 1 << 32)
+            while _range(x)[1]:
+                x = walk(x, 1 << 32)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         digits = "".join(c for c in entity if c.isdigit())
-        body = permute(digits[1:-1], key, f"card|{digits[0]}")
+        body = permute(digits[1:-1], key, f"card|{digits[0]}{draw}")
         off = (int(digits[-1]) - luhn(digits[:-1])) % 10  # a valid number stays valid
         new = iter(digits[0] + body + str((luhn(digits[0] + body) + off) % 10))
         return "".join(next(new) if c.isdigit() else c for c in entity)
@@ -137,19 +170,17 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
             if entity[i].isdigit():
                 kinds[i] = ("23456789" if entity[i] >= "2" else "01") if first else _KINDS[0]
                 first = False
-        return permute(entity, key, "phone", kinds)
+        return permute(entity, key, "phone" + draw, kinds)
     if kind == "secret":
         if all(c in _HEX for c in entity):
-            return permute(entity, key, "hex", [_HEX] * len(entity))
-        return permute(entity, key, "secret")
+            return permute(entity, key, "hex" + draw, [_HEX] * len(entity))
+        return permute(entity, key, "secret" + draw)
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         stem, _, top = domain.rpartition(".")
-        new = permute(f"{local}@{stem}", key, f"email|{top}")
+        new = permute(f"{local}@{stem}", key, f"email|{top}{draw}")
         return f"{new}.{top}"
-    first, _, rest = entity.partition(" ")
-    head = _given_name(first, key) if first in _given() else permute(first, key, "family")
-    return head + (" " + " ".join(_given_name(w, key) if w in _given() else permute(w, key, "family") for w in rest.split(" ")) if rest else "")
+    return " ".join(_given_name(w, key, draw) if w in _given() else _family_name(w, key, draw) for w in entity.split(" "))
 
 
 @lru_cache(maxsize=1)
@@ -180,8 +211,26 @@ def _hints():
     return regex.compile(rf"[@=:\d]|(?:{'|'.join(sorted({*_given(), *TITLES.split()}))})[ .]")
 
 
+def drawn(found: list[tuple[str, str]], key: bytes) -> tuple[dict[tuple[str, str], str], int]:
+    """Replacements of (type, entity) pairs in order, all different and none an original; and how many had to be drawn again."""
+    known: dict[tuple[str, str], str] = {}
+    originals, used, again = set(found), set(), 0
+    for kind, entity in found:
+        if (kind, entity) in known:
+            continue
+        redraw = 0
+        while (kind, new := surrogate(kind, entity, key, redraw)) in originals or (kind, new) in used:
+            redraw += 1
+            if redraw > 100:  # a format of so few strings that all are taken, as a code of one letter
+                break
+        again += redraw > 0
+        used.add((kind, new))
+        known[kind, entity] = new
+    return known, again
+
+
 def replace(text: str, key: bytes) -> tuple[str, dict[str, int], int, int]:
-    """New text, entities by type, distinct entities, and collisions that the check found.
+    """New text, entities by type, distinct entities, and collisions that the check found and mended.
 
     No entity spans a line break, so only lines with a hint of one are searched.
     """
@@ -189,35 +238,42 @@ def replace(text: str, key: bytes) -> tuple[str, dict[str, int], int, int]:
     hint = _hints()
     if not hint.search(text):
         return text, counts, 0, 0
-    known: dict[tuple[str, str], str] = {}
     lines, find = text.split("\n"), patterns().finditer
+    matches = {i: m for i, line in enumerate(lines) if hint.search(line) and (m := [(x.start(x.lastgroup), x.end(x.lastgroup), x.lastgroup, x[x.lastgroup]) for x in find(line)])}
+    if not matches:
+        return text, counts, 0, 0
+    found = [(kind, entity) for m in matches.values() for _, _, kind, entity in m]
+    known, again = drawn(found, key)
+    words = {w: n for (kind, entity), new in known.items() if kind == "name" for w, n in zip(entity.split(" "), new.split(" ")) if len(w) > 2}
+    lone = _alone(frozenset(words)) if words else None
+
+    def rest(part: str) -> str:
+        if lone is None:
+            return part
+        part, n = lone.subn(lambda m: words[m[0]], part)
+        counts["name"] = counts.get("name", 0) + n
+        return part
+
+    for kind, _ in found:
+        counts[kind] = counts.get(kind, 0) + 1
     for i, line in enumerate(lines):
-        if not hint.search(line):
-            continue
         out, at = [], 0
-        for m in find(line):
-            kind = m.lastgroup
-            found = m[kind]
-            new = known.get((kind, found))
-            if new is None:
-                new = known[kind, found] = surrogate(kind, found, key)
-            out += line[at : m.start(kind)], new
-            at = m.end(kind)
-            counts[kind] = counts.get(kind, 0) + 1
-        if at:
-            lines[i] = "".join(out) + line[at:]
-    fresh = {(k, v) for (k, _), v in known.items()}
-    clash = len(known) - len(fresh) + len(fresh & known.keys())
-    return "\n".join(lines) if counts else text, counts, len(known), clash
+        for start, end, kind, entity in matches.get(i, ()):
+            out += rest(line[at:start]), known[kind, entity]
+            at = end
+        lines[i] = "".join(out) + rest(line[at:])
+    return "\n".join(lines), counts, len(known), again
 
 
-def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """Per row: doc_id, the new text, entities by type, distinct entities and collisions.
+def _alone(words: frozenset[str]):
+    """Finds the words of names where they stand alone."""
+    import regex
 
-    A collision counted here is never of two entities with one replacement (the
-    permutations exclude it) but of a replacement that equals another original of
-    the same text; it is reported, and coreference still holds.
-    """
+    return regex.compile(r"(?<![\p{L}\p{N}_@.-])(?:" + "|".join(sorted(map(regex.escape, words), key=len, reverse=True)) + r")(?![\p{L}\p{N}_@-])")
+
+
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """Per row: doc_id, the new text, entities by type (lone words of names among them), distinct entities and mended collisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches):

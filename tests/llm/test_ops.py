@@ -242,6 +242,35 @@ def test_op5_names_after_punctuation(text):
     assert pii.replace(f"a: 1\n{text}\nnone", b"k")[0] == f"a: 1\n{new}\nnone"
 
 
+def test_op5_corpus():
+    """Over many entities: distinct stay distinct, equal stay equal, formats hold."""
+    r = np.random.default_rng(4)
+    given = [n for v in pii.GIVEN.values() for n in v.split()]
+    family = ["".join(r.choice(list("bcdfgaeiou"), 5)).capitalize() for _ in range(400)] + ["Иванова", "Иванов", "Петровская", "Ida", "Eva"]
+    people = {f"{r.choice(given)} {r.choice(family)}" for _ in range(3000)}
+    hosts = {".".join(map(str, r.integers(0, 256, 4))) for _ in range(3000)} | {f"10.0.{a}.{b}" for a in range(20) for b in range(20)} | {f"192.168.1.{b}" for b in range(256)}
+    for kind, all_ in (("name", people), ("ip", hosts), ("email", {f"u{i}@host{i % 7}.org" for i in range(2000)}), ("phone", {f"+1 ({a}) 555-{b:04d}" for a in (212, 310) for b in range(1000)})):
+        image = {x: pii.surrogate(kind, x, b"k") for x in all_}
+        assert len(set(image.values())) == len(all_) and all(a != b and len(a.split(" ")) == len(b.split(" ")) for a, b in image.items())
+    assert all(pii.surrogate("ip", f"10.1.2.{i}", b"k").startswith("10.") for i in range(50)) and pii.surrogate("ip", "192.168.0.9", b"k").startswith("192.168.")
+    assert not any(pii._range(int.from_bytes(bytes(map(int, pii.surrogate("ip", f"8.8.{i}.8", b"k").split("."))), "big"))[1] for i in range(256))
+    assert pii.surrogate("name", "Анна Иванова", b"k").endswith("ова") and pii.surrogate("name", "Иван Иванов", b"k").endswith("ов")
+    assert not any(w in given for n in family[:400] for w in [pii._family_name(n, b"k", "")])
+
+
+def test_op5_coreference_and_collisions():
+    new, counts, distinct, _ = pii.replace("Dr. Mary Jones came.\nLater Jones spoke; Mary left. Jonesy and x.Jones@a.org stay apart.", b"k")
+    given, family = re.search(r"Dr\. (\w+) (\w+)", new).groups()
+    assert f"Later {family} spoke; {given} left. Jonesy" in new and counts == {"name": 3, "email": 1} and distinct == 2
+    first = "ann@mail.com"
+    clash = pii.surrogate("email", first, b"k")  # the text has an entity's replacement as another original
+    known, again = pii.drawn([("email", first), ("email", clash)], b"k")
+    assert again == 1 and len(set(known.values())) == 2 and not set(known.values()) & {first, clash}
+    text = f"{first} {clash} {first}"
+    a, b, c = pii.replace(text, b"k")[0].split()
+    assert a == c != b and not {a, b} & {first, clash}
+
+
 def test_op7_tiktoken(docs, none, fixture_rows):
     import tiktoken
     import public_tokenizers
