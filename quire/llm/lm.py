@@ -46,6 +46,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
 HOT, HOT_KEYS = 4_000_000, 100_000
 #: Tokens for which keys are made at once.
 ASKED = 250_000
+#: Values of the most frequent runs that every task has at hand: 12 MB for any corpus.
+HEAD = 1 << 20
 #: Bytes of text of a chunk: larger ones repeat more of their words.
 CHUNK = 6 << 20
 #: Tokens a bucket on average.
@@ -146,11 +149,30 @@ class Sieve:
     def __call__(self, key: np.ndarray) -> np.ndarray:
         return (self.bits[(key >> np.uint64(6)) & np.uint64(len(self.bits) - 1)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def add(self, keys: DataFrame) -> None:
-        """Set the bits of a column h of keys: at most SIEVE words go to the driver."""
-        word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(self.bits) - 1)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-        found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        self.bits[found["w"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
+    def add(self, rows: DataFrame) -> None:
+        """Set the bits of the keys in a column of bytes that begin with them (m of each row): SIEVE words go to the driver."""
+        size = 64 * len(self.bits)
+        ranges = min(16, len(self.bits))
+        each = size // ranges
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    keys = np.concatenate([np.frombuffer(r, np.uint64, n) for r, n in zip(b.column("rows").to_pylist(), b.column("m").to_pylist())])
+                    place = (keys & np.uint64(size - 1)).astype(np.int64)
+                    kinds, parts = dealt(place // each, (place % each).astype(np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(parts, pa.binary())], names=["r", "rows"])
+
+        def mark(t: pa.Table) -> pa.Table:
+            bits = np.zeros(each, dtype=bool)
+            for r in t["rows"].to_pylist():
+                bits[np.frombuffer(r, np.uint32)] = True
+            return pa.table({"r": t["r"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        found = rows.select("m", "rows").mapInArrow(send, "r long, rows binary").groupBy("r").applyInArrow(mark, "r long, bits binary").toArrow()
+        words = each // 64
+        for r, bits in zip(found["r"].to_pylist(), found["bits"].to_pylist()):
+            self.bits[r * words : (r + 1) * words] |= np.frombuffer(bits, np.uint64)
 
 
 def runs(c: Chunk, passes: Sieve | None, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -257,31 +279,45 @@ class Hot(NamedTuple):
     lp: np.ndarray
 
 
-def hot_runs(before: DataFrame, total: int) -> Hot:
-    """At most HOT_KEYS: each has more than a HOT_KEYS-th part of all tokens."""
-    t = before.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).toArrow()
-    key = t["h"].to_numpy().view(np.uint64)
-    order = np.argsort(key & LOW)
-    return Hot(key[order], *(t[c].to_numpy()[order] for c in ("n", "p", "lp")))
+#: Tables by bucket: rows of (b, m, rows), m runs as columns of bytes.
+_ROWS = "b long, m long, rows binary"
+_FILED, _FOUND, _VALUE = ("u8", "i8", "f4", "f4"), ("u8", "u8", "i8", "f4", "f4"), ("u8", "f4", "f4")
+_PAIRS = "b long, hot boolean, rows binary"
+
+
+def table_of(key: np.ndarray, n: int, *cols: np.ndarray) -> dict[str, pa.Array]:
+    """Rows of (b, m, rows) with a key and its columns, by the bucket of the key."""
+    b = bucket(key, n)
+    kinds, rows = dealt(b, key, *cols)
+    return {"b": pa.array(kinds, pa.int64()), "m": pa.array(np.bincount(b, minlength=n)[kinds] if len(b) else np.zeros(0, np.int64)), "rows": pa.array(rows, pa.binary())}
 
 
-def _filed(before: DataFrame, n: int) -> DataFrame:
-    """Kept runs by the bucket of their own key."""
+def packed(rows: DataFrame, n: int, names: tuple[str, ...], types: tuple[str, ...]) -> DataFrame:
+    """A table by bucket of rows with a key h and other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                h, count, p, lp = (b.column(c).to_numpy().astype(t) for c, t in zip(("h", "n", "p", "lp"), ("i8", "i8", "f4", "f4")))
-                h = h.view(np.uint64)
-                kinds, rows = dealt(bucket(h, n), h, count, p, lp)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
+                key = b.column("h").to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_pydict(table_of(key, n, *(b.column(c).to_numpy().astype(t) for c, t in zip(names, types))))
 
-    return before.select("h", "n", "p", "lp").mapInArrow(run, _ROWS)
+    return rows.select("h", *names).mapInArrow(run, _ROWS)
 
 
-_ROWS = "b long, rows binary"
-_FILED, _FOUND = ("u8", "i8", "f4", "f4"), ("u8", "u8", "i8", "f4", "f4")
-_PAIRS = "b long, hot boolean, rows binary"
+def hot_runs(before: DataFrame, total: int) -> Hot:
+    """At most HOT_KEYS: each has more than a HOT_KEYS-th part of all tokens."""
+    least = max(HOT, -(-total // HOT_KEYS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n, p, lp = gathered(pa.chunked_array([b.column("rows")]), *_FILED)
+            some = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (h.view(np.int64), n, p, lp)], names=["h", "n", "p", "lp"])
+
+    t = before.select("rows").mapInArrow(run, "h long, n long, p float, lp float").toArrow()
+    key = t["h"].to_numpy().view(np.uint64)
+    order = np.argsort(key & LOW)
+    return Hot(key[order], *(t[c].to_numpy()[order] for c in ("n", "p", "lp")))
 
 
 def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k: int, n: int) -> DataFrame:
@@ -345,8 +381,8 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
         give_back()
         return pa.concat_tables(out)
 
-    sent = chunks.mapInArrow(send, _ROWS)
-    return sent.groupBy("b").cogroup(_filed(before, n).groupBy("b")).applyInArrow(count, _PAIRS)
+    sent = chunks.mapInArrow(send, "b long, rows binary")
+    return sent.groupBy("b").cogroup(before.groupBy("b")).applyInArrow(count, _PAIRS)
 
 
 def left_out(n, total, kinds, p):
@@ -355,11 +391,20 @@ def left_out(n, total, kinds, p):
     return n * log((n - 1 - DISCOUNT + DISCOUNT * kinds * p) / ((total - 1) * p))
 
 
-_LEVEL = "h long, n long, p float, lp float, v float"
+_LEVEL = f"{_ROWS}, kind int"
+
+
+def level_of(runs: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...], n: int) -> pa.Table:
+    """Kept runs (kind 0: key, count, p, lp) and values (kind 1: key, value, how often it is asked for), by bucket."""
+    parts = []
+    for kind, (key, *cols), types in ((0, runs, _FILED), (1, values, _VALUE)):
+        cells = table_of(key.astype(np.uint64), n, *(c.astype(t) for c, t in zip(cols, types[1:])))
+        parts.append(pa.table({**cells, "kind": pa.array(np.full(len(cells["b"]), kind), pa.int32())}))
+    return pa.concat_tables(parts)
 
 
 def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
-    """Kept runs (h, n, p, lp, v) and, without n, retained contexts (h, v) under their keys as contexts; v: what a token gets by it, null if its context isn't retained."""
+    """Kept runs and the values of runs in retained contexts and of these contexts, under their keys as contexts."""
 
     def solve(sent: pa.Table, filed: pa.Table) -> pa.Table:
         context, parent, c, p, lp = gathered(sent["rows"], *_FOUND)
@@ -380,18 +425,16 @@ def test_contexts(pairs: DataFrame, before: DataFrame, n: int) -> DataFrame:
         ok = gain >= MIN_GAIN
         new = np.where(ok[group], np.log((c - DISCOUNT) / total[group] + back[group] * np.exp(lp)), lp)
         v = np.where(ok[group], new - lp - np.log(back[group]), np.nan)
-        some = np.flatnonzero(ok)
-        single = lambda x: pa.array(x.astype(np.float32), mask=np.isnan(x))
-        runs = {"h": joined(state[group], parent).view(np.int64), "n": c.astype(np.int64), "p": single(c / total[group]), "lp": single(new), "v": single(v)}
-        none = lambda t: pa.nulls(len(some), t)
-        own = {"h": as_context(state[some]).view(np.int64), "n": none(pa.int64()), "p": none(pa.float32()), "lp": none(pa.float32()), "v": single(np.log(back[some]))}
+        some, in_some = np.flatnonzero(ok), ok[group]
+        h = joined(state[group], parent)
+        values = (np.concatenate((h[in_some], as_context(state[some]))), np.concatenate((v[in_some], np.log(back[some]))), np.concatenate((c[in_some], total[some])))
         give_back()
-        return pa.concat_tables([pa.table(runs), pa.table(own)])
+        return level_of((h, c, c / total[group], new), values, n)
 
-    return pairs.groupBy("b").cogroup(_filed(before, n).groupBy("b")).applyInArrow(solve, _LEVEL)
+    return pairs.groupBy("b").cogroup(before.groupBy("b")).applyInArrow(solve, _LEVEL)
 
 
-def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
+def test_hot(pairs: DataFrame, hot: Hot, n: int) -> DataFrame:
     """The same for the runs in hot contexts, by aggregation."""
     spark = pairs.sparkSession
 
@@ -410,19 +453,21 @@ def test_hot(pairs: DataFrame, hot: Hot) -> DataFrame:
     single = F.when(F.col("ones") > 0, F.col("ones") * F.log(DISCOUNT * F.col("kinds") / (F.col("total") - 1))).otherwise(0.0)
     gain = F.sum(left_out(F.col("n"), F.col("total"), F.col("kinds"), F.col("p")))
     back = (F.col("ones") + DISCOUNT * F.col("kept")) / F.col("total")
-    kept = rows.groupBy("ctx", "state", "total", "ones", "kinds", "kept").agg(gain.alias("gain")).where(F.col("gain") + single >= MIN_GAIN).select("ctx", "state", back.alias("back"))
+    kept = rows.groupBy("ctx", "state", "total", "ones", "kinds", "kept").agg(gain.alias("gain")).where(F.col("gain") + single >= MIN_GAIN).select("ctx", "state", "total", back.alias("back"))
     new = F.when(F.col("back").isNotNull(), F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lp"))).otherwise(F.col("lp"))
     out = rows.join(F.broadcast(kept.select("ctx", "back")), "ctx", "left")
-    out = out.select("h", "n", (F.col("n") / F.col("total")).cast("float").alias("p"), new.cast("float").alias("lp"), (new - F.col("lp") - F.log("back")).cast("float").alias("v"))
-    none = F.lit(None)
-    return out.unionAll(kept.select("state", none.cast("long"), none.cast("float"), none.cast("float"), F.log("back").cast("float")))
+    out = out.select("h", "n", (F.col("n") / F.col("total")).alias("p"), new.alias("lp"), (new - F.col("lp") - F.log("back")).alias("v"))
+    values = out.where("v is not null").select("h", "v", F.col("n").alias("w")).unionAll(kept.select("state", F.log("back"), "total"))
+    level = packed(out, n, ("n", "p", "lp"), _FILED[1:]).withColumn("kind", F.lit(0))
+    return level.unionAll(packed(values, n, ("v", "w"), _VALUE[1:]).withColumn("kind", F.lit(1)))
 
 
 def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], Sieve, int]:
-    """Tables of the values (h, v) of runs and of retained contexts, one for each length; the sieve of kept runs; the depth of the tree."""
+    """Tables of the values of runs and of retained contexts, one for each length; the sieve of kept runs; the depth of the tree."""
     p = (F.col("n") + 0.5) / scale
-    before = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
-    passes, values, depth, used = Sieve(np.zeros(SIEVE, np.uint64)), [], 0, []
+    kept = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
+    before = cut(packed(kept, n, ("n", "p", "lp"), _FILED[1:]), "pst-words")
+    passes, values, depth, used = Sieve(np.zeros(SIEVE, np.uint64)), [], 0, [before]
     passes.add(before)
     for k in range(2, MAX_DEPTH + 2):
         hot = hot_runs(before, total)
@@ -431,11 +476,11 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
             pairs = cut(pairs, f"pst-{k}")
         found = test_contexts(pairs.where("not hot").select("b", "rows"), before, n)
         if len(hot.key):
-            found = found.unionAll(test_hot(pairs.where("hot"), hot))
+            found = found.unionAll(test_hot(pairs.where("hot"), hot, n))
         level = cut(found, "pst-level")
         drop(*used, *([pairs] if len(hot.key) else []))
-        used, before = [level], level.where("n is not null").select("h", "n", "p", "lp")
-        values.append(cut(level.where("v is not null").select("h", "v"), "pst-values"))
+        used, before = [level], level.where("kind = 0").select("b", "m", "rows")
+        values.append(cut(level.where("kind = 1").select("b", "m", "rows"), "pst-values"))
         if not values[-1].isEmpty():
             depth = k - 1
         if before.isEmpty():
@@ -445,6 +490,36 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
     return values, passes, depth
 
 
+def head(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the most frequent runs and contexts, HEAD at most, in order of the keys."""
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = gathered(pa.chunked_array([b.column("rows")]), *_VALUE)[2]
+            kinds, n = np.unique(np.floor(8 * np.log2(np.maximum(w, 1))).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["bin", "n"])
+
+    found = values.select("rows").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # a few hundred bins
+    least, room = None, HEAD
+    for r in found:
+        if r.n > room:
+            break
+        least, room = r.bin, room - r.n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, v, w = gathered(pa.chunked_array([b.column("rows")]), *_VALUE)
+            some = np.floor(8 * np.log2(np.maximum(w, 1))).astype(np.int64) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(v[some])], names=["h", "v"])
+
+    t = values.select("rows").mapInArrow(pick, "h long, v float").toArrow()
+    key = t["h"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], t["v"].to_numpy()[order]
+
+
 def pieces(c: Chunk, most: int) -> Iterator[tuple[int, Chunk]]:
     """A chunk by texts of about ``most`` tokens together, with the number of the first text of each."""
     ends = np.cumsum(c.counts)
@@ -493,26 +568,38 @@ def needed(c: Chunk, words: np.ndarray, states: np.ndarray, passes: Sieve, known
     return np.concatenate(need), np.concatenate(places)
 
 
-def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, depth: int, n: int) -> DataFrame:
-    """Requests (b, cid, first, counts, keys) of every chunk: keys of each text from ``first`` on, one after another."""
-    share = chunks.sparkSession.sparkContext.broadcast((passes, bits))
+def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, often: tuple[np.ndarray, np.ndarray], depth: int, n: int) -> DataFrame:
+    """Requests (b, cid, first, counts, keys) of every chunk: keys of each text from ``first`` on, one after another.
+
+    What is at hand is summed at once: such a row has no keys, a bucket of ``n`` or
+    more, and in place of counts the sums.
+    """
+    share = chunks.sparkSession.sparkContext.broadcast((passes, bits, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes, known = (Sieve(x) for x in share.value)
+        passes, known = (Sieve(x) for x in share.value[:2])
+        top, top_v = share.value[2]
         for cid, whole in (x for b in batches for x in _each(b)):
             words, states = passes(whole.hashes), known(as_context(whole.hashes))
             for first, c in pieces(whole, ASKED):
                 need, places = needed(c, words, states, passes, known, depth)
                 m = len(c.counts)
-                owner, b = c.doc()[places], bucket(need, n)
+                owner = c.doc()[places]
+                at, there = find(top, need)
+                sums = np.bincount(owner[there], weights=top_v[at[there]] if len(top) else None, minlength=m).astype(np.float64)
+                need, owner = need[~there], owner[~there]
+                b = bucket(need, n)
                 order = np.argsort(b * m + owner)
                 need, owner, b = need[order], owner[order], b[order]
                 start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
                 ends = np.append(start[1:], len(b))
                 counts = [np.bincount(owner[i:j], minlength=m).astype(np.uint32).tobytes() for i, j in zip(start, ends)]
                 rows = [short(need[i:j]) for i, j in zip(start, ends)]
-                same = lambda x: pa.array(np.full(len(start), x, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(b[start]), same(cid), same(first), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "first", "counts", "keys"])
+                b = np.append(b[start], n + cid % n)
+                counts.append(sums.tobytes())
+                rows.append(b"")
+                same = lambda x: pa.array(np.full(len(b), x, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(b), same(cid), same(first), pa.array(counts, pa.binary()), pa.array(rows, pa.binary())], names=["b", "cid", "first", "counts", "keys"])
         give_back()
 
     return chunks.mapInArrow(run, "b long, cid long, first long, counts binary, keys binary")
@@ -520,11 +607,14 @@ def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, depth: int, n:
 
 def add_up(sent: pa.Table, filed: pa.Table) -> pa.Table:
     """Sums by text of the values of the keys of a bucket; a key without a value adds nothing."""
-    h, v = gathered(filed["rows"], "u8", "f8")
+    h, v, _ = gathered(filed["rows"], *_VALUE)
     order = np.argsort(h & LOW)
-    h, v = (h & LOW)[order], v[order]
+    h, v = (h & LOW)[order], v[order].astype(np.float64)
     out = []
     for counts, keys in zip(sent["counts"].to_pylist(), sent["keys"].to_pylist()):
+        if not keys:  # sums already
+            out.append(counts)
+            continue
         counts = np.frombuffer(counts, np.uint32)
         at, there = find(h, widened(keys))
         own = np.repeat(np.arange(len(counts)), counts)
@@ -556,7 +646,8 @@ def ask_words(chunks: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
 
 def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
     """Values of the keys of a bucket, in the order of each request; NaN if there is none."""
-    h, v = gathered(filed["rows"], "u8", "f8")
+    parts = [gathered(filed.filter(pc.equal(filed["single"], flag))["rows"], *kinds)[:2] for flag, kinds in ((True, _VALUE), (False, ("u8", "f8")))]
+    h, v = np.concatenate([x[0] for x in parts]), np.concatenate([x[1].astype(np.float64) for x in parts])
     order = np.argsort(h)
     h, v = h[order], v[order]
     out = []
@@ -567,19 +658,6 @@ def answer(sent: pa.Table, filed: pa.Table) -> pa.Table:
     return pa.table({"cid": sent["cid"], "b": sent["b"], "first": pa.nulls(len(out), pa.int64()), "v": pa.array(out, pa.binary())})
 
 
-def _values(values: DataFrame, n: int) -> DataFrame:
-    """Rows (h, v) by the bucket of h."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h = b.column("h").to_numpy().view(np.uint64)
-                kinds, rows = dealt(bucket(h, n), h, b.column("v").to_numpy().astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rows, pa.binary())], names=["b", "rows"])
-
-    return values.mapInArrow(run, _ROWS)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -591,19 +669,19 @@ def score(docs: DataFrame) -> DataFrame:
     scale = total + 0.5 * (distinct + 1)
     n = max(2 * partitions(spark), -(-total // BUCKET))
     levels, passes, depth = tree(chunks, words, total, scale, n)
-    values = None
-    for t in levels:
-        values = t if values is None else values.unionAll(t)
+    values = levels[0]
+    for t in levels[1:]:
+        values = values.unionAll(t)
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
     schema = "cid long, b long, first long, v binary"
-    by_word = values.withColumn("v", F.col("v").cast("double")).unionAll(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")))
-    drop()
-    parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(_values(by_word, n).groupBy("b")).applyInArrow(answer, schema), "words-asked")]
+    log_p = packed(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")), n, ("v",), ("f8",))
+    by_word = log_p.withColumn("single", F.lit(False)).unionAll(levels[0].withColumn("single", F.lit(True)))
+    parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(by_word.groupBy("b")).applyInArrow(answer, schema), "words-asked")]
     drop()
     if depth:
-        sent = ask(chunks, passes.bits, known.bits, depth, n)
-        parts.append(cut(sent.groupBy("b").cogroup(_values(values, n).groupBy("b")).applyInArrow(add_up, schema), "sums"))
+        sent = ask(chunks, passes.bits, known.bits, head(values), depth, n)
+        parts.append(cut(sent.groupBy("b").cogroup(values.groupBy("b")).applyInArrow(add_up, schema), "sums"))
     drop(words, *levels)
     share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
 
