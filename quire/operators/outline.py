@@ -387,3 +387,63 @@ def row_band(box: Column, first: Column, last: Column, rows: Column) -> Column:
     high = F.when(some, (last - first + 1) / rows * box["height"]).otherwise(box["height"])
     return F.struct(box["left"].alias("left"), top.alias("top"), box["width"].alias("width"), high.alias("height"))
 
+
+
+# Items of a layout model, in reading order
+
+#: Labels of items that are content, with their element types, and those that are left out (fixed values).
+ITEMS = {"table": "table", "picture": "figure", "formula": "formula", "text": "text", "code": "text", "list_item": "list"}
+LEFT_OUT = ["page_header", "page_footer", "footnote"]
+
+
+def from_items(items: DataFrame, tables: DataFrame | None = None, repeating: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (doc_id, ord, label, level, text, page) to (documents, sections, elements).
+
+    A title is a chapter; a header belongs to the nearest earlier one that is
+    shallower. A caption goes to the picture or formula right before it, and is no
+    element. ``tables`` (doc_id, ord, text, warning) has the rendered tables, and
+    ``repeating`` (doc_id, ord) pictures of page furniture, which give nothing.
+    """
+    w = in_order("doc_id")
+    flat = items.withColumn("t", strip(F.regexp_replace(F.coalesce("text", F.lit("")), " {2,}", " ")))
+    headers = flat.where((F.col("label") == "page_header") & (F.col("t") != "")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    running = headers.groupBy("doc_id").agg(F.max_by("t", F.struct("n", -F.col("first"))).alias("running_header"), F.max("n").alias("n")).where("n >= 2").drop("n")
+    flat = flat.where(~F.col("label").isin(LEFT_OUT))
+    # Only a caption that follows at once is the picture's.
+    flat = flat.withColumn("caption", F.when(F.col("label").isin("picture", "formula") & (F.lead("label").over(w) == "caption"), F.lead("t").over(w))).where(F.col("label") != "caption")
+    if repeating is not None:
+        flat = flat.join(repeating.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti")
+    head = F.col("label").isin("title", "section_header")
+    shown = head | F.col("label").isin("table", "picture", "formula") | (F.col("label").isin("text", "list_item", "code") & (F.col("t") != ""))
+    flat = flat.where(shown).withColumn("first", F.row_number().over(w) == 1)
+    flat = flat.withColumn("is_section", head | F.col("first"))
+    flat = flat.withColumn("section_id", (F.sum(F.col("is_section").cast("int")).over(so_far("doc_id")) - 1).cast("int"))
+    flat = settle(flat.withColumn("depth", F.when(F.col("label") == "title", 0).when(head, F.greatest(F.lit(1), F.col("level"))).otherwise(0)), "items")
+    heads = nest(flat.where("is_section").select("doc_id", F.col("section_id").alias("ord"), F.col("depth").alias("level"), F.when(head, F.col("t")).otherwise("(Untitled)").alias("title"), F.coalesce("page", F.lit(1)).alias("page_start")))
+    ends = flat.groupBy("doc_id", "section_id").agg(F.max("page").alias("page_end"))
+    sections = heads.select("doc_id", F.col("ord").alias("section_id"), F.col("parent").alias("parent_id"), "level", "title", "page_start")
+    sections = settle(sections.join(ends, ["doc_id", "section_id"]), "sections")
+    top = closure(sections.withColumn("root_id", F.lit(None).cast("int"))).groupBy("doc_id", "section_id").agg(F.min("above").alias("root_id"))
+    sections = sections.join(top, ["doc_id", "section_id"]).select("doc_id", "section_id", "parent_id", "root_id", "level", "title", "page_start", F.coalesce("page_end", "page_start").alias("page_end"))
+    kind = F.create_map(*(F.lit(x) for pair in ITEMS.items() for x in pair))[F.col("label")]
+    body = flat.where(~head)
+    if tables is not None:
+        body = body.join(tables.select("doc_id", "ord", F.col("text").alias("rendered"), F.col("warning").alias("table_structure_warning")), ["doc_id", "ord"], "left")
+    else:
+        body = body.withColumns({"rendered": F.lit(None).cast("string"), "table_structure_warning": F.lit(None).cast("string")})
+    shown_text = F.when(F.col("label") == "picture", "[Figure]").when(F.col("label") == "formula", F.when(F.col("t") != "", F.col("t")).otherwise("[Formula]")).when(F.col("label") == "table", strip(F.concat_ws("\n", F.when(F.col("t") != "", F.col("t")), "rendered"))).otherwise(F.col("t"))
+    elements = body.select("doc_id", "section_id", "ord", kind.alias("element_type"), shown_text.alias("text"), F.coalesce("page", F.lit(1)).alias("page"), F.concat(F.lit("item_"), F.col("ord").cast("string")).alias("block_id"), F.when(F.col("caption") != "", F.col("caption")).alias("caption"), F.lit(None).cast("int").alias("width_px"), F.lit(None).cast("int").alias("height_px"), "table_structure_warning")
+    pages = items.groupBy("doc_id").agg(F.coalesce(F.max("page"), F.lit(1)).alias("total_pages"))
+    first = flat.where((F.col("label") == "title") & (F.col("t") != "")).groupBy("doc_id").agg(F.min_by("t", "ord").alias("title"))
+    documents = pages.join(first, "doc_id", "left").join(running, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), "total_pages", F.coalesce("running_header", F.lit("")).alias("running_header"))
+    return documents, settle(sections, "sections"), settle(elements, "elements")
+
+
+def item_regions(items: DataFrame) -> DataFrame:
+    """Pictures and formulas of items with a box (left, top, width, height): numbered by kind, with captions."""
+    w = in_order("doc_id")
+    own = items.withColumn("caption", F.when(F.lead("label").over(w) == "caption", strip(F.coalesce(F.lead("text").over(w), F.lit("")))).otherwise(""))
+    own = own.where(F.col("label").isin("picture", "formula"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("ord"))
+    name = F.concat(F.when(F.col("label") == "picture", "figure_").otherwise("formula_"), number.cast("string"))
+    return own.select("doc_id", "ord", name.alias("block_id"), F.col("label").alias("kind"), "page", "left", "top", "width", "height", "caption")

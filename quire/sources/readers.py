@@ -81,7 +81,7 @@ def migrate(old: DataFrame, schema: str) -> DataFrame:
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped, a broken line is an error that names its number in its file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     row = F.from_json("line", f"{GOLDEN}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bad = F.raise_error(F.concat(F.lit("line "), (F.col("n") + 1).cast("string"), F.lit(" is not a golden item"))).cast("string")
     rows = lines.select("n", row.alias("r")).select("n", F.when(F.col("r._bad").isNotNull() | F.col("r.question").isNull(), bad).otherwise(F.col("r.question")).alias("question"), *(f"r.{c.split()[0]}" for c in GOLDEN.split(", ")[1:]))

@@ -25,4 +25,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, was)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.quire_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` has written, once nothing reads them any more; shuffles that nothing refers to go too."""
+    import gc
+
+    spark = SparkSession.active()
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.quire_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
