@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.scratch import drop, settle as cut, shared_dir  # noqa: F401
+
 #: The separators of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a vectorised step works on at once; bounds Python memory.
@@ -68,46 +69,6 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a single machine) a folder below the
-    warehouse is used instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-scratch").rstrip("/")
-
-
-#: Shuffle files go as soon as the query that made them has ended.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at a replicated table, and its shuffles' files go."""
-    spark = df.sparkSession
-    path, was = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, was)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.quire_path = path
-    return made
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` has written, once nothing reads them any more; shuffles that nothing refers to go too."""
-    import gc
-
-    spark = SparkSession.active()
-    for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.quire_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def rows(spark: SparkSession, values: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of literals."""
+    """A small table of literals; without any, an empty table of strings."""
+    if not values:
+        return spark.range(0).select(*(F.lit("").alias(n) for n in names))
     made = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names))) for v in values))
     return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
 

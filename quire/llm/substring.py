@@ -43,6 +43,8 @@ from .common import cut, id_text, text_chunks
 WINDOW, GRAM = 100, 32
 #: Different segments under one hash that one task sorts; beyond, windows are dealt by their own hashes.
 GROUP_SEGMENTS = 2000
+#: Hot hashes that may be broadcast: each has GROUP_SEGMENTS segments, so only corpora of 2e9 segments have more.
+BROADCAST_HASHES = 1_000_000
 #: Segments whose suffixes are sorted at once.
 SORT_SEGMENTS = 20_000
 _REACH = WINDOW - GRAM  # an anchor is at most so far behind its window's start
@@ -381,6 +383,9 @@ def removals(docs: DataFrame) -> DataFrame:
     often = open_.groupBy("h").agg(F.count("doc").alias("m")).where(F.col("m") > GROUP_SEGMENTS).select("h", F.lit(True).alias("hot"))
     some = open_.groupBy("doc").agg(F.collect_list(F.struct("h", "a", "z")).alias("some"))
     fetched = cut(own.join(some, own.doc_id == some.doc).select("doc_id", "text", "some").mapInArrow(_fetch, "h long, doc long, a long, bytes binary").distinct(), "segments")
+    often = cut(often, "often")
+    if often.count() <= BROADCAST_HASHES:  # else a shuffle join splits them
+        often = F.broadcast(often)
     hot = fetched.join(often, "h", "left_semi")
     calm = fetched.join(often, "h", "left_anti")
     by_factor = calm.repartition("h").sortWithinPartitions("h").mapInArrow(_factor, "doc long, a long, z long")
