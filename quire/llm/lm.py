@@ -57,7 +57,7 @@ MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
 HOT, HOT_KEYS = 4_000_000, 100_000
 #: Tokens for which keys are made at once.
 ASKED = 250_000
-#: Values of the most frequent runs that every task has at hand: 12 MB for any corpus.
+#: Values of the most frequent runs that every task has at hand, a power of two: 24 MB for any corpus.
 HEAD = 1 << 20
 #: Bytes of text of a chunk: larger ones repeat more of their words.
 CHUNK = 6 << 20
@@ -79,9 +79,10 @@ def held_out(ids: list[int | None]) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def joined(context: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -241,14 +242,20 @@ def widened(raw: bytes | memoryview) -> np.ndarray:
 
 
 def bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return (mix(key & LOW) % np.uint64(n)).astype(np.int64)
+    x = mix((key & LOW) * np.uint64(0x9E3779B97F4A7C15))
+    x >>= np.uint64(32)
+    x *= np.uint64(n)
+    x >>= np.uint64(32)
+    return x.view(np.int64)
 
 
 def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of keys in an ascending column, and which are there."""
+    if not len(ordered):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), dtype=bool)
     at = np.searchsorted(ordered, keys)
     at[at == len(ordered)] = 0
-    return at, ordered[at] == keys if len(ordered) else np.zeros(len(keys), dtype=bool)
+    return at, ordered[at] == keys
 
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,15 +334,18 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = share.value
         for c in (c for b in batches for _, c in _each(b)):
-            train = np.repeat(c.train, c.counts)
-            for at, key, context, parent in runs(c, Sieve(bits), k - 1):  # noqa: B007
-                pass
-            some = train[at]
-            key, context, parent = key[some], context[some], parent[some]
+            found = []
+            for _, part in pieces(c, ASKED):
+                train = np.repeat(part.train, part.counts)
+                for at, *own in runs(part, Sieve(bits), k - 1):  # noqa: B007
+                    pass
+                some = train[at]
+                found.append([x[some] for x in own])
+            key, context, parent = (np.concatenate([np.empty(0, np.uint64), *x]) for x in zip(*found))
             order, first, _ = groups(key)
             times = np.diff(np.append(first, len(key)))
             context, parent = context[order[first]], parent[order[first]]
-            spread = parent ^ np.where(find(hot.key & LOW, parent & LOW)[1], mix(context), np.uint64(0))
+            spread = parent ^ np.where(find(hot.key & LOW, parent & LOW)[1], mix(context), np.uint64(0)) if len(hot.key) else parent
             b = bucket(spread, n)
             order = np.argsort(parent)
             order = order[by_bucket(b[order])]
@@ -490,8 +500,20 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
     return values, passes, depth
 
 
-def head(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of the most frequent runs and contexts, HEAD at most, in order of the keys."""
+class Head(NamedTuple):
+    """A table of the most frequent values by the low bits of their keys; of two keys in one place the more frequent is here."""
+
+    key: np.ndarray
+    v: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = keys & np.uint64(len(self.key) - 1)
+        there = self.key[at] == keys
+        return there, self.v[at[there]]
+
+
+def head(values: DataFrame) -> Head:
+    """The most frequent runs and contexts, HEAD at most."""
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -505,19 +527,22 @@ def head(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if r.n > room:
             break
         least, room = r.bin, room - r.n
+    out = Head(np.zeros(2 * HEAD, np.uint64), np.zeros(2 * HEAD, np.float32))  # no key is 0 but by chance, and then its value is looked up as 0 here
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        return out
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, v, w = gathered(pa.chunked_array([b.column("rows")]), *_VALUE)
             some = np.floor(8 * np.log2(np.maximum(w, 1))).astype(np.int64) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(v[some])], names=["h", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(v[some]), pa.array(w[some])], names=["h", "v", "w"])
 
-    t = values.select("rows").mapInArrow(pick, "h long, v float").toArrow()
-    key = t["h"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    return key[order], t["v"].to_numpy()[order]
+    t = values.select("rows").mapInArrow(pick, "h long, v float, w float").toArrow()
+    order = np.argsort(t["w"].to_numpy(), kind="stable")  # the most frequent is written last
+    key = t["h"].to_numpy()[order].view(np.uint64)
+    at = key & np.uint64(2 * HEAD - 1)
+    out.key[at], out.v[at] = key, t["v"].to_numpy()[order]
+    return out
 
 
 def pieces(c: Chunk, most: int) -> Iterator[tuple[int, Chunk]]:
@@ -568,7 +593,7 @@ def needed(c: Chunk, words: np.ndarray, states: np.ndarray, passes: Sieve, known
     return np.concatenate(need), np.concatenate(places)
 
 
-def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, often: tuple[np.ndarray, np.ndarray], depth: int, n: int) -> DataFrame:
+def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, often: Head, depth: int, n: int) -> DataFrame:
     """Requests (b, cid, first, counts, keys) of every chunk: keys of each text from ``first`` on, one after another.
 
     What is at hand is summed at once: such a row has no keys, a bucket of ``n`` or
@@ -578,15 +603,15 @@ def ask(chunks: DataFrame, passes: np.ndarray, bits: np.ndarray, often: tuple[np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, known = (Sieve(x) for x in share.value[:2])
-        top, top_v = share.value[2]
+        often = share.value[2]
         for cid, whole in (x for b in batches for x in _each(b)):
             words, states = passes(whole.hashes), known(as_context(whole.hashes))
             for first, c in pieces(whole, ASKED):
                 need, places = needed(c, words, states, passes, known, depth)
                 m = len(c.counts)
                 owner = c.doc()[places]
-                at, there = find(top, need)
-                sums = np.bincount(owner[there], weights=top_v[at[there]] if len(top) else None, minlength=m).astype(np.float64)
+                there, own = often.find(need)
+                sums = np.bincount(owner[there], weights=own, minlength=m).astype(np.float64)
                 need, owner = need[~there], owner[~there]
                 b = bucket(need, n)
                 order = np.argsort(b * m + owner)
@@ -667,7 +692,7 @@ def score(docs: DataFrame) -> DataFrame:
     mark = int(np.array(word_hash(BEGIN_WORD), np.uint64).view(np.int64))
     total, distinct = (int(x or 0) for x in words.where(F.col("h") != mark).agg(F.sum("n"), F.count("n")).first())
     scale = total + 0.5 * (distinct + 1)
-    n = max(2 * partitions(spark), -(-total // BUCKET))
+    n = max(min(partitions(spark), 64), -(-total // BUCKET))
     levels, passes, depth = tree(chunks, words, total, scale, n)
     values = levels[0]
     for t in levels[1:]:
@@ -677,12 +702,13 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "cid long, b long, first long, v binary"
     log_p = packed(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")), n, ("v",), ("f8",))
     by_word = log_p.withColumn("single", F.lit(False)).unionAll(levels[0].withColumn("single", F.lit(True)))
-    parts = [cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(by_word.groupBy("b")).applyInArrow(answer, schema), "words-asked")]
-    drop()
+    parts = []
     if depth:
         sent = ask(chunks, passes.bits, known.bits, head(values), depth, n)
         parts.append(cut(sent.groupBy("b").cogroup(values.groupBy("b")).applyInArrow(add_up, schema), "sums"))
-    drop(words, *levels)
+        drop(*levels[1:])
+    parts.append(cut(ask_words(chunks, known.bits, n).groupBy("b").cogroup(by_word.groupBy("b")).applyInArrow(answer, schema), "words-asked"))
+    drop(words, *(levels[:1] if depth else levels))
     share, unknown = spark.sparkContext.broadcast(known.bits), float(np.log(0.5 / scale))
 
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:

@@ -177,7 +177,7 @@ def test_op3_hot_runs_and_full_sieve(docs, fixture_rows, monkeypatch):
     monkeypatch.setattr(lm, "SIEVE", 1)
     monkeypatch.setattr(lm, "BUCKET", 500)
     monkeypatch.setattr(lm, "HOT", 20)
-    monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "HEAD", 32)
     got = lm.score(docs).collect()
     alike(got, want)
 
