@@ -107,7 +107,10 @@ def verify_links(chunks: DataFrame, links: list[str], key: str = "id") -> DataFr
 
 
 def context_string() -> Column:
-    """Breadcrumb of doc_title, chapter_title, section_title, layout_type and page_numbers; repeats and blanks are left out."""
+    """Breadcrumb of doc_title, chapter_title, section_title, layout_type and page_numbers; repeats and blanks are left out.
+
+    Its wordings are fixed values: stored contexts and their vectors depend on them.
+    """
     doc, chapter, section, layout, pages = (F.col(c) for c in ("doc_title", "chapter_title", "section_title", "layout_type", "page_numbers"))
     some = lambda c: F.coalesce(c, F.lit("")) != ""
     hint = F.when(layout == "table", "Content type: Table").when(layout == "figure", "Content type: Figure/Diagram").when(layout == "key_value", "Content type: Specification/Key-Value").when(layout == "list", "Content type: List")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text, vectors
 
-#: Query vectors are compared in blocks of so many with all stored vectors.
-QUERY_BLOCK = 10_000
+#: Query vectors are compared with all stored vectors in blocks of so many, and of so many bytes, which are broadcast.
+QUERY_BLOCK, QUERY_BYTES = 10_000, 64 << 20
 
 
 def chunk_filter(doc_ids=None, project_id=None, group_name=None, level=None, layout_types=None, min_page=None, max_page=None) -> Column:
@@ -50,8 +50,9 @@ def vector_search(store: DataFrame, queries: DataFrame, k: int = 10, metric: str
     """
     distance = {"l2": vectors.l2, "cosine": vectors.cosine_distance}[metric]
     base = store if where is None or post_filter else store.where(where)
-    n = queries.count()
-    parts = [queries] if n <= QUERY_BLOCK else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // QUERY_BLOCK))) == i) for i in range(-(-n // QUERY_BLOCK))]
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n // min(QUERY_BLOCK, max(1, QUERY_BYTES // (4 * max(1, width or 1))))))
+    parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)]
     found = None
     for q in parts:
         pairs = base.withColumnRenamed("embedding", "v").join(F.broadcast(q.select("qid", "embedding"))).withColumn("distance", distance(F.col("v"), F.col("embedding"))).drop("v", "embedding")

