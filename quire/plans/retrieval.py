@@ -119,10 +119,10 @@ def eval_by_category(spark, sf_dir):
 
 
 def golden(spark, sf_dir):
-    """(vectors, chunks, questions): document i has vector i, level i % 3 and ten documents a page; question i asks for document i."""
+    """(vectors, chunks, questions): document i has vector i, if there is one, level i % 3 and ten documents a page; question i asks for document i."""
     v = store(spark, sf_dir).drop("label")
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("doc_id"), F.pmod("doc_id", F.lit(3)).cast("int").alias("level"), F.array(F.floor(F.col("doc_id") / 10).cast("int")).alias("page_numbers"))
-    chunks = d.join(v.select("id"), "id", "left_semi").withColumns({"parent_id": F.when(F.col("level") > 0, F.col("id") - 1), "prev_id": F.when(F.col("id") >= 3, F.col("id") - 3), "next_id": F.col("id") + 3})
+    chunks = d.withColumns({"parent_id": F.when(F.col("level") > 0, F.col("id") - 1), "prev_id": F.when(F.col("id") >= 3, F.col("id") - 3), "next_id": F.col("id") + 3})
     item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
     q = item.join(v, "id").join(chunks.select("id", "doc_id", "page_numbers", "level"), "id")
     q = q.select(F.col("id").alias("qid"), "query", "embedding", F.col("level").cast("string").alias("category"), "doc_id", F.array("id").alias("gold_chunk_ids"), F.col("page_numbers").alias("gold_pages"))
@@ -237,8 +237,8 @@ _JUDGED = f"""{_V}, a AS ({_vector_sql(20, queries='id % 20 = 0')}),
 _MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("rr", "ndcg", "hit_1", "hit_3", "hit_5", "hit_10"))
 
 _GOLDEN = f"""{_V}, {_KW},
-  ch AS (SELECT doc_id AS id, source AS doc, doc_id % 3 AS level, doc_id // 10 AS page FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT id FROM v)),
-  gq AS (SELECT item_id AS qid, level, doc, page FROM benchmark JOIN ch ON ch.id = item_id),
+  ch AS (SELECT doc_id AS id, source AS doc, doc_id % 3 AS level, doc_id // 10 AS page FROM documents WHERE text IS NOT NULL),
+  gq AS (SELECT item_id AS qid, level, doc, page FROM benchmark JOIN ch ON ch.id = item_id WHERE item_id IN (SELECT id FROM v)),
   par AS (SELECT id, CASE WHEN level > 0 THEN id - 1 END AS p FROM ch),
   anc AS (SELECT a.id, a.p AS to_id FROM par a WHERE a.p IS NOT NULL UNION SELECT a.id, b.p FROM par a JOIN par b ON b.id = a.p WHERE b.p IS NOT NULL),
   rel AS (SELECT qid, qid AS id FROM gq UNION SELECT qid, to_id FROM gq JOIN anc ON anc.id = qid UNION SELECT qid, anc.id FROM gq JOIN anc ON anc.to_id = qid
