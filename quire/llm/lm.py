@@ -108,9 +108,11 @@ class Chunk(NamedTuple):
 
 
 def chunk(texts: pa.Array, train: np.ndarray) -> Chunk:
+    import xxhash
+
     words, index, size = split_words(texts)
     words += [BEGIN_WORD, END_WORD]
-    hashes = np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
