@@ -77,7 +77,12 @@ def keywords(query: Column) -> Column:
 
 
 def terms(x: Column) -> Column:
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), "")
+
+
+def term_count(x: Column) -> Column:
+    """How many ``terms`` a text has, without making them."""
+    return F.regexp_count(F.lower(x), F.lit(r"[\p{L}\p{N}]+"))
 
 
 def truncate(x: Column, limit: Column | int) -> Column:

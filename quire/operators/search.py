@@ -82,7 +82,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = 10, coverage_ex
     """
     asked = queries.select("qid", text.keywords(F.col("query")).alias("kw")).withColumn("n_kw", F.size("kw")).select("qid", "n_kw", F.posexplode("kw").alias("ord", "term"))
     split = docs.where("text is not null").select("id", text.terms(F.col("text")).alias("w"))
-    stats = split.select(F.size("w").alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = docs.where("text is not null").select(text.term_count(F.col("text")).alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
     # Only the words that are asked for are counted; a query set is stated, so its words are few.
     words = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
     hits = words.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
