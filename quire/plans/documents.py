@@ -196,7 +196,9 @@ def embed_cost(spark, sf_dir):
 
 
 def extractive_digest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.digest(F.col("text"), 400)).alias("digest_md5"), F.length(text.digest(F.col("text"), 400)).alias("n_chars"))
+    # The digest is bound to a variable, so that it is made once.
+    both = F.transform(F.array(text.digest(F.col("text"), 400)), lambda d: F.struct(F.md5(d).alias("digest_md5"), F.length(d).alias("n_chars")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(both, F.lit(0)).alias("d")).select("doc_id", "d.digest_md5", "d.n_chars")
 
 
 def previews(spark, sf_dir):
@@ -453,7 +455,10 @@ QUERIES = {
     "contents_pages": (contents_pages, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
         SELECT doc_id, len(a) >= 10 AND len(list_filter(a, lambda x: regexp_matches(x, '^.+[.\\s]{2,}\\d+\\s*$'))) >= 0.6 * len(a) AS is_contents FROM l"""),
     "embed_cost": (embed_cost, "SELECT CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, round(sum(greatest(1, length(text) // 4)) / 1e6 * 0.02, 8) AS usd FROM documents"),
-    "extractive_digest": (extractive_digest, None),
+    "extractive_digest": (extractive_digest, """WITH t AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w FROM documents),
+        u AS (SELECT *, regexp_replace(w, '([.!?])\\s+', '\\1' || chr(57344), 'g') || chr(57344) AS j, substring(w, 1, 400) AS k FROM t), v AS (SELECT *, substring(j, 1, 400) AS h, string_split(j, chr(57344))[1] AS f, length(k) - strpos(reverse(k), ' ') AS spot FROM u),
+        d AS (SELECT doc_id, CASE WHEN length(w) <= 400 THEN w WHEN length(f) + 1 = length(j) THEN rtrim(CASE WHEN strpos(k, ' ') > 0 AND spot > 200 THEN substring(k, 1, spot) ELSE k END) || '…'
+          WHEN strpos(h, chr(57344)) = 0 THEN f ELSE replace(substring(h, 1, length(h) - strpos(reverse(h), chr(57344))), chr(57344), ' ') END AS d FROM v) SELECT doc_id, md5(d) AS digest_md5, CAST(length(d) AS INT) AS n_chars FROM d"""),
     "previews": (previews, """WITH p AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)
         SELECT doc_id, md5(CASE WHEN length(f) > 180 THEN substring(f, 1, 179) || '…' ELSE f END) AS preview_md5, substring(trim(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS slug FROM p"""),
     "table_reasons": (table_reasons, f"""WITH {_CELLS}, g AS (SELECT table_id, t AS garbled FROM cells WHERE is_header AND o AND length(t) >= 12 GROUP BY table_id, t HAVING count(*) >= 3 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY count(*) DESC) = 1),
