@@ -16,13 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-scratch").rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage and plan end at a replicated table."""
+def settle(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the columns ``by``, and read it back: lineage and plan end at a replicated table."""
     spark = df.sparkSession
     path, was = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(*by) if by else w).parquet(path)
     finally:
         spark.conf.set(_CLEAN, was)
     made = spark.read.schema(df.schema).parquet(path)
@@ -30,13 +31,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``settle`` has written, once nothing reads them any more; shuffles that nothing refers to go too."""
+def drop(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that ``settle`` has written, or a folder of them, once nothing reads them any more; shuffles that nothing refers to go too."""
     import gc
 
     spark = SparkSession.active()
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.quire_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{t.quire_path}/{part}" if part else t.quire_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
