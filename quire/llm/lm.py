@@ -475,11 +475,12 @@ def test_hot(pairs: DataFrame, hot: Hot, n: int) -> DataFrame:
 
 
 def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int) -> tuple[list[DataFrame], Sieve, int]:
-    """Tables of the values of runs and of retained contexts, one for each length; the sieve of kept runs; the depth of the tree."""
+    """Tables whose rows of kind 1 are the values of runs and of retained contexts, one for each length; the sieve of kept runs; the depth of the tree."""
     p = (F.col("n") + 0.5) / scale
     kept = words.where(F.col("n") >= MIN_PAIR).select("h", "n", p.alias("p"), F.log(p).alias("lp"))
     before = cut(packed(kept, n, ("n", "p", "lp"), _FILED[1:]), "pst-words")
-    passes, values, depth, used = Sieve(np.zeros(SIEVE, np.uint64)), [], 0, [before]
+    passes, levels, depth = Sieve(np.zeros(SIEVE, np.uint64)), [], 0
+    first = before
     passes.add(before)
     for k in range(2, MAX_DEPTH + 2):
         hot = hot_runs(before, total)
@@ -489,17 +490,25 @@ def tree(chunks: DataFrame, words: DataFrame, total: int, scale: float, n: int)
         found = test_contexts(pairs.where("not hot").select("b", "rows"), before, n)
         if len(hot.key):
             found = found.unionAll(test_hot(pairs.where("hot"), hot, n))
-        level = cut(found, "pst-level")
-        drop(*used, *([pairs] if len(hot.key) else []))
-        used, before = [level], level.where("kind = 0").select("b", "m", "rows")
-        values.append(cut(level.where("kind = 1").select("b", "m", "rows"), "pst-values"))
-        if not values[-1].isEmpty():
+        level = cut(found, "pst-level", ("kind",))
+        if len(hot.key):
+            drop(pairs)
+        drop(*([] if levels else [first]))
+        if levels:
+            drop(levels[-1], part="kind=0")
+        levels.append(level)
+        before = level.where("kind = 0").select("b", "m", "rows")
+        if not values_of(level).isEmpty():
             depth = k - 1
         if before.isEmpty():
             break
         passes.add(before)
-    drop(*used)
-    return values, passes, depth
+    drop(levels[-1], part="kind=0")
+    return levels, passes, depth
+
+
+def values_of(level: DataFrame) -> DataFrame:
+    return level.where("kind = 1").select("b", "m", "rows")
 
 
 class Head(NamedTuple):
@@ -696,14 +705,14 @@ def score(docs: DataFrame) -> DataFrame:
     scale = total + 0.5 * (distinct + 1)
     n = max(min(partitions(spark), 64), -(-total // BUCKET))
     levels, passes, depth = tree(chunks, words, total, scale, n)
-    values = levels[0]
+    values = values_of(levels[0])
     for t in levels[1:]:
-        values = values.unionAll(t)
+        values = values.unionAll(values_of(t))
     known = Sieve(np.zeros(SIEVE, np.uint64))
     known.add(values)
     schema = "cid long, b long, first long, v binary"
     log_p = packed(words.select("h", F.log((F.col("n") + 0.5) / scale).alias("v")), n, ("v",), ("f8",))
-    by_word = log_p.withColumn("single", F.lit(False)).unionAll(levels[0].withColumn("single", F.lit(True)))
+    by_word = log_p.withColumn("single", F.lit(False)).unionAll(values_of(levels[0]).withColumn("single", F.lit(True)))
     parts = []
     if depth:
         sent = ask(chunks, passes.bits, known.bits, head(values), depth, n)
