@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -43,6 +44,12 @@ def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, tex
 
 
 def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``coded_words`` with the words as a list."""
+    words, index, size = coded_words(texts)
+    return words.cast(pa.binary()).to_pylist(), index, size
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct lower-cased words of texts (null: none), the index of each word in order, and how many each text has.
 
     Words are cut at blanks and the ASCII controls tab to carriage return; A-Z only is lowered.
@@ -55,16 +62,21 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(size)), size)[some]
         flat, size = flat.filter(pa.array(some)), np.bincount(owner, minlength=len(size)).astype(np.int64)
     coded = flat.dictionary_encode()
-    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), size
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), size
 
 
-def give_back() -> None:
-    """Memory that a finished partition leaves with the allocators goes back to the system, for the worker lives on."""
+@functools.cache
+def _libc():  # found by a process of its own, so once a worker
     import ctypes
     import ctypes.util
 
+    return ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
+def give_back() -> None:
+    """Memory that a finished partition leaves with the allocators goes back to the system, for the worker lives on."""
     pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    libc = _libc()
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
 

@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, give_back, id_text, partitions, split_words, text_chunks
+from .common import coded_words, cut, drop, give_back, id_text, partitions, text_chunks
 
 MAX_DEPTH, DISCOUNT, MIN_GAIN, MIN_PAIR = 4, 0.5, 10.0, 2
 #: Tokens of a hot run, and the most hot runs of one length (more raise the number of tokens).
@@ -110,8 +110,10 @@ class Chunk(NamedTuple):
 def chunk(texts: pa.Array, train: np.ndarray) -> Chunk:
     import xxhash
 
-    words, index, size = split_words(texts)
-    words += [BEGIN_WORD, END_WORD]
+    words, index, size = coded_words(texts)
+    words = words.cast(pa.large_binary())
+    raw, ends = (words.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(words.buffers()[1] or bytes(8), np.int64)[words.offset :][: len(words) + 1].tolist()
+    words = [*(raw[i:j] for i, j in zip(ends, ends[1:])), BEGIN_WORD, END_WORD]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
@@ -132,15 +134,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_chunks(batches, CHUNK):
         ids = part.column("doc_id")
         c = chunk(part.column("text"), ~held_out(ids.to_pylist()))
-        # Indices by byte: the high ones are nearly all alike.
-        rows = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), c.hashes, c.index.astype("<u4").view(np.uint8).reshape(-1, 4).T, c.counts, c.train]
+        rows = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), c.hashes, planes(c.index, len(c.hashes)), c.counts, c.train]
         yield pa.RecordBatch.from_arrays([part.column("uid").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in rows)], names=["cid", "ids", "some", "hashes", "idx", "counts", "train"])
 
 
+def planes(index: np.ndarray, kinds: int) -> np.ndarray:
+    """Indices by byte, the low ones first, as many as ``kinds`` needs: the high ones are nearly all alike."""
+    return np.stack([(index >> 8 * k).astype(np.uint8) for k in range((max(kinds - 1, 1).bit_length() + 7) // 8)])
+
+
+def from_planes(raw: bytes, size: int) -> np.ndarray:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, size) if size else np.zeros((1, 0), np.uint8)
+    out = rows[-1].astype(np.uint32 if len(rows) <= 4 else np.int64)
+    for x in rows[-2::-1]:
+        out <<= out.dtype.type(8)
+        out |= x
+    return out.astype(np.int64)
+
+
 def _each(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Chunk]]:
     for i in range(table.num_rows):
         get = lambda name, kind: np.frombuffer(table.column(name)[i].as_py(), kind)  # noqa: B023, E731
-        yield table.column("cid")[i].as_py(), Chunk(get("hashes", np.uint64), np.ascontiguousarray(get("idx", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64), get("counts", np.int64), get("train", bool))
+        counts = get("counts", np.int64)
+        yield table.column("cid")[i].as_py(), Chunk(get("hashes", np.uint64), from_planes(table.column("idx")[i].as_py(), int(counts.sum())), counts, get("train", bool))
 
 
 class Sieve:
@@ -150,7 +166,12 @@ class Sieve:
         self.bits = bits
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        return (self.bits[(key >> np.uint64(6)) & np.uint64(len(self.bits) - 1)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+        at = key >> np.uint64(3)
+        at &= np.uint64(8 * len(self.bits) - 1)
+        found = self.bits.view(np.uint8).take(at.view(np.int64))  # by byte: less to move
+        found >>= key.astype(np.uint8) & np.uint8(7)
+        found &= np.uint8(1)
+        return found.view(bool)
 
     def add(self, rows: DataFrame) -> None:
         """Set the bits of the keys in a column of bytes that begin with them (m of each row): SIEVE words go to the driver."""
@@ -178,28 +199,29 @@ class Sieve:
             self.bits[r * words : (r + 1) * words] |= np.frombuffer(bits, np.uint64)
 
 
-def runs(c: Chunk, passes: Sieve | None, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def runs(c: Chunk, passes: Sieve | None, depth: int, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For k = 2 to ``depth`` + 1, of the runs of k words: place of the last word, key, key of the context, key of the parent.
 
-    With a sieve only of the runs whose halves pass it.
+    With a sieve only of the runs whose halves pass it; ``words`` says which of the chunk's words do.
     """
-    key, good = c.hashes[c.index], np.ones(len(c.index), dtype=bool)
-    first = np.cumsum(c.counts) - c.counts
+    key, inside = c.hashes[c.index], np.ones(len(c.index), dtype=bool)
+    inside[np.cumsum(c.counts) - c.counts] = False
     if passes is not None:
-        good = passes(c.hashes)[c.index]
-    inside = np.ones(len(key), dtype=bool)
-    inside[first] = False
+        good = (passes(c.hashes) if words is None else words)[c.index]
+        inside[1:] &= good[1:] & good[:-1]
     at = np.flatnonzero(inside)
-    for _ in range(depth):
-        # ``key`` and ``good`` are of the runs one word shorter that end at each place.
-        at = at[good[at] & good[at - 1]]
-        context, parent = key[at - 1], key[at]
+    context, parent = key[at - 1], key[at]
+    for left in range(depth - 1, -1, -1):
         made = joined(context, parent)
         yield at, made, context, parent
-        key = np.zeros(len(key), np.uint64)
-        key[at] = made
-        good = np.zeros(len(key), dtype=bool)
-        good[at] = True if passes is None else passes(made)
+        if not left:
+            return
+        if passes is not None:
+            good = passes(made)
+            at, made = at[good], made[good]
+        both = np.flatnonzero(at[1:] - at[:-1] == 1)  # the context of a run ends one word before it
+        context, parent = made[both], made[both + 1]
+        at = at[both + 1]
 
 
 def by_bucket(b: np.ndarray) -> np.ndarray:
@@ -243,9 +265,17 @@ def widened(raw: bytes | memoryview) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def spot(key: np.ndarray) -> np.ndarray:
+    """A number of a key's low bits of its own; buckets are ranges of it."""
+    return mix((key & LOW) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def bucket(key: np.ndarray, n: int) -> np.ndarray:
-    x = mix((key & LOW) * np.uint64(0x9E3779B97F4A7C15))
-    x >>= np.uint64(32)
+    return bucket_of(spot(key), n)
+
+
+def bucket_of(place: np.ndarray, n: int) -> np.ndarray:
+    x = place >> np.uint64(32)
     x *= np.uint64(n)
     x >>= np.uint64(32)
     return x.view(np.int64)
@@ -262,9 +292,14 @@ def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of a column, where each run of equal values begins in that order, and the number of each row's run."""
+    order, first = firsts(key)
+    return order, first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+
+
+def firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
-    new = np.r_[True, key[order[1:]] != key[order[:-1]]] if len(key) else np.zeros(0, bool)
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
+    key = key[order]
+    return order, np.flatnonzero(np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool))
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
@@ -336,22 +371,20 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = share.value
         for c in (c for b in batches for _, c in _each(b)):
-            found = []
+            found, words = [[np.empty(0, np.uint64)] * 3], Sieve(bits)(c.hashes)
+            c = Chunk(c.hashes, c.index[np.repeat(c.train, c.counts)], c.counts[c.train], c.train[c.train])
             for _, part in pieces(c, ASKED):
-                train = np.repeat(part.train, part.counts)
-                for at, *own in runs(part, Sieve(bits), k - 1):  # noqa: B007
+                for _, *own in runs(part, Sieve(bits), k - 1, words):  # noqa: B007
                     pass
-                some = train[at]
-                found.append([x[some] for x in own])
-            key, context, parent = (np.concatenate([np.empty(0, np.uint64), *x]) for x in zip(*found))
-            order, first, _ = groups(key)
+                found.append(own)
+            key, context, parent = (np.concatenate(x) for x in zip(*found))
+            order, first = firsts(key)
             times = np.diff(np.append(first, len(key)))
             context, parent = context[order[first]], parent[order[first]]
             spread = parent ^ np.where(find(hot.key & LOW, parent & LOW)[1], mix(context), np.uint64(0)) if len(hot.key) else parent
-            b = bucket(spread, n)
-            order = np.argsort(parent)
-            order = order[by_bucket(b[order])]
-            context, parent, times, b = context[order], parent[order], times[order].astype(np.uint32), b[order]
+            place = spot(spread)
+            order = np.argsort(place)  # by bucket, and rows of a parent together
+            context, parent, times, b = context[order], parent[order], times[order].astype(np.uint32), bucket_of(place[order], n)
             new = np.r_[True, (parent[1:] != parent[:-1]) | (b[1:] != b[:-1])] if len(b) else np.zeros(0, bool)
             kinds, start = np.unique(b, return_index=True)
             rows = []
@@ -374,13 +407,16 @@ def count_runs(chunks: DataFrame, before: DataFrame, passes: Sieve, hot: Hot, k:
         none = np.zeros(0, np.uint64)
         context, parent, times = (np.concatenate([none, *x]) for x in (zip(*parts) if parts else ((), (), ())))
         del parts
-        order, first, _ = groups(joined(context, parent))
+        order, first = firsts(joined(context, parent))
         total = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        at = order[first[total >= MIN_PAIR]]
-        context, parent, total = context[at], parent[at], total[total >= MIN_PAIR]
+        some = total >= MIN_PAIR
+        at, total = order[first[some]], total[some]
+        order = np.argsort(at)  # as sent, by spot: near keys are looked up together
+        context, parent, total = context[at[order]], parent[at[order]], total[order]
         h, _, p, lp = gathered(filed["rows"], *_FILED)
-        by = np.argsort(h & LOW)
-        at, there = find((h & LOW)[by], parent)
+        spots = spot(h)
+        by = np.argsort(spots)
+        at, there = find(spots[by], spot(parent))
         often, is_hot = find(hot.key & LOW, parent)
         whole, p, lp = (np.where(is_hot, x[often] if len(x) else 0, y[by][at] if len(y) else 0).astype(t) for x, y, t in ((hot.key, h, "u8"), (hot.p, p, "f4"), (hot.lp, lp, "f4")))
         ok = there | is_hot
@@ -573,34 +609,31 @@ def needed(c: Chunk, words: np.ndarray, states: np.ndarray, passes: Sieve, known
     ``words`` and ``states`` say of the chunk's words which are kept, and which may be
     retained contexts. A context is a kept run, and so are both halves of a kept run.
     """
-    key, good, state = c.hashes[c.index], words[c.index], states[c.index]
-    inside = np.ones(len(key), dtype=bool)
-    inside[np.cumsum(c.counts) - c.counts] = False
-    at = np.flatnonzero(inside)
+    key, good, inside = c.hashes[c.index], words[c.index], np.ones(len(c.index) + 1, dtype=bool)
+    inside[np.cumsum(c.counts) - c.counts] = inside[-1] = False
     need, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    at = np.flatnonzero(inside[1:-1] & good[1:] & good[:-1]) + 1
+    context, parent, some = key[at - 1], key[at], states[c.index[at - 1]]
     for k in range(depth):
-        at = at[good[at - 1]]
-        context = key[at - 1]
         if k:
-            own = as_context(context)
-            some = known(own)
-            need.append(own[some])
-            places.append(at[some])
-        else:
-            some = state[at - 1]
-        both = good[at]
-        at, context, some = at[both], context[both], some[both]
-        made = joined(context, key[at])
-        here = some & known(made)
-        need.append(made[here])
-        places.append(at[here])
-        kept = passes(made)
-        key, good = np.zeros(len(key), np.uint64), np.zeros(len(key), dtype=bool)
-        key[at], good[at] = made, kept
-        # The next word's run has this one as its context.
-        at = at[kept] + 1
-        at = at[at < len(key)]
-        at = at[inside[at]]
+            # The next word's run has this one as its context.
+            then = np.flatnonzero(inside[at + 1])
+            own = as_context(made[then])
+            known_own = known(own)
+            then = then[known_own]
+            need.append(own[known_own])
+            places.append(at[then] + 1)
+            some = np.zeros(len(at), dtype=bool)
+            some[then] = True
+            both = np.flatnonzero(at[1:] - at[:-1] == 1)
+            context, parent, some, at = made[both], made[both + 1], some[both], at[both + 1]
+        made = joined(context, parent)
+        kept = passes(made)  # a run with a value is kept
+        at, made, some = at[kept], made[kept], some[kept]
+        asked, place = made[some], at[some]
+        here = known(asked)
+        need.append(asked[here])
+        places.append(place[here])
     return np.concatenate(need), np.concatenate(places)
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,6 +183,48 @@ def test_op3_hot_runs_and_full_sieve(docs, fixture_rows, monkeypatch):
     alike(got, want)
 
 
+def test_op3_runs_looked_up_once_each():
+    """Runs are those of a plain version; the sieve isn't asked about the longest ones, nor twice about words."""
+    texts = pa.array(["a b c a b c d", "", None, "a b", "b c a b"])
+    c = lm.chunk(texts, np.ones(5, dtype=bool))
+    end, mark = lm.word_hash(lm.END_WORD), lm.word_hash(lm.BEGIN_WORD)
+    words = [[mark, *(lm.word_hash(w.encode()) for w in (t or "").split()), end] for t in texts.to_pylist()]
+    for depth in (1, 2, 4):
+        asked = []
+
+        class All(lm.Sieve):
+            def __call__(self, key):
+                asked.append(len(key))
+                return super().__call__(key)
+
+        full = np.full(1 << 4, ~np.uint64(0))
+        got = list(lm.runs(c, All(full), depth))
+        assert asked == [len(c.hashes), *(len(x[0]) for x in got[:-1])]
+        assert [len(x[0]) for x in got] == [sum(max(0, len(w) - k + 1) for w in words) for k in range(2, depth + 2)]
+        key = {}
+        for at, made, context, parent in got:
+            for i, m, x, y in zip(at.tolist(), made.tolist(), context.tolist(), parent.tolist()):
+                assert (x, y) == (key.get(i - 1, x), key.get(i, y)) and m == int(lm.joined(np.array([x], np.uint64), np.array([y], np.uint64))[0])
+            key = dict(zip(at.tolist(), made.tolist()))
+    for kinds in (2, 256, 257, 1 << 16, (1 << 24) + 1, (1 << 32) + 1):
+        index = np.array([0, 1, kinds // 2, kinds - 1])
+        raw = lm.planes(index, kinds)
+        assert len(raw) == ((kinds - 1).bit_length() + 7) // 8
+        assert lm.from_planes(raw.tobytes(), 4).tolist() == index.tolist()
+
+
+def test_op3_no_training_text_in_a_chunk(spark, monkeypatch):
+    """Held-out texts alone, among others in chunks of one text, and empty texts."""
+    ids = range(60)
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 5 == 1]
+    alone = lm.score(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
+    assert {(r.train_tokens, r.n_known, r.n_tokens) for r in alone} == {(0, 0, 3)}
+    assert [r.n_tokens for r in lm.score(spark.createDataFrame([(0, ""), (1, None)], "doc_id long, text string")).collect()] == [1, 1]
+    monkeypatch.setattr(lm, "CHUNK", 1)
+    rows = [(i, f"one two three w{i % 7} one two") for i in ids]
+    alike(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain_scores(rows, 4)[0])
+
+
 def test_op4_sql(docs, bench, none):
     found = decontaminate.decontaminate(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), bench)
     cols = sorted(found.columns)
